@@ -107,10 +107,10 @@ def contact_span(messages: DataFrame) -> DataFrame:
 
 
 def reply_rate(contacts: DataFrame) -> DataFrame:
-    """Add ``reply_rate`` = min(1, replies / received)."""
+    """Add ``reply_rate`` = min(1, replies / received); null without replies and receipts."""
     rate = F.when(
         F.col("emails_to") > 0, F.least(F.lit(1.0), F.col("reply_count") / F.col("emails_to"))
-    ).otherwise(0.0)
+    ).when(F.col("reply_count") > 0, 0.0)
     return contacts.withColumn("reply_rate", rate)
 
 
@@ -118,7 +118,8 @@ def important_sender(contacts: DataFrame) -> DataFrame:
     """Add ``is_important_sender``."""
     rate, sent, received = F.col("reply_rate"), F.col("emails_from"), F.col("emails_to")
     engaged = ((rate >= 0.5) & (received >= 2)) | ((sent >= 3) & (received >= 3)) | (rate >= 0.8)
-    return contacts.withColumn("is_important_sender", ~F.col("is_you") & (sent > 0) & engaged)
+    important = ~F.col("is_you") & (sent > 0) & engaged
+    return contacts.withColumn("is_important_sender", F.coalesce(important, F.lit(False)))
 
 
 def build_contacts(messages: DataFrame, you: str) -> DataFrame:

@@ -43,20 +43,17 @@ def user_replies(messages: DataFrame) -> DataFrame:
         "id", "message_id", F.lower("from_email").alias("sender"), F.col("date_parsed").alias("_asked")
     )
     answers = messages.filter(F.col("is_sent") & F.col("in_reply_to").isNotNull()).select(
-        F.col("in_reply_to").alias("message_id"), F.unix_micros("date_parsed").alias("_answered")
-    )
-    # sums and counts of reply times per message; no residual predicate here,
-    # so the replies are aggregated before they meet the messages
-    per_message = answers.groupBy("message_id").agg(
-        F.sum(F.col("_answered").cast("decimal(38,0)")).alias("_sum"), F.count("_answered").alias("_n")
+        F.col("in_reply_to").alias("message_id"), (F.unix_micros("date_parsed") / 1e6).alias("_answered")
     )
+    # reply times have no condition on the received date, so they are summed
+    # per answered message before they meet the messages
+    per_message = answers.groupBy("message_id").agg(F.sum("_answered").alias("_sum"), F.count("_answered").alias("_n"))
     joined = received.join(per_message, "message_id").withColumn(
-        "_micros", F.col("_sum") - F.col("_n") * F.unix_micros("_asked").cast("decimal(38,0)")
+        "_seconds", F.col("_sum") - F.col("_n") * (F.unix_micros("_asked") / 1e6)
     )
-    known = F.col("_micros").isNotNull()
     return joined.groupBy("sender").agg(
         F.count(F.lit(1)).alias("replied_count"),
-        (F.sum("_micros").cast("double") / F.sum(F.when(known, F.col("_n"))) / 3.6e9).alias("avg_response_hours"),
+        (F.sum("_seconds") / F.sum(F.when(F.col("_seconds").isNotNull(), F.col("_n"))) / 3600).alias("avg_response_hours"),
     )
 
 
