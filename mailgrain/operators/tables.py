@@ -75,8 +75,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], update_col
 
 def upsert_counts(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """A5 bookkeeping: ``created, updated`` of an upsert."""
-    known = existing.select(*keys).withColumn("_known", F.lit(True))
-    return incoming.select(*keys).join(known, keys, "left").agg(
+    known = existing.select(*keys).withColumn("_known", F.lit(True)).alias("old")
+    new = incoming.select(*keys).alias("new")
+    condition = reduce(lambda a, b: a & b, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys])
+    return new.join(known, condition, "left").agg(
         F.count(F.when(F.col("_known").isNull(), 1)).alias("created"),
         F.count(F.when(F.col("_known").isNotNull(), 1)).alias("updated"),
     )

@@ -23,7 +23,7 @@ MESSAGE = T.StructType.fromDDL(
     "attachment_count int, is_sent boolean, action string, timing string, response_time_seconds int"
 )
 
-# one provider message; parts are opened four levels deep by the schema
+# one provider message; nested parts are opened PART_DEPTH levels deep
 _HEADERS = "headers: array<struct<name: string, value: string>>"
 _BODY = "mimeType: string, filename: string, body: struct<data: string>"
 
@@ -33,7 +33,7 @@ def _part(depth: int) -> str:
     return f"struct<{_BODY}, {_HEADERS}{nested}>"
 
 
-PART_DEPTH = 4
+PART_DEPTH = 8
 API_MESSAGE = T.StructType.fromDDL(
     "id string, threadId string, historyId string, labelIds array<string>, snippet string, sizeEstimate int, "
     f"payload {_part(PART_DEPTH)}"
