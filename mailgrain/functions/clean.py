@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mailgrain.constants import (
     HTML_HINTS, MAX_TOKENS, MIN_BODY_TOKENS, MIN_TEXT_CHARS, SIGNATURE_MARKERS, TOKEN_RESERVE,
@@ -73,7 +74,7 @@ def strip_signature(c: Column | str) -> Column:
     return F.when(has_signature(text), strip(F.split(text, _SIGNATURE, 2)[0])).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

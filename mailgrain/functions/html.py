@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mailgrain.constants import DROPPED_ELEMENTS, DROPPED_ELEMENTS_BASIC
 
@@ -22,6 +23,10 @@ _VOID = frozenset(
     "frame image isindex nextid spacer keygen menuitem".split()
 )
 _HIDDEN_STYLE = re.compile(r"display:\s*none|visibility:\s*hidden", re.IGNORECASE)
+_COMMON_ENTITIES = {
+    "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lt;": "<",
+    "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&",
+}
 _RAW_TEXT = frozenset(["script", "style", "template"])
 
 
@@ -98,12 +103,12 @@ def _series_to_text(html: pd.Series, dropped: list[str], drop_hidden: bool) -> p
     return html.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _visible_text_full(html: pd.Series) -> pd.Series:
     return _series_to_text(html, DROPPED_ELEMENTS, True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _visible_text_basic(html: pd.Series) -> pd.Series:
     return _series_to_text(html, DROPPED_ELEMENTS_BASIC, False)
 
@@ -132,7 +137,7 @@ def strip_html_regex(c: Column | str) -> Column:
     """C1/C2 for trusted well-formed markup, wholly on the JVM.
 
     Gives the parser's result when elements are closed, hidden elements are not
-    nested in one another and only the five XML entities and ``&nbsp;`` occur.
+    nested in one another and only the common entities listed above occur.
     """
     from mailgrain.functions.normalize import SPACE, strip
 
@@ -140,6 +145,6 @@ def strip_html_regex(c: Column | str) -> Column:
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?is)<(script|style|head|noscript|iframe|object|applet)\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in _COMMON_ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return strip(F.regexp_replace(text, f"{SPACE}+", " "))

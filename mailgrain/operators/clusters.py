@@ -7,7 +7,6 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mailgrain.constants import (
     ACTION_CODES, DIMENSIONS, MAX_CLUSTERS, NO_RESPONSE_HOURS, SERVICE_TYPE_CODES, TIMING_CODES,
@@ -186,10 +185,10 @@ def assign_clusters(
     )
 
 
-METADATA_DEFAULTS = T.StructType.fromDDL(
-    "auto_label string, is_project boolean, project_status string, coherence_score double, "
-    "participant_count bigint, last_activity_at timestamp, user_id string"
-)
+METADATA_DEFAULTS = {
+    "auto_label": "string", "is_project": "boolean", "project_status": "string", "coherence_score": "double",
+    "participant_count": "bigint", "last_activity_at": "timestamp", "user_id": "string",
+}
 
 
 def cluster_rollup(assignments: DataFrame, messages: DataFrame, features: DataFrame) -> DataFrame:
@@ -223,7 +222,7 @@ def cluster_rollup(assignments: DataFrame, messages: DataFrame, features: DataFr
 def cluster_metadata(rollup: DataFrame) -> DataFrame:
     """The roll-up as a metadata table: label and project columns still empty."""
     out = rollup
-    for field in METADATA_DEFAULTS:
-        default = F.lit(False) if field.name == "is_project" else F.lit(None)
-        out = out.withColumn(field.name, default.cast(field.dataType))
+    for name, kind in METADATA_DEFAULTS.items():
+        default = F.lit(False) if name == "is_project" else F.lit(None)
+        out = out.withColumn(name, default.cast(kind))
     return out

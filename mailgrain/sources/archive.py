@@ -11,6 +11,7 @@ from email.message import Message
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mailgrain.schemas import ARCHIVE_ROW
 
@@ -36,7 +37,7 @@ def _to_text(data: bytes | str, charset: str | None) -> str:
         return data.decode("utf-8", errors="replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_headers(values: pd.Series) -> pd.Series:
     """B12 as a column function."""
     return values.map(decode_words)
