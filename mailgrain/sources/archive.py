@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from mailgrain.schemas import ARCHIVE_ROW
 
+_SEPARATOR = "\nFrom "
 _COLUMNS = [f.name for f in ARCHIVE_ROW.fields]
 
 
@@ -84,10 +85,14 @@ def split_labels(value: str | None) -> list[str]:
     return [label for label in labels if label]
 
 
-def _body_of(record: bytes) -> bytes:
-    """The message of one record: without its ``From`` line and the blank line after it."""
+def _body_of(record: bytes, last: bool) -> bytes:
+    """The message of one record, without its ``From`` line.
+
+    The separator takes the blank line after a message with it; at the end of
+    the file that blank line is still there.
+    """
     _, _, raw = record.partition(b"\n")
-    if raw.endswith(b"\n\n"):
+    if last and raw.endswith(b"\n\n"):
         return raw[:-1]
     return raw if raw.endswith(b"\n") else raw + b"\n"
 
@@ -118,10 +123,14 @@ def parse_message(raw: bytes, offset: int) -> dict:
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     position: dict[tuple[str, int], int] = {}
+    read: dict[str, int] = {}
     for frame in frames:
         rows = []
-        for record, file, block in zip(frame["value"], frame["file"], frame["block"]):
-            raw = _body_of(bytes(record))
+        for record, file, block, size in zip(frame["value"], frame["file"], frame["block"], frame["size"]):
+            record = bytes(record)
+            # absolute positions are known in the first split only
+            read[file] = read.get(file, -len(_SEPARATOR)) + len(_SEPARATOR) + len(record)
+            raw = _body_of(record, last=block == 0 and read[file] == size)
             offset = position.get((file, block), 0)
             position[(file, block)] = offset + len(raw) + 1
             try:
@@ -139,14 +148,18 @@ def read_mail_archive(spark: SparkSession, path: str, with_offsets: bool = True)
     archive is read in parallel splits.  A message that cannot be parsed keeps
     its size and position and has ``error`` set.
 
+    The last message of a file that spans several splits may keep one trailing
+    line break more than the others.
+
     Positions are counted inside a split while it is parsed; the start of a
     split is the sum of the splits before it in its file, taken from the sizes
     alone.  ``with_offsets=False`` saves that second read.
     """
-    records = spark.read.text(path, lineSep="\nFrom ").select(
+    records = spark.read.text(path, lineSep=_SEPARATOR).select(
         F.col("value").cast("binary").alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
     )
     records = records.filter(F.octet_length("value") > 0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ARCHIVE_ROW.fields)
@@ -156,9 +169,7 @@ def read_mail_archive(spark: SparkSession, path: str, with_offsets: bool = True)
     # message bytes as in _body_of, plus the separator
     text = F.col("value").cast("string")
     body = F.octet_length("value") - F.instr(text, "\n").cast("bigint") - _leading_bytes(text)
-    tail = F.when(F.substring("value", -2, 2) == F.lit(b"\n\n"), -1).when(
-        F.substring("value", -1, 1) == F.lit(b"\n"), 0
-    ).otherwise(1)
+    tail = F.when(F.substring("value", -1, 1) == F.lit(b"\n"), 0).otherwise(1)
     sizes = records.groupBy("file", "block").agg(F.sum(body + tail + 1).alias("_size"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", "block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
