@@ -9,6 +9,7 @@ from contract.registry import query
 from mailgrain import constants as K
 from mailgrain.functions import scoring as S
 from mailgrain.functions import vectors as V
+from mailgrain.functions.normalize import lowered
 from mailgrain.operators import actions, clusters, contacts, features, priority, projects, rules, threads
 from mailgrain.operators import vectors as vec
 
@@ -273,9 +274,8 @@ def service_sql(source: str) -> str:
     ("messages",), service_sql("messages"),
 )
 def f6(spark, d):
-    rows = table(spark, d, "messages").filter(~F.col("is_sent")).select(
-        F.col("id").alias("email_id"), S.service_detection(F.col("from_email"), F.col("subject"), F.col("body_text")).alias("s")
-    )
+    m = lowered(table(spark, d, "messages").filter(~F.col("is_sent")), frm="from_email", sub="subject", bod="body_text")
+    rows = m.select(F.col("id").alias("email_id"), S.service_detection("frm", "sub", "bod").alias("s"))
     return present(rows.select("email_id", "s.is_service", "s.confidence", "s.service_type"))
 
 
@@ -284,10 +284,10 @@ def f6(spark, d):
     ("order_mail",), service_sql("order_mail"),
 )
 def f7(spark, d):
-    m = table(spark, d, "order_mail").filter(~F.col("is_sent"))
-    found = S.service_detection(F.col("from_email"), F.col("subject"), F.col("body_text"))["is_service"]
+    m = lowered(table(spark, d, "order_mail").filter(~F.col("is_sent")), frm="from_email", sub="subject", bod="body_text")
+    m = m.withColumn("s", S.service_detection("frm", "sub", "bod"))
     return present(m.select(
-        F.col("id").alias("email_id"), S.service_importance(F.col("from_email"), F.col("subject"), found).alias("importance")
+        F.col("id").alias("email_id"), S.service_importance("frm", "sub", F.col("s.is_service")).alias("importance")
     ))
 
 
@@ -530,9 +530,8 @@ def outcome_rows(source: str, feature_source: str) -> str:
     f"SELECT email_id, has_question, {', '.join(K.CONTENT_PATTERNS)} FROM patterns", ("order_mail",), pattern_rows("order_mail"),
 )
 def h1(spark, d):
-    rows = table(spark, d, "order_mail").filter(~F.col("is_sent")).select(
-        F.col("id").alias("email_id"), S.content_patterns(F.col("body_text"), F.col("subject")).alias("p")
-    )
+    m = lowered(table(spark, d, "order_mail").filter(~F.col("is_sent")), sub="subject", bod="body_text")
+    rows = m.select(F.col("id").alias("email_id"), S.content_patterns("bod", "sub").alias("p"))
     return rows.select("email_id", "p.*")
 
 
@@ -542,9 +541,9 @@ def h1(spark, d):
 )
 def h2(spark, d):
     m = table(spark, d, "messages").withColumnRenamed("id", "email_id").join(table(spark, d, "features"), "email_id")
-    rows = m.withColumn("p", S.content_patterns(F.col("body_text"), F.col("subject")))
+    rows = lowered(m, sub="subject", bod="body_text").withColumn("p", S.content_patterns("bod", "sub"))
     rows = rows.withColumn(
-        "o", S.handleability(F.col("p"), F.col("body_text"), F.col("relationship_strength"), F.col("is_service_email"), F.col("service_type"))
+        "o", S.handleability(F.col("p"), "bod", F.col("relationship_strength"), F.col("is_service_email"), F.col("service_type"))
     )
     return rows.select("email_id", "o.class", "o.reason", "o.metadata.action")
 
@@ -555,7 +554,8 @@ def h2(spark, d):
 )
 def h3(spark, d):
     m = table(spark, d, "messages").withColumnRenamed("id", "email_id").join(table(spark, d, "features"), "email_id")
-    patterns = S.content_patterns(F.col("body_text"), F.col("subject"))
+    m = lowered(m, sub="subject", bod="body_text")
+    patterns = S.content_patterns("bod", "sub")
     return m.select(
         "email_id", S.model_priority(patterns, F.col("relationship_strength"), F.col("is_service_email")).alias("llm_priority")
     )

@@ -18,7 +18,7 @@ from mailgrain.constants import (
     HTML_HINTS, MAX_TOKENS, MIN_BODY_TOKENS, MIN_TEXT_CHARS, SIGNATURE_MARKERS, TOKEN_RESERVE,
 )
 from mailgrain.functions.html import strip_html, strip_html_basic, strip_html_regex  # noqa: F401
-from mailgrain.functions.normalize import SPACE, _col, contains_any, strip
+from mailgrain.functions.normalize import SPACE, _col, contains_any, lowered, strip
 
 # white space that stays on its line
 _INLINE = r"[\t\x0b\f\r \x1c-\x1f\x85\p{Z}]"
@@ -119,9 +119,9 @@ def sanitize_messages(
     expression is repeated inside the next one.
     """
     raw = F.coalesce(F.col(content), F.lit(""))
-    out = df.withColumn("original_length", F.length(raw))
-    marked_up = contains_any(F.lower(raw), HTML_HINTS) if strip_html_content else F.lit(False)
-    out = out.withColumn("html_stripped", marked_up)
+    marked_up = contains_any("_lowered", HTML_HINTS) if strip_html_content else F.lit(False)
+    out = lowered(df, _lowered=content).withColumns({"original_length": F.length(raw), "html_stripped": marked_up})
+    out = out.drop("_lowered")
     text = raw
     if strip_html_content:
         text = F.when(F.col("html_stripped"), strip_html(F.when(F.col("html_stripped"), raw))).otherwise(raw)

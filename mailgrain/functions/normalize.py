@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space, spelled out because ``\s`` is ASCII only on the JVM.
@@ -19,20 +19,31 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
 
 
-def contains_any(c: Column, words: list[str]) -> Column:
-    """True when ``c`` contains at least one of the literal ``words``."""
-    hit = c.contains(words[0])
-    for word in words[1:]:
-        hit = hit | c.contains(word)
-    return hit
+def _literal(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def count_hits(c: Column, words: list[str]) -> Column:
-    """How many of the literal ``words`` occur in ``c``."""
-    total = F.lit(0)
-    for word in words:
-        total = total + c.contains(word).cast("int")
-    return total
+def contains_any(column: str, words: list[str]) -> Column:
+    """True when the named text column contains at least one of the literal ``words``."""
+    return F.expr(" OR ".join(f"contains({column}, {_literal(w)})" for w in words))
+
+
+def count_hits(column: str, words: list[str]) -> Column:
+    """How many of the literal ``words`` occur in the named text column."""
+    return F.expr(" + ".join(f"int(contains({column}, {_literal(w)}))" for w in words))
+
+
+def like_any(column: str, patterns: list[str]) -> Column:
+    return F.expr(f"{column} LIKE ANY ({', '.join(_literal(p) for p in patterns)})")
+
+
+def lowered(df: DataFrame, **columns: str) -> DataFrame:
+    """Add lower-cased, non-null copies of text columns: ``lowered(df, body="body_text")``.
+
+    The word-list functions read such columns, so a text is lower-cased once
+    however many words it is searched for.
+    """
+    return df.withColumns({name: F.lower(F.coalesce(F.col(c), F.lit(""))) for name, c in columns.items()})
 
 
 def null_if_blank(c: Column) -> Column:

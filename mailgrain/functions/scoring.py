@@ -1,4 +1,8 @@
-"""Per-message scores and rule outcomes."""
+"""Per-message scores and rule outcomes.
+
+Text arguments given as strings are names of lower-cased, non-null columns
+(see :func:`mailgrain.functions.normalize.lowered`); the rest are columns.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from mailgrain.constants import (
     CONTENT_PATTERNS, IMPORTANT_SENDER_WORDS, IMPORTANT_SUBJECT_WORDS, MARKETING_LIKE, ORDER_BODY_WORDS,
     SERVICE_ADDRESS_WORDS, SERVICE_TYPE_WORDS, UNIMPORTANT_SUBJECT_WORDS,
 )
-from mailgrain.functions.normalize import contains_any, count_hits
+from mailgrain.functions.normalize import contains_any, count_hits, like_any
 
 
 def clamp(c: Column) -> Column:
@@ -21,28 +25,23 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / 86_400_000_000).cast("int")
 
 
-def _text(c: Column) -> Column:
-    return F.lower(F.coalesce(c, F.lit("")))
-
-
-def from_service_address(sender: Column) -> Column:
-    return contains_any(_text(sender), SERVICE_ADDRESS_WORDS)
+def from_service_address(sender: str) -> Column:
+    return contains_any(sender, SERVICE_ADDRESS_WORDS)
 
 
-def service_type(sender: Column, subject: Column) -> Column:
-    sender, subject = _text(sender), _text(subject)
+def service_type(sender: str, subject: str) -> Column:
     kind = F.when(F.lit(False), F.lit(""))
     for name, words in SERVICE_TYPE_WORDS.items():
         kind = kind.when(contains_any(subject, words) | contains_any(sender, words), name)
     return kind
 
 
-def service_detection(sender: Column, subject: Column, body: Column) -> Column:
+def service_detection(sender: str, subject: str, body: str, kind: Column | None = None) -> Column:
     """``struct(is_service, confidence, service_type)``."""
-    kind = service_type(sender, subject)
+    kind = kind if kind is not None else service_type(sender, subject)
     confidence = (
         F.when(from_service_address(sender), 0.3).otherwise(0.0)
-        + F.when(_text(body).contains("unsubscribe"), 0.3).otherwise(0.0)
+        + F.when(contains_any(body, ["unsubscribe"]), 0.3).otherwise(0.0)
         + F.when(kind.isNotNull(), 0.2).otherwise(0.0)
     )
     confidence = F.least(F.lit(1.0), confidence)
@@ -51,10 +50,10 @@ def service_detection(sender: Column, subject: Column, body: Column) -> Column:
     )
 
 
-def service_importance(sender: Column, subject: Column, is_service: Column) -> Column:
+def service_importance(sender: str, subject: str, is_service: Column) -> Column:
     """half from subject words, half from sender words; 0 for people."""
-    good = count_hits(_text(subject), IMPORTANT_SUBJECT_WORDS)
-    poor = count_hits(_text(subject), UNIMPORTANT_SUBJECT_WORDS)
+    good = count_hits(subject, IMPORTANT_SUBJECT_WORDS)
+    poor = count_hits(subject, UNIMPORTANT_SUBJECT_WORDS)
     subject_score = (
         F.when((good > 0) & (poor == 0), F.least(F.lit(1.0), 0.5 + good * 0.2))
         .when((poor > 0) & (good == 0), F.greatest(F.lit(0.0), 0.3 - poor * 0.1))
@@ -62,7 +61,7 @@ def service_importance(sender: Column, subject: Column, is_service: Column) -> C
         .when(poor > good, 0.2)
         .otherwise(0.4)
     )
-    senders = count_hits(_text(sender), IMPORTANT_SENDER_WORDS)
+    senders = count_hits(sender, IMPORTANT_SENDER_WORDS)
     sender_score = F.when(senders > 0, F.least(F.lit(1.0), 0.5 + senders * 0.25)).otherwise(0.3)
     return F.when(is_service, clamp(0.5 * subject_score + 0.5 * sender_score)).otherwise(0.0)
 
@@ -98,24 +97,22 @@ def urgency_score(strength: Column, age_days: Column, in_hours: Column, attachme
     )
 
 
-def content_patterns(body: Column, subject: Column) -> Column:
-    """H1: struct of 11 booleans over lower-cased text."""
-    fields = {"body": _text(body), "subject": _text(subject)}
-    question = fields["body"].contains("?") | fields["subject"].contains("?")
+def content_patterns(body: str, subject: str) -> Column:
+    """H1: struct of 11 booleans."""
+    fields = {"body": body, "subject": subject}
     return F.struct(
-        question.alias("has_question"),
+        F.expr(f"contains({body}, '?') OR contains({subject}, '?')").alias("has_question"),
         *[contains_any(fields[field], words).alias(name) for name, (field, words) in CONTENT_PATTERNS.items()],
     )
 
 
 def handleability(
-    patterns: Column, body: Column, strength: Column, is_service: Column, kind: Column
+    patterns: Column, body: str, strength: Column, is_service: Column, kind: Column
 ) -> Column:
     """H2: first matching rule as ``struct(class, reason, metadata)``.
 
     Absent metadata keys are null, which ``to_json`` leaves out.
     """
-    text = _text(body)
     strength, service = F.coalesce(strength, F.lit(0.0)), F.coalesce(is_service, F.lit(False))
     kind = F.coalesce(kind, F.lit(""))
     p = {name: patterns[name] for name in ["has_question", *CONTENT_PATTERNS]}
@@ -140,7 +137,7 @@ def handleability(
 
     bulk = service & kind.isin("marketing", "newsletter", "notification")
     bulk_folder = F.when(kind == "marketing", "Promotions").otherwise("Updates")
-    delivered = text.contains("shipped") | text.contains("tracking")
+    delivered = contains_any(body, ["shipped", "tracking"])
     file_it = "FILE_TO_FOLDER"
     return (
         F.when(bulk, outcome("ai_full", F.concat(F.lit("service_"), kind), file_it, bulk_folder))
@@ -148,7 +145,7 @@ def handleability(
         .when(p["is_auto_reply"], outcome("ai_full", "auto_reply", file_it, "Auto-replies"))
         .when(p["is_newsletter"] & (strength < 0.2), outcome("ai_full", "newsletter_pattern", file_it, "Newsletters"))
         .when(
-            service & (kind == "transactional") & contains_any(text, ORDER_BODY_WORDS),
+            service & (kind == "transactional") & contains_any(body, ORDER_BODY_WORDS),
             outcome("ai_full", "transactional", file_it, "Orders", tracked=delivered),
         )
         .when(p["has_approval"], outcome("human_required", "approval_request", "PREPARE_DECISION_CONTEXT", priority="high"))
@@ -198,15 +195,12 @@ def feature_score(strength: Column, urgency: Column, is_service: Column, importa
     )
 
 
-def is_marketing(sender: Column) -> Column:
-    """M1: case-sensitive LIKE patterns, ``_`` stands for any character."""
-    hit = sender.like(MARKETING_LIKE[0])
-    for pattern in MARKETING_LIKE[1:]:
-        hit = hit | sender.like(pattern)
-    return hit
+def is_marketing(sender: str) -> Column:
+    """M1: case-sensitive LIKE patterns on the named address column, ``_`` stands for any character."""
+    return like_any(sender, MARKETING_LIKE)
 
 
-def is_real_person(sender: Column, reply_rate: Column, important: Column, emails_from: Column) -> Column:
+def is_real_person(sender: str, reply_rate: Column, important: Column, emails_from: Column) -> Column:
     """M2."""
     return (
         F.when(is_marketing(sender), False).when(reply_rate > 0, True).when(important, True)

@@ -33,8 +33,9 @@ def mark_sent(messages: DataFrame, addresses: list[str]) -> DataFrame:
 
 
 def _automated_reply() -> Column:
-    return contains_any(F.lower("from_email"), AUTOMATED_REPLY_SENDERS) | contains_any(
-        F.lower("subject"), AUTOMATED_REPLY_SUBJECTS
+    # a null sender or subject leaves it open whether a person answered
+    return contains_any("lower(from_email)", AUTOMATED_REPLY_SENDERS) | contains_any(
+        "lower(subject)", AUTOMATED_REPLY_SUBJECTS
     )
 
 

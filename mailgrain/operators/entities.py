@@ -25,13 +25,13 @@ def with_sender(messages: DataFrame, contacts: DataFrame) -> DataFrame:
     )
     return messages.join(people, "from_email", "left").withColumn(
         "is_real_person",
-        S.is_real_person(F.col("from_email"), F.col("reply_rate"), F.col("is_important_sender"), F.col("emails_from")),
+        S.is_real_person("from_email", F.col("reply_rate"), F.col("is_important_sender"), F.col("emails_from")),
     )
 
 
 def not_marketing(messages: DataFrame) -> DataFrame:
     """M1: messages whose sender matches no marketing pattern."""
-    return messages.filter(~S.is_marketing(F.col("from_email")))
+    return messages.filter(~S.is_marketing("from_email"))
 
 
 def _described(text: Column) -> Column:

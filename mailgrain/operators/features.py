@@ -116,28 +116,27 @@ def message_features(
     attached = F.array_contains(labels, "Has attachment") | F.exists(
         labels, lambda label: F.lower(label).contains("has:attachment")
     )
-    plain = strip_html_basic("body")
-    rows = (
-        rows.withColumn("plain_body", plain)
-        .withColumn("hour_of_day", F.coalesce(F.hour("date_parsed"), F.lit(0)))
-        .withColumn("day_of_week", F.coalesce(F.weekday("date_parsed"), F.lit(0)))
-        .withColumn("days_since_received", F.coalesce(S.whole_days(latest, F.col("date_parsed")), F.lit(0)))
-        .withColumn(
-            "days_since_last_interaction", F.coalesce(S.whole_days(latest, F.col("last_received")), F.lit(0))
-        )
-        .withColumn("has_attachments", F.coalesce(attached, F.lit(False)))
-        .withColumn("is_business_hours", S.business_hours(F.col("hour_of_day"), F.col("day_of_week")))
-        .withColumn("service", S.service_detection(F.col("sender"), F.col("subject"), F.col("body")))
-        .withColumn("replied_rate", F.when(total > 0, stat("user_replied_count") / total).otherwise(0.0))
-        .withColumn("initiated_ratio", F.when(total + initiated > 0, initiated / (total + initiated)).otherwise(0.0))
-        .withColumn(
-            "relationship_strength",
-            S.relationship_strength(
-                stat("emails_30d"), F.col("replied_rate"), stat("sender_reply_rate", 0.0),
-                F.col("days_since_last_interaction"), F.col("initiated_ratio"),
-            ),
-        )
-    )
+    rows = rows.withColumns({
+        "plain_body": strip_html_basic("body"),
+        "head": F.lower("subject"),
+        "text": F.lower("body"),
+        "hour_of_day": F.coalesce(F.hour("date_parsed"), F.lit(0)),
+        "day_of_week": F.coalesce(F.weekday("date_parsed"), F.lit(0)),
+        "days_since_received": F.coalesce(S.whole_days(latest, F.col("date_parsed")), F.lit(0)),
+        "days_since_last_interaction": F.coalesce(S.whole_days(latest, F.col("last_received")), F.lit(0)),
+        "has_attachments": F.coalesce(attached, F.lit(False)),
+        "replied_rate": F.when(total > 0, stat("user_replied_count") / total).otherwise(0.0),
+        "initiated_ratio": F.when(total + initiated > 0, initiated / (total + initiated)).otherwise(0.0),
+    })
+    rows = rows.withColumns({
+        "is_business_hours": S.business_hours(F.col("hour_of_day"), F.col("day_of_week")),
+        "kind": S.service_type("sender", "head"),
+        "relationship_strength": S.relationship_strength(
+            stat("emails_30d"), F.col("replied_rate"), stat("sender_reply_rate", 0.0),
+            F.col("days_since_last_interaction"), F.col("initiated_ratio"),
+        ),
+    })
+    rows = rows.withColumn("service", S.service_detection("sender", "head", "text", F.col("kind")))
     is_service = F.col("service.is_service")
     return rows.select(
         "email_id",
@@ -155,10 +154,10 @@ def message_features(
         is_service.alias("is_service_email"),
         F.col("service.confidence").alias("service_confidence"),
         F.col("service.service_type").alias("service_type"),
-        S.service_importance(F.col("sender"), F.col("subject"), is_service).alias("service_importance"),
+        S.service_importance("sender", "head", is_service).alias("service_importance"),
         F.lower("plain_body").contains("unsubscribe").alias("has_unsubscribe_link"),
         F.lit(False).alias("has_list_unsubscribe_header"),
-        S.from_service_address(F.col("sender")).alias("from_common_service_domain"),
+        S.from_service_address("sender").alias("from_common_service_domain"),
         "hour_of_day",
         "day_of_week",
         (F.col("day_of_week") >= 5).alias("is_weekend"),

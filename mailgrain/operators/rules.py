@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailgrain.functions import scoring as S
+from mailgrain.functions.normalize import lowered
 
 STORED_FLAGS = [
     "has_question", "has_request", "has_scheduling", "has_deadline", "has_approval", "has_confirm",
@@ -18,11 +19,11 @@ def classify_messages(messages: DataFrame, features: DataFrame) -> DataFrame:
     rows = messages.filter(~F.col("is_sent")).select(F.col("id").alias("email_id"), "subject", "body_text").join(
         features.select("email_id", "relationship_strength", "is_service_email", "service_type"), "email_id"
     )
-    rows = rows.withColumn("patterns", S.content_patterns(F.col("body_text"), F.col("subject")))
+    rows = lowered(rows, body="body_text", head="subject").withColumn("patterns", S.content_patterns("body", "head"))
     rows = rows.withColumn(
         "outcome",
         S.handleability(
-            F.col("patterns"), F.col("body_text"), F.col("relationship_strength"), F.col("is_service_email"),
+            F.col("patterns"), "body", F.col("relationship_strength"), F.col("is_service_email"),
             F.col("service_type"),
         ),
     )
