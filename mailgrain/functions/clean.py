@@ -17,15 +17,16 @@ from pyspark.sql.types import StringType
 from mailgrain.constants import (
     HTML_HINTS, MAX_TOKENS, MIN_BODY_TOKENS, MIN_TEXT_CHARS, SIGNATURE_MARKERS, TOKEN_RESERVE,
 )
-from mailgrain.functions.html import strip_html, strip_html_basic, strip_html_regex  # noqa: F401
-from mailgrain.functions.normalize import SPACE, _col, contains_any, lowered, strip
+from mailgrain.functions.html import strip_html
+from mailgrain.functions.normalize import (
+    INLINE_SPACE, NOT_SPACE, SPACE, _col, contains_any, lowered, squeeze, squeeze_lines, strip,
+)
 
-# white space that stays on its line
-_INLINE = r"[\t\x0b\f\r \x1c-\x1f\x85\p{Z}]"
+_INLINE = INLINE_SPACE
+_WORD = NOT_SPACE
 
 _TEMPLATE_TAGS = [
-    r"(?s)\{%.*?%\}", r"(?s)\{\{.*?\}\}", r"(?s)\{#.*?#\}", r"(?s)\{\{[#/].*?\}\}", r"(?s)<%.*?%>",
-    r"(?s)\{\{[#^/].*?\}\}",
+    r"(?s)\{%.*?%\}", r"(?s)\{\{.*?\}\}", r"(?s)\{#.*?#\}", r"(?s)<%.*?%>", r"(?s)\{\{[#^/].*?\}\}",
 ]
 _INLINE_QUOTE = rf"(?dmi)On [^>]+wrote:{SPACE}*>.*$"
 _HEADER_LINE = rf"(?dm)^{_INLINE}*+(?:From|Sent|To|Subject|Date|Cc|Bcc):{_INLINE}*+[^\n]+$\n?"
@@ -34,10 +35,10 @@ _QUOTE_BLOCK = (
     rf"(?dmi)^{_INLINE}*+(?:>[^\n]*|On [^\n]+ wrote:{_INLINE}*"
     rf"|-+{_INLINE}*(?:Forwarded message|Original Message){_INLINE}*-+{_INLINE}*)$(?:\n{_INLINE}*+$)*+\n?"
 )
-_QUOTE_TAIL = rf"(?dm){SPACE}*+>{SPACE}+[^\s\p{{Z}}].*$"
+_QUOTE_TAIL = rf"(?dm){SPACE}*+>{SPACE}+{_WORD}.*$"
 # a marker that ends in a space needs a word after it on its line
 _SIGNATURE = rf"(?dm)^{_INLINE}*+(?:" + "|".join(
-    m + r"[^\n]*[^\s\p{Z}]" if m[-1] == " " else m for m in SIGNATURE_MARKERS
+    m + r"[^\n]*" + _WORD if m[-1] == " " else m for m in SIGNATURE_MARKERS
 ) + ")"
 
 
@@ -48,7 +49,7 @@ def strip_templates(c: Column | str) -> Column:
     for tag in _TEMPLATE_TAGS:
         bare = F.regexp_replace(bare, tag, "")
     tagged = text.contains("{") | text.contains("<%")
-    return strip(F.regexp_replace(F.when(tagged, bare).otherwise(text), f"{SPACE}+", " "))
+    return strip(squeeze(F.when(tagged, bare).otherwise(text)))
 
 
 def strip_quotes(c: Column | str) -> Column:
@@ -59,44 +60,56 @@ def strip_quotes(c: Column | str) -> Column:
     blank lines after it once header lines are gone.
     """
     text = F.coalesce(_col(c), F.lit(""))
-    text = F.when(text.contains(">") & F.lower(text).contains("wrote:"), F.regexp_replace(text, _INLINE_QUOTE, "")).otherwise(text)
-    lines = strip(F.regexp_replace(F.regexp_replace(text, _HEADER_LINE, ""), _QUOTE_BLOCK, ""))
-    return strip(F.when(lines.contains(">"), F.regexp_replace(lines, _QUOTE_TAIL, "")).otherwise(lines))
+    inline = text.contains(">") & F.lower(text).contains("wrote:")
+    rest = F.when(inline, F.regexp_replace(text, _INLINE_QUOTE, "")).otherwise(text)
+    rest = strip(F.regexp_replace(F.regexp_replace(rest, _HEADER_LINE, ""), _QUOTE_BLOCK, ""))
+    rest = strip(F.regexp_replace(rest, _QUOTE_TAIL, ""))
+    # every line that goes has one of these characters
+    suspect = text.contains(">") | text.contains(":") | text.contains("-")
+    return F.when(suspect, rest).otherwise(strip(text))
+
+
+def _signature_parts(c: Column | str) -> Column:
+    """``[text]``, or ``[above, below]`` around the first marker."""
+    return F.split(F.coalesce(_col(c), F.lit("")), _SIGNATURE, 2)
 
 
 def has_signature(c: Column | str) -> Column:
-    return F.coalesce(_col(c), F.lit("")).rlike(_SIGNATURE)
+    return F.size(_signature_parts(c)) > 1
 
 
 def strip_signature(c: Column | str) -> Column:
     """Text above the first line that starts with a signature marker."""
-    text = F.coalesce(_col(c), F.lit(""))
-    return F.when(has_signature(text), strip(F.split(text, _SIGNATURE, 2)[0])).otherwise(text)
+    parts = _signature_parts(c)
+    return F.when(F.size(parts) > 1, strip(parts[0])).otherwise(parts[0])
+
+
+# typographic characters and what replaces them (fixed values)
+_PLAIN = str.maketrans({
+    "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "…": "...",
+    "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": "",
+})
 
 
 @F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).translate(_PLAIN))
 
 
 def normalize_chars(c: Column | str) -> Column:
     """NFC, plain quotes, dashes and dots, zero-width characters removed.
 
-    Only text with a character from U+0300 up can change under NFC; the rest
-    stays on the JVM.  The replaced punctuation never composes, so replacing it
-    first keeps typographic quotes from sending a row to Python.
+    ASCII text is in that form already and stays on the JVM.
     """
     text = F.coalesce(_col(c), F.lit(""))
-    text = F.translate(text, "“”‘’—–", "\"\"''--")
-    may_change = text.rlike("[^\\x00-\\u02ff\\u2026\\u200b-\\u200d\\ufeff]")
-    composed = F.when(may_change, _compose(F.when(may_change, text))).otherwise(text)
-    return F.translate(F.replace(composed, F.lit("…"), F.lit("...")), "\u200b\u200c\u200d\ufeff", "")
+    beyond_ascii = F.octet_length(text) != F.length(text)
+    return F.coalesce(_compose(F.when(beyond_ascii, text)), text)
 
 
 def collapse_whitespace(c: Column | str) -> Column:
     """Single spaces, trimmed lines, paragraph breaks kept."""
     text = F.regexp_replace(F.coalesce(_col(c), F.lit("")), rf"\n{SPACE}*\n", "\n\n")
-    text = F.regexp_replace(text, f"{_INLINE}+", " ")
+    text = squeeze_lines(text)
     text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return strip(text)
 
@@ -135,8 +148,10 @@ def sanitize_messages(
     else:
         out = out.withColumn("quotes_removed", F.lit(False))
     if remove_signature:
-        out = out.withColumn("signature_removed", has_signature("clean_text"))
-        out = out.withColumn("clean_text", strip_signature("clean_text"))
+        out = out.withColumn("_parts", _signature_parts("clean_text"))
+        out = out.withColumn("signature_removed", F.size("_parts") > 1)
+        above = F.when(F.col("signature_removed"), strip(F.col("_parts")[0])).otherwise(F.col("_parts")[0])
+        out = out.withColumn("clean_text", above).drop("_parts")
     else:
         out = out.withColumn("signature_removed", F.lit(False))
     if normalize:
@@ -196,9 +211,13 @@ def content_hash(c: Column | str) -> Column:
 
 
 def prepare_for_embedding(df: DataFrame, key: str = "email_id") -> DataFrame:
-    """``key, text, token_count, content_hash`` of texts worth encoding."""
+    """``key, text, token_count, content_hash``.
+
+    The tag line makes every text non-blank and longer than ``MIN_TEXT_CHARS``,
+    so no row is dropped here; a filter on the built text would be pushed below
+    the cleaning steps and repeat them.
+    """
     text = embedding_text(df).select(key, "text")
-    text = text.filter((F.length("text") >= MIN_TEXT_CHARS) & (strip("text") != ""))
     over = token_estimate("text") > MAX_TOKENS
     text = text.withColumn("text", F.when(over, truncate_tokens("text", MAX_TOKENS)).otherwise(F.col("text")))
     return text.select(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mailgrain.constants import DROPPED_ELEMENTS, DROPPED_ELEMENTS_BASIC
+from mailgrain.functions.normalize import squeeze, strip
 
 # elements that never have content (HTML standard)
 _VOID = frozenset(
@@ -108,6 +109,11 @@ def _visible_text_full(html: pd.Series) -> pd.Series:
     return _series_to_text(html, DROPPED_ELEMENTS, True)
 
 
+# Declared non-deterministic so that the planner keeps it as a step of its own:
+# it would otherwise copy what is built on the text into every later use of it.
+_visible_text_full = _visible_text_full.asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def _visible_text_basic(html: pd.Series) -> pd.Series:
     return _series_to_text(html, DROPPED_ELEMENTS_BASIC, False)
@@ -125,11 +131,9 @@ def strip_html_basic(c: Column | str) -> Column:
     Text with neither a tag nor an entity only has its white space collapsed,
     which stays on the JVM.
     """
-    from mailgrain.functions.normalize import SPACE, strip
-
     html = F.col(c) if isinstance(c, str) else c
     marked_up = html.rlike(r"[<&]")
-    flat = strip(F.regexp_replace(html, f"{SPACE}+", " "))
+    flat = strip(squeeze(html))
     return F.when(marked_up, _visible_text_basic(F.when(marked_up, html))).otherwise(F.coalesce(flat, F.lit("")))
 
 
@@ -139,12 +143,10 @@ def strip_html_regex(c: Column | str) -> Column:
     Gives the parser's result when elements are closed, hidden elements are not
     nested in one another and only the common entities listed above occur.
     """
-    from mailgrain.functions.normalize import SPACE, strip
-
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?is)<(script|style|head|noscript|iframe|object|applet)\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     for entity, char in _COMMON_ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return strip(squeeze(text))

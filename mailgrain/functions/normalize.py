@@ -6,8 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space, spelled out because ``\s`` is ASCII only on the JVM.
-SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-NOT_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
+WHITE_SPACE = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
+SPACE = f"[{_CLASS}]"
+NOT_SPACE = f"[^{_CLASS}]"
+# white space that stays on its line
+INLINE_SPACE = r"[ \t\x0b\f\r\x1c-\x1f\x85\p{Z}]"
+# runs that are not a single space already, so ordinary text has few matches
+_LOOSE = f" {SPACE}+|[{_CLASS}&&[^ ]]{SPACE}*"
+_LOOSE_INLINE = f" {INLINE_SPACE}+|[{_CLASS}&&[^ \\n]]{INLINE_SPACE}*"
 
 
 def _col(c: Column | str) -> Column:
@@ -16,7 +26,17 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
+
+
+def squeeze(c: Column | str) -> Column:
+    """Every run of white space becomes one space."""
+    return F.regexp_replace(_col(c), _LOOSE, " ")
+
+
+def squeeze_lines(c: Column | str) -> Column:
+    """Like :func:`squeeze`, line breaks kept."""
+    return F.regexp_replace(_col(c), _LOOSE_INLINE, " ")
 
 
 def _literal(word: str) -> str:
@@ -113,7 +133,7 @@ def parse_mail_date(c: Column | str) -> Column:
     and parsed once.  Dates without an offset are UTC.
     """
     text = F.regexp_replace(sanitize_text(c), r"\s*\([^)]+\)\s*$", "")
-    text = F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    text = F.trim(squeeze(text))
     text = F.regexp_replace(F.regexp_replace(text, r"([+-]\d\d):?(\d\d)$", "$1$2"), r"(?<=\d) ?Z$", "+0000")
     iso = r"^(\d{4}-\d{1,2}-\d{1,2})[T ](\d{1,2}:\d{1,2}:\d{1,2}) ?([+-]\d{4})?$"
     rfc = (
@@ -137,7 +157,7 @@ def parse_mail_date(c: Column | str) -> Column:
 def preview(c: Column | str, max_length: int = 200) -> Column:
     """White space collapsed, cut at ``max_length`` with ``...``."""
     body = _col(c)
-    flat = strip(F.regexp_replace(body, f"{SPACE}+", " "))
+    flat = strip(squeeze(body))
     cut = F.when(F.length(flat) > max_length, F.concat(F.substring(flat, 1, max_length), F.lit("...")))
     return F.when(body != "", F.coalesce(cut, flat))
 
@@ -150,7 +170,14 @@ def raw_preview(c: Column | str, max_length: int = 200) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Number of white-space separated tokens, 0 for null."""
-    return F.coalesce(F.regexp_count(_col(c), F.lit(f"{NOT_SPACE}+")), F.lit(0))
+    return spaced_words(strip(squeeze(c)))
+
+
+def spaced_words(flat: Column) -> Column:
+    """Words of a text whose words are separated by single spaces."""
+    # no CASE: its branches would evaluate ``flat`` again
+    spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.coalesce(spaces + (flat != "").cast("int"), F.lit(0))
 
 
 def is_sent_label(c: Column | str) -> Column:

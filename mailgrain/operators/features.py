@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgrain.functions import scoring as S
-from mailgrain.functions.clean import strip_html_basic
-from mailgrain.functions.normalize import word_count
+from mailgrain.functions.html import strip_html_basic
+from mailgrain.functions.normalize import spaced_words, word_count
 from mailgrain.operators.actions import reference_date
 
 
@@ -170,7 +170,7 @@ def message_features(
             F.col("has_attachments"),
         ).alias("urgency_score"),
         word_count("subject").alias("subject_word_count"),
-        word_count("plain_body").alias("body_word_count"),
+        spaced_words(F.col("plain_body")).alias("body_word_count"),
         "has_attachments",
         F.col("has_attachments").cast("int").alias("attachment_count"),
         (

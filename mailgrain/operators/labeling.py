@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailgrain.constants import DIMENSIONS
-from mailgrain.functions.normalize import SPACE, strip
+from mailgrain.functions.normalize import squeeze, strip
 from mailgrain.schemas import CLUSTER_LABEL, MODEL_LABEL
 
 Scorer = Callable[[list[str]], list[dict | None]]
@@ -95,7 +95,7 @@ def build_prompts(queue: DataFrame) -> DataFrame:
     """L3: add ``relationship_level`` and ``prompt``."""
     body = F.coalesce("body_preview", F.lit(""))
     markup = F.lower(body).contains("<html") | F.lower(body).contains("<head")
-    flat = strip(F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), f"{SPACE}+", " "))
+    flat = strip(squeeze(F.regexp_replace(body, "<[^>]+>", " ")))
     body = F.substring(F.when(markup, flat).otherwise(body), 1, 500)
     strength = F.col("relationship_strength")
     level = F.when(strength > 0.6, "STRONG").when(strength > 0.3, "MODERATE").when(strength > 0.1, "WEAK").otherwise("MINIMAL")
