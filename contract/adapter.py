@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailgrain.session import spread
+
 NOW_S = 1705449600  # 2024-01-17 00:00 UTC
 YOU = "dana@corp.example"
 
@@ -268,6 +270,8 @@ BLOCKS = {
 }
 
 DRIVER_TABLES = ["conversations", "embeddings", "events", "orders", "documents", "pages"]
+# cleaned text by text: worth a task per core even when it is one small file
+TEXT_TABLES = ["documents", "pages"]
 TIMESTAMPS = {
     "date_s": "date_parsed", "created_s": "created_at", "completed_s": "completed_at", "started_s": "started_at",
     "ended_s": "ended_at",
@@ -302,7 +306,8 @@ def ctes(*names: str) -> str:
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,8 +17,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     """One minus the cosine; null when a vector is null or all zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, 1 - dot(a, b) / norms)
+    # try_divide rather than CASE: a CASE would compute the norms twice
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def euclidean_distance(a: Column | str, b: Column | str) -> Column:

@@ -19,12 +19,13 @@ def _ref(messages: DataFrame, ref: datetime | None) -> Column:
 
 def sender_counts(messages: DataFrame, ref: datetime | None = None) -> DataFrame:
     """received per sender: all, last 7, 30 and 90 days, last date."""
-    latest = _ref(messages, ref)
+    received = messages.filter(~F.col("is_sent")).select("from_email", "date_parsed")
+    received = received.withColumn("_age", F.unix_micros(_ref(messages, ref)) - F.unix_micros("date_parsed"))
 
     def since(days: int) -> Column:
-        return F.count_if(F.col("date_parsed") >= latest - F.expr(f"INTERVAL {days} DAYS"))
+        return F.count_if(F.col("_age") <= days * 86_400_000_000)
 
-    return messages.filter(~F.col("is_sent")).groupBy(F.lower("from_email").alias("sender")).agg(
+    return received.groupBy(F.lower("from_email").alias("sender")).agg(
         F.count(F.lit(1)).alias("emails_all"),
         since(7).alias("emails_7d"),
         since(30).alias("emails_30d"),

@@ -34,7 +34,7 @@ def replied_similarity(vectors: DataFrame, messages: DataFrame) -> DataFrame:
     raw = vectors.withColumn("_target", target).select(
         "email_id", (1 - cosine_distance("embedding", "_target")).alias("replied_similarity")
     )
-    return minmax(raw, "replied_similarity")
+    return minmax(raw, "replied_similarity", costly=True)
 
 
 def _cluster_raw(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _cluster_raw(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def cluster_novelty(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """K3: scaled distance to the own content cluster; noise is 1, no centroid 0.5."""
-    return minmax(_cluster_raw(vectors, assignments), "cluster_novelty")
+    return minmax(_cluster_raw(vectors, assignments), "cluster_novelty", costly=True)
 
 
 def _sender_raw(vectors: DataFrame, messages: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _sender_raw(vectors: DataFrame, messages: DataFrame) -> DataFrame:
 
 def sender_novelty(vectors: DataFrame, messages: DataFrame) -> DataFrame:
     """K4: scaled distance to the sender's centroid; 0.5 below three vectors."""
-    return minmax(_sender_raw(vectors, messages), "sender_novelty")
+    return minmax(_sender_raw(vectors, messages), "sender_novelty", costly=True)
 
 
 def _blend() -> Column:
@@ -138,8 +138,9 @@ def score_messages(
 ) -> DataFrame:
     """K1-K6 in one frame.
 
-    The three vector components are computed side by side and scaled by one
-    aggregate over the vector rows, instead of one pass per component.
+    The three vector components are computed side by side into one narrow
+    table, which is checkpointed: its ranges and its rows are both needed, and
+    the vectors behind it should be read once.
     """
     target = _replied_centroid(vectors, messages)
     base = vectors.withColumn("_target", target).select(
@@ -148,8 +149,8 @@ def score_messages(
     raw = base.join(_cluster_raw(vectors, assignments), "email_id", "left").join(
         _sender_raw(vectors, messages), "email_id", "left"
     )
-    bounds = range_of(raw, COMPONENTS)
-    parts = raw.withColumn("_b", bounds).select("email_id", *[scaled(c, F.col("_b")).alias(c) for c in COMPONENTS])
+    raw = cut_lineage(raw)
+    parts = raw.withColumn("_b", range_of(raw, COMPONENTS)).select("email_id", *[scaled(c, F.col("_b")).alias(c) for c in COMPONENTS])
     blended = feature_score(messages, features).join(parts, "email_id", "left").select(
         "email_id", *[F.coalesce(c, F.lit(0.5)).alias(c) for c in PRIORITY_WEIGHTS]
     ).withColumn("priority_score", _blend())

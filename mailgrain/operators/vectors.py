@@ -10,6 +10,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailgrain.session import cut_lineage
+
 Encoder = Callable[[list[str]], list[list[float] | None]]
 
 VECTOR_SCHEMA = "embedding array<float>, token_count int, content_hash string"
@@ -81,7 +83,14 @@ def scaled(column: str, bounds: Column) -> Column:
     return (F.col(column) - lo) / F.when(hi > lo, hi - lo).otherwise(1.0)
 
 
-def minmax(df: DataFrame, column: str) -> DataFrame:
-    """I4: rows with a value, rescaled to [0, 1]; a zero range divides by one."""
-    present = df.filter(F.col(column).isNotNull())
-    return present.withColumn(column, scaled(column, range_of(present, [column])))
+def minmax(df: DataFrame, column: str, costly: bool = False) -> DataFrame:
+    """I4: rows with a value, rescaled to [0, 1]; a zero range divides by one.
+
+    The column is read twice, for its range and for the rescaling.  With
+    ``costly`` the frame is checkpointed first, so the joins and vector
+    arithmetic behind it run once.
+    """
+    rows = cut_lineage(df) if costly else df
+    present = rows.filter(F.col(column).isNotNull())
+    bounds = present.withColumn("_bounds", range_of(present, [column]))
+    return bounds.withColumn(column, scaled(column, F.col("_bounds"))).drop("_bounds")

@@ -57,6 +57,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table that arrives in fewer files than there are cores.
+
+    A file with one row group is one task however large the cluster is.
+    Tables of many files are left alone: their scan is parallel already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the checkpoint folder, reachable by all executors."""
     ensure_checkpoint_dir(spark)
