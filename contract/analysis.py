@@ -372,12 +372,18 @@ def feature_rows(source: str) -> str:
     """
 
 
-@query("F12_message_features", "SELECT * FROM feature_rows", ("messages",), feature_rows("messages"))
+FEATURE_TYPES = (
+    "days_since_last_interaction INT, hour_of_day INT, day_of_week INT, days_since_received INT, subject_word_count INT, "
+    "body_word_count INT, recipient_count INT"
+)
+
+
+@query("F12_message_features", "SELECT * FROM feature_rows", ("messages",), feature_rows("messages"), FEATURE_TYPES)
 def f12(spark, d):
     return present(features.message_features(table(spark, d, "messages")))
 
 
-@query("F12_message_features_orders", "SELECT * FROM feature_rows", ("order_mail",), feature_rows("order_mail"))
+@query("F12_message_features_orders", "SELECT * FROM feature_rows", ("order_mail",), feature_rows("order_mail"), FEATURE_TYPES)
 def f12_orders(spark, d):
     return present(features.message_features(table(spark, d, "order_mail")))
 
@@ -694,6 +700,7 @@ def j1(spark, d):
     "SELECT id AS email_id, CASE action WHEN 'REPLIED' THEN 1.0 WHEN 'ARCHIVED' THEN 2.0 WHEN 'IGNORED' THEN 3.0 WHEN 'PENDING' THEN 4.0 ELSE 5.0 END AS action_code, "
     "round(coalesce(response_time_seconds / 3600.0, 168), 6) AS response_hours, 5.0 AS timing_code FROM labelled WHERE NOT is_sent",
     ("labelled",),
+    casts="action_code DOUBLE, timing_code DOUBLE",
 )
 def j2(spark, d):
     return present(clusters.behavior_matrix(table(spark, d, "labelled")))
@@ -705,6 +712,7 @@ def j2(spark, d):
     "CAST(from_common_service_domain AS INT) AS common_domain, CASE service_type WHEN 'transactional' THEN 1 WHEN 'notification' THEN 2 WHEN 'newsletter' THEN 3 "
     "WHEN 'marketing' THEN 4 WHEN 'social' THEN 5 ELSE 0 END AS service_type_code FROM features",
     ("features",),
+    casts="is_service DOUBLE, has_unsub DOUBLE, common_domain DOUBLE, service_type_code DOUBLE",
 )
 def j3(spark, d):
     return present(clusters.service_matrix(table(spark, d, "features"), table(spark, d, "labelled")))
@@ -714,6 +722,7 @@ def j3(spark, d):
     "J4_temporal_matrix",
     "SELECT email_id, hour_of_day, day_of_week, CAST(is_business_hours AS INT) AS is_business, CAST(is_weekend AS INT) AS is_weekend FROM features",
     ("features",),
+    casts="hour_of_day DOUBLE, day_of_week DOUBLE, is_business DOUBLE, is_weekend DOUBLE",
 )
 def j4(spark, d):
     return present(clusters.temporal_matrix(table(spark, d, "features"), table(spark, d, "labelled")))
@@ -758,6 +767,7 @@ def j7_count(spark, d):
     "SELECT a.email_id, people_cluster_id, CASE WHEN content_cluster_id IS NOT NULL THEN content_cluster_id END AS content_cluster_id, behavior_cluster_id, "
     "service_cluster_id, temporal_cluster_id, 1.0 AS people_cluster_prob, CASE WHEN content_cluster_id IS NOT NULL THEN 0.5 END AS content_cluster_prob FROM assignments a",
     ("assignments",),
+    casts="people_cluster_prob DOUBLE, content_cluster_prob DOUBLE",
 )
 def j8(spark, d):
     a = table(spark, d, "assignments")

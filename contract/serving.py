@@ -243,6 +243,7 @@ def m4(spark, d):
     "AND NOT contains(substring(first, 1, 50), 'Fwd:') THEN ' - ' || substring(first, 1, 50) ELSE '' END) AS name, CASE WHEN vip THEN 'key_relationship' WHEN rate > 0.5 THEN 'active_conversation' ELSE 'conversation' END AS project_type, "
     "owner_email, email_count, last_activity, CASE WHEN vip THEN 0.95 WHEN rate > 0.5 THEN 0.9 ELSE 0.7 END AS confidence FROM m5",
     **ENTITY,
+    casts="confidence DOUBLE",
 )
 def m5(spark, d):
     out = entities.projects_from_people(table(spark, d, "labelled"), table(spark, d, "contacts"))
@@ -259,6 +260,7 @@ def m5(spark, d):
     WHERE people > 0 AND people / email_count >= 0.5 AND NOT covered
     """,
     ("labelled", "contacts", "classes", "model_labels", "meta", "assignments", "projects"), PERSON,
+    casts="last_activity BIGINT",
 )
 def m6(spark, d):
     known = table(spark, d, "projects").filter(F.col("owner_email").contains("studio"))
@@ -289,6 +291,7 @@ def _contexts(spark, d):
     "SELECT * REPLACE (round(age_hours, 6) AS age_hours, round(CAST(people_score AS DOUBLE), 6) AS people_score, round(CAST(relationship_score AS DOUBLE), 6) AS relationship_score, "
     "round(CAST(overall_priority AS DOUBLE), 6) AS overall_priority), CASE WHEN age_hours < 24 THEN 0.8 WHEN age_hours < 72 THEN 0.5 ELSE 0.2 END AS temporal_score FROM ctx",
     ("labelled", "contacts", "classes", "model_labels", "priority"), PERSON.rstrip() + "," + CONTEXT_SQL,
+    casts="sender_importance DOUBLE, sender_reply_rate DOUBLE, temporal_score DOUBLE",
 )
 def m7(spark, d):
     return present(_contexts(spark, d))
@@ -302,6 +305,7 @@ def m7(spark, d):
         + (SELECT count(*) FROM signals WHERE NOT real) AS tasks_filtered_marketing, (SELECT count(*) FROM m5) AS projects_created_at_least
     """,
     ("labelled", "contacts", "classes", "model_labels", "priority"), PERSON,
+    casts="tasks_updated BIGINT",
 )
 def m8(spark, d):
     t = {n: table(spark, d, n) for n in ("labelled", "contacts", "classes", "model_labels", "meta", "assignments", "priority")}
@@ -452,6 +456,7 @@ def o9(spark, d):
     f"SELECT task_id, CASE email_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'dismissed' ELSE status END AS status, CASE WHEN email_id % 5 = 3 THEN 'patched' ELSE description END AS description, "
     f"CASE WHEN email_id % 5 = 0 THEN {NOW_S} END AS completed_at FROM tasks WHERE email_id % 5 <> 2",
     ("tasks",),
+    casts="completed_at BIGINT",
 )
 def o10(spark, d):
     t = table(spark, d, "tasks")
