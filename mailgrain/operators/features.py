@@ -13,7 +13,9 @@ from mailgrain.functions.normalize import spaced_words, word_count
 from mailgrain.operators.actions import reference_date
 
 
-def _ref(messages: DataFrame, ref: datetime | None) -> Column:
+def _ref(messages: DataFrame, ref: datetime | Column | None) -> Column:
+    if isinstance(ref, Column):
+        return ref
     return F.lit(ref).cast("timestamp") if ref is not None else reference_date(messages)
 
 
@@ -91,7 +93,7 @@ def sender_stats(messages: DataFrame, ref: datetime | None = None) -> DataFrame:
 
 
 def message_features(
-    messages: DataFrame, stats: DataFrame | None = None, ref: datetime | None = None
+    messages: DataFrame, stats: DataFrame | None = None, ref: datetime | Column | None = None
 ) -> DataFrame:
     """one feature row per received message.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailgrain.session import cut_lineage
+
 ACTIONABLE = ("received",)
 
 
@@ -44,7 +46,8 @@ def priority_inbox(
         priority.select(F.col("email_id").alias("id"), "priority_rank", "priority_score"), "id", "left"
     )
     page = ranked.orderBy(F.asc_nulls_last("priority_rank"), F.desc("date_parsed"), "id").offset(offset).limit(limit)
-    # the page has at most ``limit`` rows
+    # at most ``limit`` rows, used four times below: the inbox is ranked once
+    page = cut_lineage(page)
     keys = F.broadcast(page.select("id"))
     open_tasks = tasks.filter(F.col("status") == "pending").select(F.col("email_id").alias("id")).join(keys, "id", "left_semi")
     task_count = open_tasks.groupBy("id").agg(F.count(F.lit(1)).alias("task_count"))
@@ -123,6 +126,8 @@ def digest_topics(messages: DataFrame, now, limit: int = 5) -> DataFrame:
         F.count(F.lit(1)).alias("email_count"), F.max("date_parsed").alias("last"),
         F.min("subject").alias("_first"), F.max("subject").alias("_last_subject"),
     ).filter(F.col("email_count") > 1).orderBy(F.desc("last"), "thread_id").limit(limit)
+    # at most ``limit`` rows, used twice
+    picked = cut_lineage(picked)
 
     people = recent.join(F.broadcast(picked.select("thread_id")), "thread_id", "left_semi").select(
         "thread_id", "participant"

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from mailgrain.constants import BACKFILL_PHASES
 from mailgrain.functions.clean import prepare_for_embedding
 from mailgrain.operators import labeling
-from mailgrain.operators.features import message_features
+from mailgrain.operators.actions import reference_date
+from mailgrain.operators.features import message_features, sender_stats
 from mailgrain.operators.rules import classify_messages
 from mailgrain.operators.tables import insert_new
 from mailgrain.operators.vectors import Encoder, embed
@@ -61,10 +62,11 @@ def ingest_batch(
     messages = tables.read("messages", MESSAGE)
     received = messages.filter(~F.col("is_sent"))
 
+    # sender statistics look at the whole mailbox, rows are built for new messages only
     feature_schema = message_features(messages).schema
-    known = tables.read("features", feature_schema)
-    rows = message_features(messages)
-    tables.append("features", rows.join(known.select("email_id"), "email_id", "left_anti").select(*feature_schema.fieldNames()))
+    known = tables.read("features", feature_schema).select(F.col("email_id").alias("id"))
+    fresh = received.join(known, "id", "left_anti")
+    tables.append("features", message_features(fresh, sender_stats(messages), reference_date(messages)))
     features = tables.read("features", feature_schema)
 
     class_schema = classify_messages(messages, features).schema
@@ -132,12 +134,22 @@ def phase_plan(phased: DataFrame) -> DataFrame:
 PROGRESS = ["emails_fetched", "emails_processed", "features_computed", "embeddings_generated", "llm_classified"]
 
 
-def phase_progress(batches: DataFrame, max_messages: int) -> DataFrame:
+def phase_progress(batches: DataFrame, max_messages: int, block: int = 1024) -> DataFrame:
     """Q8: running counters over batch results ``phase_order, batch_no, <PROGRESS>``.
 
+    Batches are summed per block of numbers first, so the running total over
+    everything sees one row per block and the detailed one sees one block.
     The fraction of ``max_messages`` processed stays below 1 until the run ends.
-    A row per finished batch makes this a small table.
     """
-    run = Window.orderBy("phase_order", "batch_no").rowsBetween(Window.unboundedPreceding, 0)
-    totals = batches.select("phase_order", "batch_no", *[F.sum(c).over(run).alias(c) for c in PROGRESS])
+    numbered = batches.withColumn("_block", F.floor(F.col("batch_no") / block))
+    blocks = numbered.groupBy("phase_order", "_block").agg(*[F.sum(c).alias(f"_{c}") for c in PROGRESS])
+    earlier = Window.orderBy("phase_order", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "phase_order", "_block", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in PROGRESS]
+    )
+    within = Window.partitionBy("phase_order", "_block").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
+    running = numbered.select("phase_order", "_block", "batch_no", *[F.sum(c).over(within).alias(c) for c in PROGRESS])
+    totals = running.join(blocks, ["phase_order", "_block"]).select(
+        "phase_order", "batch_no", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in PROGRESS]
+    )
     return totals.withColumn("progress", F.least(F.col("emails_processed") / max_messages, F.lit(0.99)))
