@@ -549,7 +549,7 @@ def h2(spark, d):
     m = table(spark, d, "messages").withColumnRenamed("id", "email_id").join(table(spark, d, "features"), "email_id")
     rows = lowered(m, sub="subject", bod="body_text").withColumn("p", S.content_patterns("bod", "sub"))
     rows = rows.withColumn(
-        "o", S.handleability(F.col("p"), "bod", F.col("relationship_strength"), F.col("is_service_email"), F.col("service_type"))
+        "o", S.handleability(F.col("p"), S.order_mentions("bod"), F.col("relationship_strength"), F.col("is_service_email"), F.col("service_type"))
     )
     return rows.select("email_id", "o.class", "o.reason", "o.metadata.action")
 

@@ -106,11 +106,21 @@ def content_patterns(body: str, subject: str) -> Column:
     )
 
 
+def order_mentions(body: str) -> Column:
+    """What H2 asks of an order mail: ``struct(any_word, delivery)``."""
+    return F.struct(
+        contains_any(body, ORDER_BODY_WORDS).alias("any_word"),
+        contains_any(body, ["shipped", "tracking"]).alias("delivery"),
+    )
+
+
 def handleability(
-    patterns: Column, body: str, strength: Column, is_service: Column, kind: Column
+    patterns: Column, order: Column, strength: Column, is_service: Column, kind: Column
 ) -> Column:
     """H2: first matching rule as ``struct(class, reason, metadata)``.
 
+    ``patterns`` is H1's struct and ``order`` that of :func:`order_mentions`.
+
     Absent metadata keys are null, which ``to_json`` leaves out.
     """
     strength, service = F.coalesce(strength, F.lit(0.0)), F.coalesce(is_service, F.lit(False))
@@ -137,7 +147,6 @@ def handleability(
 
     bulk = service & kind.isin("marketing", "newsletter", "notification")
     bulk_folder = F.when(kind == "marketing", "Promotions").otherwise("Updates")
-    delivered = contains_any(body, ["shipped", "tracking"])
     file_it = "FILE_TO_FOLDER"
     return (
         F.when(bulk, outcome("ai_full", F.concat(F.lit("service_"), kind), file_it, bulk_folder))
@@ -145,8 +154,8 @@ def handleability(
         .when(p["is_auto_reply"], outcome("ai_full", "auto_reply", file_it, "Auto-replies"))
         .when(p["is_newsletter"] & (strength < 0.2), outcome("ai_full", "newsletter_pattern", file_it, "Newsletters"))
         .when(
-            service & (kind == "transactional") & contains_any(body, ORDER_BODY_WORDS),
-            outcome("ai_full", "transactional", file_it, "Orders", tracked=delivered),
+            service & (kind == "transactional") & order["any_word"],
+            outcome("ai_full", "transactional", file_it, "Orders", tracked=order["delivery"]),
         )
         .when(p["has_approval"], outcome("human_required", "approval_request", "PREPARE_DECISION_CONTEXT", priority="high"))
         .when(

@@ -14,6 +14,9 @@ from mailgrain.constants import (
 from mailgrain.functions.normalize import contains_any
 
 
+LABEL_COLUMNS = ["action", "timing", "response_time_seconds"]
+
+
 def response_bucket(seconds: Column) -> Column:
     """How fast a reply came."""
     return (
@@ -160,36 +163,43 @@ def label_actions(
     """E2 to E8 as one cascade; sets ``action, timing, response_time_seconds``.
 
     Both directions of reply tracking share one join: a message is either sent
-    or received, so it has at most one kind of answer.
+    or received, so it has at most one kind of answer.  The cascade runs on the
+    columns it reads; message texts are shuffled once, when the labels are
+    joined to them.
     """
     marked = mark_sent(messages, addresses)
     counts_as_answer = F.when(F.col("is_sent"), F.lit(True)).otherwise(~_automated_reply())
     answers = _first_answers(marked, marked.filter(counts_as_answer))
-    flagged = with_frequent_flag(marked, contacts).join(answers, "id", "left")
+    narrow = marked.select(
+        "id", "from_email", "date_parsed", "labels", "to_emails", "cc_emails", "is_sent", *LABEL_COLUMNS
+    )
+    flagged = with_frequent_flag(narrow, contacts).join(answers, "id", "left")
 
-    cutoff = _cutoff(messages, ref)
     answered = F.col("response_seconds").isNotNull()
     received, sent = ~F.col("is_sent"), F.col("is_sent")
-    open_before = F.col("action").isNull()
+    flagged = flagged.withColumn("_cutoff", _cutoff(messages, ref))
     label = (
         F.when(received & answered, "REPLIED")
         .when(received & is_starred(), "STARRED")
-        .when(received & is_archivable(cutoff), "ARCHIVED")
-        .when(received & is_ignorable(cutoff), "IGNORED")
+        .when(received & is_archivable(F.col("_cutoff")), "ARCHIVED")
+        .when(received & is_ignorable(F.col("_cutoff")), "IGNORED")
         .when(received, "PENDING")
         .when(sent, "COMPOSED")
     )
-    flagged = flagged.withColumn("_label", F.when(open_before, label))
+    flagged = flagged.withColumn("_label", F.when(F.col("action").isNull(), label))
     tracked = (F.col("_label") == "REPLIED") | (sent & answered)
     never = F.col("_label").isin("ARCHIVED", "IGNORED")
-    return flagged.select(
-        *[c for c in messages.columns if c not in ("action", "timing", "response_time_seconds")],
+    labels = flagged.select(
+        "id",
         F.coalesce("action", "_label").alias("action"),
         F.when(tracked, response_bucket(F.col("response_seconds")))
         .when(never, "NEVER").otherwise(F.col("timing")).alias("timing"),
         F.when(tracked, F.round("response_seconds").cast("int"))
         .otherwise(F.col("response_time_seconds")).alias("response_time_seconds"),
     )
+    return marked.drop(*LABEL_COLUMNS).join(labels, "id").select(
+        *[c for c in messages.columns if c not in LABEL_COLUMNS], *LABEL_COLUMNS
+    )
 
 
 def action_counts(labelled: DataFrame) -> DataFrame:

@@ -103,10 +103,36 @@ def message_features(
     """
     stats = stats if stats is not None else sender_stats(messages, ref)
     latest = _ref(messages, ref)
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    attached = F.array_contains(labels, "Has attachment") | F.exists(
+        labels, lambda label: F.lower(label).contains("has:attachment")
+    )
+    # everything read off the texts first: the rows that meet the sender
+    # statistics carry flags and counts, not bodies
     received = messages.filter(~F.col("is_sent")).select(
         F.col("id").alias("email_id"), F.lower(F.coalesce("from_email", F.lit(""))).alias("sender"),
         F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("body_text", F.lit("")).alias("body"),
         "date_parsed", "to_emails", "cc_emails", "labels",
+    ).withColumns({
+        "plain_body": strip_html_basic("body"),
+        "head": F.lower("subject"),
+        "text": F.lower("body"),
+        "hour_of_day": F.coalesce(F.hour("date_parsed"), F.lit(0)),
+        "day_of_week": F.coalesce(F.weekday("date_parsed"), F.lit(0)),
+        "has_attachments": F.coalesce(attached, F.lit(False)),
+    })
+    received = received.withColumn("kind", S.service_type("sender", "head"))
+    received = received.withColumn("service", S.service_detection("sender", "head", "text", F.col("kind")))
+    received = received.select(
+        "email_id", "sender", "date_parsed", "service", "hour_of_day", "day_of_week", "has_attachments",
+        S.service_importance("sender", "head", F.col("service.is_service")).alias("service_importance"),
+        F.lower("plain_body").contains("unsubscribe").alias("has_unsubscribe_link"),
+        S.from_service_address("sender").alias("from_common_service_domain"),
+        word_count("subject").alias("subject_word_count"),
+        spaced_words(F.col("plain_body")).alias("body_word_count"),
+        (
+            F.coalesce(F.size("to_emails"), F.lit(0)) + F.coalesce(F.size("cc_emails"), F.lit(0))
+        ).alias("recipient_count"),
     )
     rows = received.join(stats, "sender", "left")
 
@@ -115,31 +141,20 @@ def message_features(
 
     total = stat("emails_all")
     initiated = stat("user_initiated_count")
-    labels = F.coalesce("labels", F.array().cast("array<string>"))
-    attached = F.array_contains(labels, "Has attachment") | F.exists(
-        labels, lambda label: F.lower(label).contains("has:attachment")
-    )
     rows = rows.withColumns({
-        "plain_body": strip_html_basic("body"),
-        "head": F.lower("subject"),
-        "text": F.lower("body"),
-        "hour_of_day": F.coalesce(F.hour("date_parsed"), F.lit(0)),
-        "day_of_week": F.coalesce(F.weekday("date_parsed"), F.lit(0)),
         "days_since_received": F.coalesce(S.whole_days(latest, F.col("date_parsed")), F.lit(0)),
         "days_since_last_interaction": F.coalesce(S.whole_days(latest, F.col("last_received")), F.lit(0)),
-        "has_attachments": F.coalesce(attached, F.lit(False)),
         "replied_rate": F.when(total > 0, stat("user_replied_count") / total).otherwise(0.0),
         "initiated_ratio": F.when(total + initiated > 0, initiated / (total + initiated)).otherwise(0.0),
-    })
-    rows = rows.withColumns({
         "is_business_hours": S.business_hours(F.col("hour_of_day"), F.col("day_of_week")),
-        "kind": S.service_type("sender", "head"),
-        "relationship_strength": S.relationship_strength(
+    })
+    rows = rows.withColumn(
+        "relationship_strength",
+        S.relationship_strength(
             stat("emails_30d"), F.col("replied_rate"), stat("sender_reply_rate", 0.0),
             F.col("days_since_last_interaction"), F.col("initiated_ratio"),
         ),
-    })
-    rows = rows.withColumn("service", S.service_detection("sender", "head", "text", F.col("kind")))
+    )
     is_service = F.col("service.is_service")
     return rows.select(
         "email_id",
@@ -157,10 +172,10 @@ def message_features(
         is_service.alias("is_service_email"),
         F.col("service.confidence").alias("service_confidence"),
         F.col("service.service_type").alias("service_type"),
-        S.service_importance("sender", "head", is_service).alias("service_importance"),
-        F.lower("plain_body").contains("unsubscribe").alias("has_unsubscribe_link"),
+        "service_importance",
+        "has_unsubscribe_link",
         F.lit(False).alias("has_list_unsubscribe_header"),
-        S.from_service_address("sender").alias("from_common_service_domain"),
+        "from_common_service_domain",
         "hour_of_day",
         "day_of_week",
         (F.col("day_of_week") >= 5).alias("is_weekend"),
@@ -172,11 +187,9 @@ def message_features(
             F.col("relationship_strength"), F.col("days_since_received"), F.col("is_business_hours"),
             F.col("has_attachments"),
         ).alias("urgency_score"),
-        word_count("subject").alias("subject_word_count"),
-        spaced_words(F.col("plain_body")).alias("body_word_count"),
+        "subject_word_count",
+        "body_word_count",
         "has_attachments",
         F.col("has_attachments").cast("int").alias("attachment_count"),
-        (
-            F.coalesce(F.size("to_emails"), F.lit(0)) + F.coalesce(F.size("cc_emails"), F.lit(0))
-        ).alias("recipient_count"),
+        "recipient_count",
     )

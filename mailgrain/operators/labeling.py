@@ -52,8 +52,11 @@ CLUSTER_ANSWER = '\n\nAnswer with {"label": "...", "confidence": 0.0-1.0}.'
 
 def _eligible(messages: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = classes.filter(F.col("predicted_handleability") == "needs_llm").select("email_id", "llm_priority")
-    long_enough = messages.filter(~F.col("is_sent") & (F.length("body_text") > MIN_BODY_CHARS))
-    return long_enough.withColumn("email_id", F.col("id")).join(wanted, "email_id")
+    long_enough = messages.filter(~F.col("is_sent") & (F.length("body_text") > MIN_BODY_CHARS)).select(
+        F.col("id").alias("email_id"), "from_email", "subject", "date_parsed", "action", "thread_id",
+        F.substring("body_text", 1, 800).alias("body_preview"),
+    )
+    return long_enough.join(wanted, "email_id")
 
 
 def llm_queue(
@@ -69,7 +72,7 @@ def llm_queue(
     rows = rows.join(people, F.lower("from_email") == F.col("_who"), "left")
     rows = rows.join(priority.select("email_id", "priority_score", "priority_rank"), "email_id", "left")
     rows = rows.select(
-        "email_id", "from_email", "subject", "date_parsed", F.substring("body_text", 1, 800).alias("body_preview"),
+        "email_id", "from_email", "subject", "date_parsed", "body_preview",
         "relationship_strength", "user_replied_to_sender_rate", "is_service_email", "llm_priority",
         F.col("action").alias("actual_action"), "thread_id",
         F.coalesce("is_important_sender", F.lit(False)).alias("is_important_sender"),

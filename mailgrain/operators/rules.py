@@ -16,14 +16,18 @@ STORED_FLAGS = [
 
 def classify_messages(messages: DataFrame, features: DataFrame) -> DataFrame:
     """H4: one class row per received message that has features."""
-    rows = messages.filter(~F.col("is_sent")).select(F.col("id").alias("email_id"), "subject", "body_text").join(
+    # patterns are read off the texts before the join, which then moves flags only
+    rows = lowered(messages.filter(~F.col("is_sent")), body="body_text", head="subject").select(
+        F.col("id").alias("email_id"), S.content_patterns("body", "head").alias("patterns"),
+        S.order_mentions("body").alias("order"),
+    )
+    rows = rows.join(
         features.select("email_id", "relationship_strength", "is_service_email", "service_type"), "email_id"
     )
-    rows = lowered(rows, body="body_text", head="subject").withColumn("patterns", S.content_patterns("body", "head"))
     rows = rows.withColumn(
         "outcome",
         S.handleability(
-            F.col("patterns"), "body", F.col("relationship_strength"), F.col("is_service_email"),
+            F.col("patterns"), F.col("order"), F.col("relationship_strength"), F.col("is_service_email"),
             F.col("service_type"),
         ),
     )
