@@ -270,8 +270,8 @@ BLOCKS = {
 }
 
 DRIVER_TABLES = ["conversations", "embeddings", "events", "orders", "documents", "pages"]
-# cleaned text by text: worth a task per core even when it is one small file
-TEXT_TABLES = ["documents", "pages"]
+# worked on text by text: worth a task per core even when it is one small file
+TEXT_TABLES = ["documents", "pages", "orders"]
 TIMESTAMPS = {
     "date_s": "date_parsed", "created_s": "created_at", "completed_s": "completed_at", "started_s": "started_at",
     "ended_s": "ended_at",
