@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contract.adapter import driver_table, now, present, table
+from contract.adapter import driver_table, present, table
 from contract.registry import query
 from mailgrain.functions import clean as C
 from mailgrain.functions import html as H

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from contract.adapter import NOW_S, YOU, driver_table, now, present, table
 from contract.registry import query
 from mailgrain import constants as K
-from mailgrain.functions import scoring as S
 from mailgrain.operators import entities, eventlog, labeling, serving, threads
 from mailgrain.plans.mailbox import MailboxRun, refresh_after_batch
 from mailgrain.schemas import MESSAGE

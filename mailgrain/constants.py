@@ -89,7 +89,6 @@ HTML_HINTS = ["<html", "<body", "<p", "<div", "<script", "<style", "<table", "<s
 MAX_TOKENS = 8000
 TOKEN_RESERVE = 20
 MIN_BODY_TOKENS = 100
-MIN_TEXT_CHARS = 10
 
 # --- clustering: dimension -> largest number of clusters (fixed values) -------
 MAX_CLUSTERS = {"people": 15, "content": 100, "behavior": 8, "service": 8, "temporal": 6}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mailgrain.constants import (
-    HTML_HINTS, MAX_TOKENS, MIN_BODY_TOKENS, MIN_TEXT_CHARS, SIGNATURE_MARKERS, TOKEN_RESERVE,
+    HTML_HINTS, MAX_TOKENS, MIN_BODY_TOKENS, SIGNATURE_MARKERS, TOKEN_RESERVE,
 )
 from mailgrain.functions.html import strip_html
 from mailgrain.functions.normalize import (
@@ -213,7 +213,7 @@ def content_hash(c: Column | str) -> Column:
 def prepare_for_embedding(df: DataFrame, key: str = "email_id") -> DataFrame:
     """``key, text, token_count, content_hash``.
 
-    The tag line makes every text non-blank and longer than ``MIN_TEXT_CHARS``,
+    The tag line makes every text non-blank and longer than the 10 characters asked for,
     so no row is dropped here; a filter on the built text would be pushed below
     the cleaning steps and repeat them.
     """
