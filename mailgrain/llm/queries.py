@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, chat, decontaminate, packing, wavelet
+from mailgrain.llm import base, chat, decontaminate, packing, substrings, suffixes, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +25,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_passages(base.table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(base.table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(base.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -46,6 +54,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op6_substrings": op6_substrings,
+    "op7_suffixes": op7_suffixes,
     "op8_best_fit": op8_best_fit,
     "op9_wavelet": op9_wavelet,
     "op10_chat": op10_chat,
