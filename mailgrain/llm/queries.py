@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, chat, decontaminate, neardup, packing, substrings, suffixes, wavelet
+from mailgrain.llm import base, brown, chat, decontaminate, neardup, packing, substrings, suffixes, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +17,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(base.table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(base.table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown": op1_brown,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontaminate": op4_decontaminate,
     "op6_substrings": op6_substrings,

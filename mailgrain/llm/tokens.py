@@ -12,7 +12,7 @@ import numpy as np
 import regex
 
 #: pieces kept for each tokenizer and worker; the rest is encoded again in batches, with the same ids
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 _UNSAFE = regex.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ]|<\|")
 
 # The pre-token patterns written in the two tokenizer files.
@@ -39,30 +39,26 @@ class PieceEncoder:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        pieces: list[list[str] | None] = []
+        get, split = self.cache.get, self.pattern.findall
+        pieces: list[list[str]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
             if _UNSAFE.search(text):
-                pieces.append(None)
+                pieces.append([])
                 whole.append(i)
             else:
-                pieces.append(self.pattern.findall(text.lower() if self.lower else text))
-        known = self.cache
-        missing = list({p for own in pieces if own for p in own if p not in known})
-        extra: dict[str, bytes] = {}
-        if missing:
-            coded = self._encode(missing)
-            room = max(0, CACHE_PIECES - len(known))
-            known.update(zip(missing[:room], coded[:room]))
-            extra = dict(zip(missing[room:], coded[room:]))
-        out: list[np.ndarray] = []
-        for own in pieces:
-            if own is None:
-                out.append(np.zeros(0, np.uint32))
-            elif extra:
-                out.append(np.frombuffer(b"".join([known[p] if p in known else extra[p] for p in own]), "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([known[p] for p in own]), "<u4"))
+                pieces.append(split(text.lower() if self.lower else text))
+        coded = [list(map(get, own)) for own in pieces]
+        gaps = [i for i, own in enumerate(coded) if None in own]
+        if gaps:
+            missing = list({p for i in gaps for p, ids in zip(pieces[i], coded[i]) if ids is None})
+            fresh = dict(zip(missing, self._encode(missing)))
+            for i in gaps:
+                coded[i] = [fresh[p] if ids is None else ids for p, ids in zip(pieces[i], coded[i])]
+            room = CACHE_PIECES - len(self.cache)
+            if room > 0:
+                self.cache.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
+        out = [np.frombuffer(b"".join(own), "<u4") for own in coded]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else []):
             out[i] = np.frombuffer(ids, "<u4")
         return out
