@@ -1,27 +1,37 @@
-"""Token ids of public tokenizer files, with a bounded cache of encoded pieces in each Python worker.
+"""Token ids of public tokenizer files, with bounded caches in each Python worker.
 
-Both kinds of BPE used here encode every pre-token on its own, so a text's ids are the ids of its pieces in a row.
-Texts with characters outside printable Latin, or with what may be a special token, go to the tokenizer whole.
+Both kinds of BPE used here encode every pre-token on its own, so a text's ids are the ids of its pieces in a row, and
+a single space before a word always starts a piece.  Texts are therefore cut at spaces into units; a unit that is not
+in the cache is cut into pieces, and only pieces that are not in theirs reach the tokenizer.  Texts with characters
+outside printable Latin, with double spaces or with what may be a special token go to the tokenizer whole or by
+pieces, with the same ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
-import regex
 
-#: pieces kept for each tokenizer and worker; the rest is encoded again in batches, with the same ids
-CACHE_PIECES = 1_000_000
-_UNSAFE = regex.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ]|<\|")
+#: units and pieces kept for each tokenizer and worker; the rest is encoded again, with the same ids
+CACHE_UNITS = CACHE_PIECES = 600_000
+_UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]|<\|")
 
-# The pre-token patterns written in the two tokenizer files.
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The pre-token patterns written in the two tokenizer files, for printable Latin texts.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
+WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+"
 
 _loaded: dict[str, "PieceEncoder"] = {}
 
 
+def _keep(cache: dict, fresh: dict, most: int) -> None:
+    room = most - len(cache)
+    if room > 0:
+        cache.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit arrays."""
 
@@ -30,35 +40,54 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lower = self.tokenizer.normalizer is not None
-        self.pattern = regex.compile(WORD_PIECES if self.lower else BYTE_PIECES)
-        self.cache: dict[str, bytes] = {}
+        self.lower = self.tokenizer.normalizer is not None  # lower-cases and drops white space
+        self.split = re.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
+        self.pieces: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _by_pieces(self, strings: list[str]) -> list[bytes]:
+        cut = [self.split(s) for s in strings]
+        known = self.pieces
+        missing = list({p for own in cut for p in own if p not in known})
+        fresh = dict(zip(missing, self._encode(missing))) if missing else {}
+        out = [b"".join([known[p] if p in known else fresh[p] for p in own]) for own in cut]
+        _keep(known, fresh, CACHE_PIECES)
+        return out
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        get, split = self.cache.get, self.pattern.findall
-        pieces: list[list[str]] = []
+        get = self.units.get
+        lead = "" if self.lower else " "
+        coded: list[list[bytes | None]] = []
+        units: list[list[str]] = []
+        first: list[str] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
+            own: list[str] = []
+            head = ""
             if _UNSAFE.search(text):
-                pieces.append([])
                 whole.append(i)
+            elif self.lower:
+                own = text.lower().split()
+            elif "  " in text or text[-1:] == " ":
+                head = text
             else:
-                pieces.append(split(text.lower() if self.lower else text))
-        coded = [list(map(get, own)) for own in pieces]
+                head, *own = text.split(" ")
+            first.append(head)
+            units.append(own)
+            coded.append(list(map(get, own)))
         gaps = [i for i, own in enumerate(coded) if None in own]
         if gaps:
-            missing = list({p for i in gaps for p, ids in zip(pieces[i], coded[i]) if ids is None})
-            fresh = dict(zip(missing, self._encode(missing)))
+            missing = list({u for i in gaps for u, ids in zip(units[i], coded[i]) if ids is None})
+            fresh = dict(zip(missing, self._by_pieces([lead + u for u in missing])))
             for i in gaps:
-                coded[i] = [fresh[p] if ids is None else ids for p, ids in zip(pieces[i], coded[i])]
-            room = CACHE_PIECES - len(self.cache)
-            if room > 0:
-                self.cache.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
-        out = [np.frombuffer(b"".join(own), "<u4") for own in coded]
+                coded[i] = [fresh[u] if ids is None else ids for u, ids in zip(units[i], coded[i])]
+            _keep(self.units, fresh, CACHE_UNITS)
+        heads = [b""] * len(texts) if self.lower else self._by_pieces(first)
+        out = [np.frombuffer(head + b"".join(own), "<u4") for head, own in zip(heads, coded)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else []):
             out[i] = np.frombuffer(ids, "<u4")
         return out
