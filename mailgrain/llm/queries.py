@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, brown, chat, decontaminate, neardup, packing, substrings, suffixes, wavelet
+from mailgrain.llm import base, brown, chat, decontaminate, neardup, packing, substrings, suffixes, toxicity, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +33,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, base.table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_passages(base.table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown": op1_brown,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op7_suffixes": op7_suffixes,
     "op8_best_fit": op8_best_fit,
