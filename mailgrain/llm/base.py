@@ -9,13 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20
 
@@ -106,9 +107,9 @@ def byte_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function over record batches that yields record batches or column dictionaries."""
-    return df.mapInArrow(function, schema)
+def schema_of(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """Schema of the columns ``keep`` of ``df`` followed by those of the DDL string ``more``."""
+    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(more).fields)
 
 
 def batch_of(**columns) -> pa.RecordBatch:

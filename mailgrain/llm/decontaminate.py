@@ -24,7 +24,7 @@ WINDOW = 13
 COVERAGE = 20  # contaminated from one hit word in so many
 #: bytes of item texts in one automaton; more items are handled in several passes over the documents
 MAX_ITEM_BYTES = 32 << 20
-SCHEMA = "doc_id long, n_words long, hit_spans array<struct<start:int,end:int>>, items array<string>"
+FOUND = "n_words long, hit_spans array<struct<start:int,end:int>>, items array<string>"
 
 
 class SuffixAutomaton:
@@ -153,19 +153,23 @@ def _stretches(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.r_[0, cut + 1]].tolist(), (places[np.r_[cut, len(places) - 1]] + 1).tolist()))
 
 
-def _scanner(shared):
+def _scanner(shared, keep: list[str], again: bool):
+    """Adds word counts, spans and items to the columns ``keep``; ``again`` unites them with those of an earlier pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
         for batch in batches:
             for piece in base.text_slices(batch):
                 words = base.Words(piece.column("text"), lower=True, alphabet=base.ALNUM)
-                spans: list[list] = [[] for _ in words.count]
-                items: list[list] = [[] for _ in words.count]
+                spans: list[list] = piece.column("hit_spans").to_pylist() if again else [[] for _ in words.count]
+                items: list[list] = piece.column("items").to_pylist() if again else [[] for _ in words.count]
                 places = index.candidates(words.hash)
                 owners = np.searchsorted(words.first, places, side="right") - 1
                 for doc in np.unique(owners).tolist():
                     first, last = int(words.first[doc]), int(words.first[doc + 1])
-                    marks, found = np.zeros(last - first, bool), set()
+                    marks, found = np.zeros(last - first, bool), set(items[doc])
+                    for span in spans[doc]:
+                        marks[span["start"]: span["end"]] = True
                     for a, b in _stretches(places[owners == doc] - first):
                         if b - a >= index.least - index.gram + 1:
                             end = min(b + index.gram - 1, last - first)
@@ -175,7 +179,7 @@ def _scanner(shared):
                         items[doc] = sorted(x for x in found if x is not None)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield base.batch_of(
-                    doc_id=piece.column("doc_id"), n_words=pa.array(words.count.astype(np.int64)),
+                    **{c: piece.column(c) for c in keep}, n_words=pa.array(words.count.astype(np.int64)),
                     hit_spans=pa.array(spans, kind), items=pa.array(items, pa.list_(pa.string())),
                 )
 
@@ -190,37 +194,30 @@ def _item_words(rows) -> list[tuple[str | None, np.ndarray]]:
     return out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, keep_rows: bool = False,
+) -> DataFrame:
     """Words of each document that lie in a benchmark window: spans of word numbers and the items hit.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; null texts have no words.  Repeated items count once
-    for each item_id; a null item_id marks words but is not listed.  An automaton never holds more than
-    ``max_item_bytes`` of item text (or one item); a larger benchmark is split by item hash and the passes are
-    united per document.
+    for each item_id; a null item_id marks words but is not listed.  An automaton never holds more than about
+    ``max_item_bytes`` of item text (or one item); a larger benchmark is split by item hash, and the documents stream
+    past one automaton after the other.  ``keep_rows`` adds the whole input row as ``_row``.
     """
     spark = docs.sparkSession
     base.ship_code(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // max_item_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = []
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_rows else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *whole)
     for shard in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
         index = ItemIndex(_item_words(own.collect()), window)  # at most about max_item_bytes
-        passes.append(rows.mapInArrow(_scanner(spark.sparkContext.broadcast(index)), SCHEMA))
-    if shards == 1:
-        return passes[0]
-    united = passes[0]
-    for other in passes[1:]:
-        united = united.unionByName(other)
-    joined = united.groupBy("doc_id", "n_words").agg(
-        F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.expr(
-        "aggregate(array_sort(spans), array(), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).end >= x.start,"
-        " concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end',"
-        " greatest(element_at(acc, -1).end, x.end)))), concat(acc, array(x))))".replace("array(),", "cast(array() as array<struct<start:int,end:int>>),"))
-    return joined.select("doc_id", "n_words", merged.alias("hit_spans"), "items")
+        keep = ["doc_id", *(["_row"] if keep_rows else []), *(["text"] if shard < shards - 1 else [])]
+        scan = _scanner(spark.sparkContext.broadcast(index), keep, shard > 0)
+        rows = rows.mapInArrow(scan, base.schema_of(rows, keep, FOUND))
+    return rows
 
 
 def with_verdict(hits: DataFrame, coverage: int = COVERAGE) -> DataFrame:

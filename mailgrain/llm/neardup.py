@@ -284,16 +284,17 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, nearest_rounds: int = 2,
+    keep_rows: bool = False,
 ) -> DataFrame:
     """Per document: n_shingles, component_id (smallest doc_id in reach) and kept (one document of each component).
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than ``shingle`` words is one shingle;
     a text without words is linked with nothing.  Rows with the same doc_id are separate documents in the order of
     their texts; only the first of a component is kept.  Rows without doc_id can be kept; ``component_id`` is the
-    smallest doc_id that is not null.
+    smallest doc_id that is not null.  ``keep_rows`` adds ``text`` and the other columns as ``_row``.
     """
     base.ship_code(docs.sparkSession)
-    keyed, unique = repeats.keyed_documents(docs)
+    keyed, unique = repeats.keyed_documents(docs, keep_rows)
     signed = base.store(keyed.mapInArrow(_signer(shingle), SIGNED), "signed")
     same = base.store(signed.where("n > 0").groupBy("n", "s1", "s2").agg(
         F.min("key").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("n", "s1", "s2", "node"), "same")
@@ -313,8 +314,12 @@ def near_duplicates(
         labels = _merge(labels, confirmed(pairs, keyed, shingle, percent))
     rooted = nodes.join(labels.select(F.col("v").alias("node"), "root"), "node", "left").select(
         "key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
-    if unique:
-        return rooted.select("doc_id", "n_shingles", F.col("root").alias("component_id"), (F.col("root") == F.col("key")).alias("kept"))
-    rooted = base.store(rooted, "rooted")
-    least = base.store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    return rooted.join(least, "root").select("doc_id", "n_shingles", "component_id", (F.col("root") == F.col("key")).alias("kept"))
+    found = rooted.select("key", "doc_id", "n_shingles", F.col("root").alias("component_id"), (F.col("root") == F.col("key")).alias("kept"))
+    if not unique:
+        rooted = base.store(rooted, "rooted")
+        least = base.store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+        found = rooted.join(least, "root").select(
+            "key", "doc_id", "n_shingles", "component_id", (F.col("root") == F.col("key")).alias("kept"))
+    if keep_rows:
+        found = found.join(keyed.select("key", "text", "_row"), "key")
+    return found.drop("key")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, brown, chat, decontaminate, neardup, packing, substrings, suffixes, toxicity, wavelet
+from mailgrain.llm import base, brown, chat, decontaminate, media, neardup, packing, substrings, suffixes, toxicity, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -21,6 +21,10 @@ def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.class_scores(base.table(spark, sf_dir, "documents"))
 
 
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(base.store(media.encode_texts(base.table(spark, sf_dir, "documents")), "media"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(base.table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown": op1_brown,
+    "op2_progressive_jpeg": op2_progressive_jpeg,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,

@@ -165,7 +165,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     return spans
 
 
-def _apply(keep_text: bool):
+def _apply(keep_text: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in base.text_slices(batch):
@@ -183,7 +183,7 @@ def _apply(keep_text: bool):
                     digests.append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
                     texts.append(whole_characters(own, gone) if keep_text else b"")
                 columns = dict(
-                    doc_id=rows.column("doc_id"), n_bytes=pa.array(lengths.astype(np.int64)), n_removed=pa.array(removed, pa.int64()),
+                    **{c: rows.column(c) for c in keep}, n_bytes=pa.array(lengths.astype(np.int64)), n_removed=pa.array(removed, pa.int64()),
                     n_spans=pa.array(runs, pa.int64()), kept_sha256=pa.array(digests))
                 if keep_text:
                     kept = pa.array([t.decode() for t in texts], pa.string())
@@ -203,14 +203,16 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
 
 def remove_repeated_bytes(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_limit: int = repeats.GROUP_LIMIT, keep_text: bool = True,
+    keep_rows: bool = False,
 ) -> DataFrame:
     """Per document: bytes, removed bytes and runs, digest of the kept bytes; with ``keep_text`` the kept text.
 
     The text keeps whole characters.  Null texts have no bytes and stay null.  Rows with the same doc_id are separate
-    documents in the order of their texts, a null doc_id comes first.
+    documents in the order of their texts, a null doc_id comes first.  ``keep_rows`` adds the columns but text as ``_row``.
     """
     base.ship_code(docs.sparkSession)
-    keyed, _ = repeats.keyed_documents(docs)
+    keyed, _ = repeats.keyed_documents(docs, keep_rows)
     spans = repeated_spans(keyed, window, gram, group_limit)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return repeats.joined_spans(keyed, spans).mapInArrow(_apply(keep_text), schema + (", kept_text string" if keep_text else ""))
+    keep = ["doc_id", *(["_row"] if keep_rows else [])]
+    found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    return repeats.joined_spans(keyed, spans).mapInArrow(_apply(keep_text, keep), base.schema_of(keyed, keep, found))
