@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,26 +68,40 @@ def chunk_regions(rolling: base.Rolling, bounds: np.ndarray, window: int, gram:
     return doc, first - bounds[doc], count, lead, base.signed(grams[at]), base.signed(whole)
 
 
-def keyed_documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+def keyed_documents(docs: DataFrame, keep_rows: bool = False) -> tuple[DataFrame, bool]:
     """``docs`` as (key, doc_id, text): the key is the doc_id where these are unique and not null.
 
     Otherwise rows are numbered by (doc_id, text), null first, so that repeated ids are documents of their own, later
-    ones after earlier ones.  The flag says which; the numbering needs one sort of the documents.
+    ones after earlier ones.  The flag says which; the numbering needs one sort of the documents.  ``keep_rows`` adds
+    the other columns as ``_row``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")] if keep_rows else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    rest = ["_row"] if keep_rows else []
     odd = rows.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), True
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text", *rest), True
     placed = base.store(
         rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .withColumn("at", F.monotonically_increasing_id()), "keyed")
-    return placed.select(F.col("at").alias("key"), "doc_id", "text"), False
+    return placed.select(F.col("at").alias("key"), "doc_id", "text", *rest), False
 
 
 REGION = "g long, ctx long, key long, place long"
 
 
+def _repeated_here(g: np.ndarray, ctx: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which regions of a chunk equal one of a smaller key in the chunk: they need not travel to be known as repeats."""
+    code = base.mix(g.view(np.uint64) ^ base.mix(ctx.view(np.uint64)))
+    order = np.lexsort((key, code))
+    opens = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    least = np.repeat(key[order][opens], np.diff(np.r_[opens, len(order)]))
+    out = np.zeros(len(key), bool)
+    out[order] = key[order] != least
+    return out
+
+
 def _region_mapper(symbols: Callable, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,8 +109,13 @@ def _region_mapper(symbols: Callable, window: int, gram: int):
                 rolling, bounds = symbols(rows.column("text"))
                 doc, first, count, lead, g, ctx = chunk_regions(rolling, bounds, window, gram)
                 if len(doc):
-                    keys = np.asarray(rows.column("key"))
-                    yield base.batch_of(g=g, ctx=ctx, key=keys[doc], place=(first << 16) | (lead << 8) | count)
+                    key = np.asarray(rows.column("key"))[doc]
+                    place = (first << 16) | (lead << 8) | count
+                    late = _repeated_here(g, ctx, key)
+                    # known repeats go anywhere, so that a frequent region is no hot key
+                    spread = base.signed(base.mix(key.view(np.uint64) * np.uint64(31) + place.view(np.uint64)))
+                    yield base.batch_of(
+                        g=np.where(late, spread, g), ctx=ctx, key=key, place=place, late=pa.array(late))
 
     return run
 
@@ -108,6 +128,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # the first region of the newest class, if it is the first class of its gram
     last_g = last_ctx = last_key = None
     for batch in batches:
+        late = batch.filter(batch.column("late"))
+        if late.num_rows:
+            yield base.batch_of(**{n: late.column(n) for n in names}, kind=pa.array(np.zeros(late.num_rows, np.int8)))
+        batch = batch.filter(pc.invert(batch.column("late")))
         if not batch.num_rows:
             continue
         g, ctx, key, place = (np.asarray(batch.column(c)) for c in names)
@@ -144,7 +168,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_regions(docs: DataFrame, symbols: Callable, window: int, gram: int) -> DataFrame:
     """Stored regions of keyed documents that share their gram: (g, ctx, key, place, kind), see :func:`_classes`."""
-    regions = docs.select("key", "text").mapInArrow(_region_mapper(symbols, window, gram), REGION)
+    regions = docs.select("key", "text").mapInArrow(_region_mapper(symbols, window, gram), REGION + ", late boolean")
     ordered = regions.repartition("g").sortWithinPartitions("g", "ctx", "key", "place")
     return base.store(ordered.mapInArrow(_classes, REGION + ", kind byte"), "regions")
 
