@@ -178,7 +178,8 @@ def best_class(matrix: np.ndarray, now: int, left: np.ndarray, right: np.ndarray
     gain = (_xlogx(m + right) - _xlogx(m)).sum(axis=1) + (_xlogx(m.T + left) - _xlogx(m.T)).sum(axis=1)
     corner = np.diagonal(m)
     gain += _xlogx(corner + left + right + own) + _xlogx(corner) - _xlogx(corner + right) - _xlogx(corner + left)
-    rows, columns = m.sum(axis=1), m.sum(axis=0)
+    # wherever the item goes, the classes before and after it keep their counts with it
+    rows, columns = m.sum(axis=1) + left, m.sum(axis=0) + right
     gain -= _xlogx(rows + right.sum() + own) - _xlogx(rows)
     gain -= _xlogx(columns + left.sum() + own) - _xlogx(columns)
     gain[0] = -np.inf
