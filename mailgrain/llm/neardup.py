@@ -31,7 +31,7 @@ SHINGLE, PERCENT = 4, 80
 SAMPLES, ROWS = 128, 4
 BANDS = SAMPLES // ROWS
 SAMPLE_BITS, SET_BITS = 256, 2048
-BLOCK = 2048
+BLOCK = 1024
 _SEEDS = base.mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
