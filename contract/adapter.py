@@ -180,8 +180,8 @@ BLOCKS = {
         FROM classes WHERE email_id % 2 = 0""",
     "vectors": """
         SELECT m.id AS email_id, e.embedding, e.label
-        FROM embeddings e JOIN labelled m
-          ON m.id = CAST(floor(CAST(e.vec_id AS DOUBLE) / 8) AS BIGINT) * 100 + e.vec_id % 8
+        FROM labelled m JOIN (SELECT count(*) AS n FROM embeddings) c ON c.n > 0
+          JOIN embeddings e ON e.vec_id = (m.id * 7 + 3) % c.n
         WHERE NOT m.is_sent""",
     "assignments": """
         SELECT f.email_id, CAST(f.email_id % 15 AS INT) AS people_cluster_id,

@@ -944,7 +944,7 @@ def n1(spark, d):
     **CLUSTERED,
 )
 def n2(spark, d):
-    out = projects.detect_projects(table(spark, d, "meta"), _activity(spark, d), now(), limit=10_000)
+    out = projects.detect_projects(table(spark, d, "meta"), _activity(spark, d), now())
     return present(out.select("cluster_id", F.col("confidence").alias("score"), "reason"))
 
 
@@ -957,7 +957,7 @@ def n3(spark, d):
 @query(
     "N4_detect_projects",
     "SELECT cluster_id, score >= 0.4 AS is_project, CASE WHEN score >= 0.4 THEN fresh END AS status, round(CAST(score AS DOUBLE), 6) AS confidence "
-    "FROM (SELECT * FROM points ORDER BY size DESC, cluster_id LIMIT 100)",
+    "FROM points",
     **CLUSTERED,
 )
 def n4(spark, d):

@@ -162,6 +162,66 @@ def a3(spark, d):
     ))
 
 
+@query(
+    "A3_deep_parts",
+    "SELECT id, concat('level ', id % 30 + 1) AS body_text, concat('<p>', id % 30 + 1, '</p>') AS body_html, id % 3 = 0 AS has_attachments FROM messages",
+    ("messages",),
+)
+def a3_deep(spark, d):
+    """Plain text, HTML and attachment in the innermost of 1 to 30 nested levels."""
+    depth = (F.col("id") % 30 + 1).cast("int")
+
+    def data(text):
+        return F.regexp_replace(F.base64(text.cast("binary")), r"\s", "")
+
+    def leaf(mime, text, name):
+        return F.format_string('{"mimeType":"%s","filename":"%s","body":{"data":"%s"}}', F.lit(mime), name, data(text))
+
+    level = depth.cast("string")
+    blank = F.lit("")
+    parts = F.concat_ws(
+        ",", leaf("text/plain", F.concat(F.lit("level "), level), blank), leaf("text/html", F.concat(F.lit("<p>"), level, F.lit("</p>")), blank),
+        leaf("application/pdf", blank, F.when(F.col("id") % 3 == 0, "a.pdf").otherwise("")))
+    opened = F.repeat(F.lit('{"mimeType":"multipart/mixed","parts":['), depth)
+    doc = F.concat(F.lit('{"id":"'), F.col("id").cast("string"), F.lit('","payload":'), opened, parts, F.repeat(F.lit("]}"), depth), F.lit("}"))
+    parsed = documents.parse_api_messages(table(spark, d, "messages").select(doc.alias("json")))
+    return parsed.select(F.col("provider_id").cast("long").alias("id"), "body_text", "body_html", "has_attachments")
+
+
+@query(
+    "B15_api_to_messages",
+    """
+    SELECT concat('<', message_id, '@x>') AS message_id, CASE WHEN id % 5 = 0 THEN '<parent@x>' END AS in_reply_to, lower(from_email) AS from_email,
+      concat('a@b.example|', lower(from_email)) AS to_emails, trim(substring(body, 1, 200)) AS body_preview,
+      CAST(len(regexp_extract_all(body, '[^ ]+')) AS INT) AS word_count, id % 4 = 0 AS is_sent, id % 4 = 0 AS has_labels
+    FROM (SELECT *, concat('Note ', id, ' of thread ', thread_id, repeat(' and more', CAST(id % 40 AS INT))) AS body FROM messages)
+    """,
+    ("messages",),
+)
+def b15_api(spark, d):
+    """API documents all the way to the message table."""
+    m = table(spark, d, "messages")
+
+    def header(name, value):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    body = F.concat(F.lit("Note "), F.col("id").cast("string"), F.lit(" of thread "), F.col("thread_id"), F.repeat(F.lit(" and more"), (F.col("id") % 40).cast("int")))
+    headers = F.array(
+        header("Message-ID", F.concat(F.lit("<"), "message_id", F.lit("@x>"))), header("From", F.col("from_email")),
+        header("To", F.concat(F.lit("a@b.example, "), F.col("from_email"))),
+        header("In-Reply-To", F.when(F.col("id") % 5 == 0, "<parent@x>").otherwise("")),
+    )
+    payload = F.struct(
+        F.lit("text/plain").alias("mimeType"), headers.alias("headers"),
+        F.struct(F.regexp_replace(F.base64(body.cast("binary")), r"\s", "").alias("data")).alias("body"))
+    labels = F.when(F.col("id") % 4 == 0, F.array(F.lit("SENT"), F.lit("IMPORTANT"))).otherwise(F.array().cast("array<string>"))
+    doc = F.to_json(F.struct(F.col("message_id").alias("id"), F.col("thread_id").alias("threadId"), labels.alias("labelIds"), payload.alias("payload")))
+    out = documents.api_to_messages(documents.parse_api_messages(m.select(doc.alias("json"))))
+    return present(out.select(
+        "message_id", "in_reply_to", "from_email", "to_emails", F.trim("body_preview").alias("body_preview"), "word_count", "is_sent",
+        F.col("labels").isNotNull().alias("has_labels")))
+
+
 # ------------------------------------------------------------------ tables
 
 
@@ -406,10 +466,10 @@ def b11(spark, d):
 
 @query(
     "B12_decode_headers",
-    "SELECT doc_id, substring(text, 1, 40) AS subject FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)",
+    "SELECT doc_id, replace(text, chr(10), ' ') AS subject FROM documents",
 )
 def b12(spark, d):
-    text = F.substring(F.regexp_replace("text", "\n", " "), 1, 40)
+    text = F.regexp_replace("text", "\n", " ")
     word = F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(text.cast("binary")), r"\s", ""), F.lit("?="))
     return driver_table(spark, d, "documents").select("doc_id", archive.decode_headers(word).alias("subject"))
 

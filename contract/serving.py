@@ -117,11 +117,11 @@ def l4(spark, d):
 
 @query(
     "L5_parse_model_json",
-    "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'task' END AS action_type, CASE WHEN doc_id % 4 <> 3 THEN substring(replace(replace(text, chr(10), ' '), '\"', ''), 1, 50) END AS one_liner, "
+    "SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'task' END AS action_type, CASE WHEN doc_id % 4 <> 3 THEN replace(replace(replace(replace(text, chr(10), ' '), '\"', ''), '\\', ''), chr(9), ' ') END AS one_liner, "
     "doc_id % 4 = 3 AS parse_error FROM documents",
 )
 def l5(spark, d):
-    line = F.substring(F.regexp_replace(F.regexp_replace("text", "\n", " "), '"', ""), 1, 50)
+    line = F.translate("text", '\n\t"\\', "  ")
     json = F.concat(F.lit('{"action_type": "task", "one_liner": "'), line, F.lit('"}'))
     reply = (
         F.when(F.col("doc_id") % 4 == 0, json).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Sure:\n```json\n"), json, F.lit("\n```\n")))
@@ -721,8 +721,8 @@ def q6(spark, d):
 
 @query(
     "Q7_phase_partition",
-    f"SELECT id, CASE WHEN age < 7 THEN 'quick' WHEN age < 30 THEN 'standard' ELSE 'deep' END AS phase, CAST(CASE WHEN age < 7 THEN 100 WHEN age < 30 THEN 200 ELSE 500 END AS INT) AS batch_size, "
-    f"age < 30 AS run_vectors FROM (SELECT id, ({NOW_S} - date_s) / 86400.0 AS age FROM messages) WHERE age >= 0 AND age < 90",
+    f"SELECT id, CASE WHEN age < 7 THEN 'quick' WHEN age < 30 THEN 'standard' WHEN age < 90 THEN 'deep' END AS phase, CAST(CASE WHEN age < 7 THEN 100 WHEN age < 30 THEN 200 WHEN age < 90 THEN 500 END AS INT) AS batch_size, "
+    f"CASE WHEN age < 90 THEN age < 30 END AS run_vectors FROM (SELECT id, ({NOW_S} - date_s) / 86400.0 AS age FROM messages)",
     ("messages",),
 )
 def q7(spark, d):
@@ -733,7 +733,7 @@ def q7(spark, d):
 @query(
     "Q7_phase_plan",
     f"SELECT CASE WHEN age < 7 THEN 'quick' WHEN age < 30 THEN 'standard' ELSE 'deep' END AS phase, count(*) AS messages, CAST(ceil(count(*) / CASE WHEN any_value(age) < 7 THEN 100 WHEN any_value(age) < 30 THEN 200 ELSE 500 END) AS BIGINT) AS batches "
-    f"FROM (SELECT id, ({NOW_S} - date_s) / 86400.0 AS age FROM messages) WHERE age >= 0 AND age < 90 GROUP BY 1",
+    f"FROM (SELECT id, ({NOW_S} - date_s) / 86400.0 AS age FROM messages) WHERE age < 90 GROUP BY 1",
     ("messages",),
 )
 def q7_plan(spark, d):

@@ -12,6 +12,7 @@ from mailgrain.constants import (
     NEXT_DAY_BELOW, SAME_DAY_BELOW, STALE_AFTER_DAYS,
 )
 from mailgrain.functions.normalize import contains_any
+from mailgrain.session import loose
 
 
 LABEL_COLUMNS = ["action", "timing", "response_time_seconds"]
@@ -88,10 +89,10 @@ def _has_label(label: str) -> Column:
 
 
 def frequent_senders(contacts: DataFrame) -> DataFrame:
-    """Lower-cased addresses that sent more than the threshold."""
-    return contacts.filter(F.col("emails_from") > FREQUENT_SENDER_ABOVE).select(
+    """Lower-cased addresses that sent more than the threshold; a hot sender can be split at the join with them."""
+    return loose(contacts.filter(F.col("emails_from") > FREQUENT_SENDER_ABOVE).select(
         F.lower("email").alias("_sender")
-    ).distinct()
+    ).distinct())
 
 
 def is_starred() -> Column:

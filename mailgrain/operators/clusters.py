@@ -172,9 +172,9 @@ def assign_clusters(
 ) -> DataFrame:
     """J1-J8 end to end."""
     people = membership(cluster(people_matrix(features, messages), "people", seed, restarts))
-    try:
+    if not vectors.isEmpty():
         content = membership(cluster_content(vectors, seed, restarts))
-    except ValueError:
+    else:
         content = people.select("email_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("prob"))
     return cluster_assignments(
         people,

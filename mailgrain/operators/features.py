@@ -11,6 +11,7 @@ from mailgrain.functions import scoring as S
 from mailgrain.functions.html import strip_html_basic
 from mailgrain.functions.normalize import spaced_words, word_count
 from mailgrain.operators.actions import reference_date
+from mailgrain.session import loose
 
 
 def _ref(messages: DataFrame, ref: datetime | Column | None) -> Column:
@@ -98,8 +99,9 @@ def message_features(
     """one feature row per received message.
 
     The sender lookup has one row per sender.  It grows with the mailbox, so
-    it carries no broadcast hint: the planner broadcasts it while it is small
-    and adaptive execution splits a hot sender otherwise.
+    it carries no broadcast hint: the planner broadcasts it while it is small,
+    and beyond that it is dealt out apart from its aggregation, which lets
+    adaptive execution split a hot sender.
     """
     stats = stats if stats is not None else sender_stats(messages, ref)
     latest = _ref(messages, ref)
@@ -134,7 +136,7 @@ def message_features(
             F.coalesce(F.size("to_emails"), F.lit(0)) + F.coalesce(F.size("cc_emails"), F.lit(0))
         ).alias("recipient_count"),
     )
-    rows = received.join(stats, "sender", "left")
+    rows = received.join(loose(stats), "sender", "left")
 
     def stat(name: str, default=0) -> Column:
         return F.coalesce(F.col(name), F.lit(default))

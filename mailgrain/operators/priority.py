@@ -9,7 +9,7 @@ from mailgrain.constants import MIN_SENDER_VECTORS, PRIORITY_WEIGHTS
 from mailgrain.functions import scoring as S
 from mailgrain.functions.vectors import cosine_distance
 from mailgrain.operators.vectors import centroid, minmax, range_of, scaled
-from mailgrain.session import cut_lineage
+from mailgrain.session import cut_lineage, loose
 
 COMPONENTS = ["replied_similarity", "cluster_novelty", "sender_novelty"]
 
@@ -23,51 +23,75 @@ def feature_score(messages: DataFrame, features: DataFrame) -> DataFrame:
     return features.join(received, "email_id").select("email_id", score.alias("feature_score"))
 
 
-def _replied_centroid(vectors: DataFrame, messages: DataFrame) -> Column:
-    replied = messages.filter(F.col("action") == "REPLIED").select(F.col("id").alias("email_id"))
-    return centroid(vectors.join(replied, "email_id", "left_semi")).select("centroid").scalar()
+#: centroids of senders are broadcast up to so many numbers (64 MB of doubles), and joined by a split shuffle beyond
+BROADCAST_NUMBERS = 8_000_000
 
 
-def replied_similarity(vectors: DataFrame, messages: DataFrame) -> DataFrame:
-    """K2: scaled cosine to the centroid of answered messages; no rows if none was answered."""
-    target = _replied_centroid(vectors, messages)
-    raw = vectors.withColumn("_target", target).select(
+def placed_vectors(vectors: DataFrame, messages: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
+    """Checkpointed ``email_id, embedding, action, from_email, is_sent, content_cluster_id``.
+
+    The narrow attributes meet the vectors once; every centroid and distance is then computed on this table.
+    """
+    mail = messages.select(F.col("id").alias("email_id"), "action", "from_email", "is_sent")
+    if assignments is None:
+        mail = mail.withColumn("content_cluster_id", F.lit(None).cast("int")).withColumn("_assigned", F.lit(False))
+    else:
+        own = assignments.select("email_id", "content_cluster_id", F.lit(True).alias("_assigned"))
+        mail = mail.join(own, "email_id", "full")
+    return cut_lineage(vectors.select("email_id", "embedding").join(mail, "email_id", "left"))
+
+
+def _replied_raw(placed: DataFrame) -> DataFrame:
+    target = centroid(placed.filter(F.col("action") == "REPLIED")).select("centroid").scalar()
+    return placed.withColumn("_target", target).select(
         "email_id", (1 - cosine_distance("embedding", "_target")).alias("replied_similarity")
     )
-    return minmax(raw, "replied_similarity", costly=True)
 
 
-def _cluster_raw(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
-    placed = assignments.select("email_id", "content_cluster_id").join(
-        vectors.select("email_id", "embedding"), "email_id"
-    )
-    centers = centroid(
-        placed.filter(F.col("content_cluster_id").isNotNull() & (F.col("content_cluster_id") != -1)),
-        ["content_cluster_id"],
-    ).drop("n")
+def replied_similarity(vectors: DataFrame, messages: DataFrame) -> DataFrame:
+    """K2: scaled cosine to the centroid of answered messages; no rows if none was answered."""
+    return minmax(_replied_raw(placed_vectors(vectors, messages)), "replied_similarity", costly=True)
+
+
+def _with_centroids(rows: DataFrame, centers: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``centroid`` by ``key``, so that a key with many vectors holds up no task.
+
+    Centroids are counted first: while they are small they are broadcast and no vector moves; beyond, they are dealt
+    out apart from their aggregation and adaptive execution splits hot keys.
+    """
+    centers = cut_lineage(centers)
+    size = centers.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    return rows.join(F.broadcast(centers) if size <= BROADCAST_NUMBERS else loose(centers), key, "left")
+
+
+def _cluster_raw(placed: DataFrame) -> DataFrame:
+    rows = placed.filter("_assigned")
+    real = F.col("content_cluster_id").isNotNull() & (F.col("content_cluster_id") != -1)
+    centers = centroid(rows.filter(real), ["content_cluster_id"]).drop("n")
     novelty = (
         F.when(F.col("content_cluster_id") == -1, 1.0).when(F.col("centroid").isNull(), 0.5)
         .otherwise(cosine_distance("embedding", "centroid"))
     )
-    return placed.join(centers, "content_cluster_id", "left").select("email_id", novelty.alias("cluster_novelty"))
+    return _with_centroids(rows, centers, "content_cluster_id").select("email_id", novelty.alias("cluster_novelty"))
 
 
 def cluster_novelty(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """K3: scaled distance to the own content cluster; noise is 1, no centroid 0.5."""
-    return minmax(_cluster_raw(vectors, assignments), "cluster_novelty", costly=True)
+    own = assignments.select("email_id", "content_cluster_id", F.lit(True).alias("_assigned"))
+    placed = cut_lineage(vectors.select("email_id", "embedding").join(own, "email_id"))
+    return minmax(_cluster_raw(placed), "cluster_novelty", costly=True)
 
 
-def _sender_raw(vectors: DataFrame, messages: DataFrame) -> DataFrame:
-    received = messages.filter(~F.col("is_sent")).select(F.col("id").alias("email_id"), "from_email")
-    sent_by = received.join(vectors.select("email_id", "embedding"), "email_id")
-    centers = centroid(sent_by, ["from_email"]).filter(F.col("n") >= MIN_SENDER_VECTORS).drop("n")
+def _sender_raw(placed: DataFrame) -> DataFrame:
+    rows = placed.filter(~F.col("is_sent"))
+    centers = centroid(rows, ["from_email"]).filter(F.col("n") >= MIN_SENDER_VECTORS).drop("n")
     novelty = F.when(F.col("centroid").isNull(), 0.5).otherwise(cosine_distance("embedding", "centroid"))
-    return sent_by.join(centers, "from_email", "left").select("email_id", novelty.alias("sender_novelty"))
+    return _with_centroids(rows, centers, "from_email").select("email_id", novelty.alias("sender_novelty"))
 
 
 def sender_novelty(vectors: DataFrame, messages: DataFrame) -> DataFrame:
     """K4: scaled distance to the sender's centroid; 0.5 below three vectors."""
-    return minmax(_sender_raw(vectors, messages), "sender_novelty", costly=True)
+    return minmax(_sender_raw(placed_vectors(vectors, messages)), "sender_novelty", costly=True)
 
 
 def _blend() -> Column:
@@ -138,16 +162,26 @@ def score_messages(
 ) -> DataFrame:
     """K1-K6 in one frame.
 
-    The three vector components are computed side by side into one narrow
-    table, which is checkpointed: its ranges and its rows are both needed, and
-    the vectors behind it should be read once.
+    The vectors are scanned once, with their attributes, into a checkpointed table, and the three components become
+    columns of its rows where centroids are small; the narrow result is checkpointed too, as its ranges and its rows
+    are both needed.
     """
-    target = _replied_centroid(vectors, messages)
-    base = vectors.withColumn("_target", target).select(
-        "email_id", (1 - cosine_distance("embedding", "_target")).alias("replied_similarity")
-    )
-    raw = base.join(_cluster_raw(vectors, assignments), "email_id", "left").join(
-        _sender_raw(vectors, messages), "email_id", "left"
+    placed = placed_vectors(vectors, messages, assignments)
+    real = F.col("content_cluster_id").isNotNull() & (F.col("content_cluster_id") != -1)
+    target = centroid(placed.filter(F.col("action") == "REPLIED")).select("centroid").scalar()
+    clusters = centroid(placed.filter(F.col("_assigned") & real), ["content_cluster_id"]).drop("n")
+    senders = centroid(placed.filter(~F.col("is_sent")), ["from_email"]).filter(F.col("n") >= MIN_SENDER_VECTORS).drop("n")
+    rows = placed.withColumn("_target", target).withColumn(
+        "replied_similarity", 1 - cosine_distance("embedding", "_target")).drop("_target")
+    rows = _with_centroids(rows, clusters, "content_cluster_id").withColumn(
+        "cluster_novelty",
+        F.when(F.col("_assigned"), F.when(F.col("content_cluster_id") == -1, 1.0).when(F.col("centroid").isNull(), 0.5)
+               .otherwise(cosine_distance("embedding", "centroid"))),
+    ).drop("centroid")
+    raw = _with_centroids(rows, senders, "from_email").select(
+        "email_id", "replied_similarity", "cluster_novelty",
+        F.when(~F.col("is_sent"), F.when(F.col("centroid").isNull(), 0.5).otherwise(cosine_distance("embedding", "centroid")))
+        .alias("sender_novelty"),
     )
     raw = cut_lineage(raw)
     parts = raw.withColumn("_b", range_of(raw, COMPONENTS)).select("email_id", *[scaled(c, F.col("_b")).alias(c) for c in COMPONENTS])

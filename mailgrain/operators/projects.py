@@ -62,14 +62,16 @@ def _with_activity(meta: DataFrame, activity: DataFrame) -> DataFrame:
 
 
 def detect_projects(
-    meta: DataFrame, activity: DataFrame, now, min_score: float = 0.4, limit: int = 100,
+    meta: DataFrame, activity: DataFrame, now, min_score: float = 0.4, limit: int | None = None,
     rules: ProjectRules = ProjectRules(), user_id: str | None = None,
 ) -> DataFrame:
-    """Score the largest content clusters and flag projects.
+    """Score content clusters, all or the ``limit`` largest, and flag projects.
 
     ``cluster_id, is_project, status, confidence, reason``.
     """
-    largest = _content(meta, user_id).orderBy(F.desc("size"), "cluster_id").limit(limit)
+    largest = _content(meta, user_id)
+    if limit is not None:
+        largest = largest.orderBy(F.desc("size"), "cluster_id").limit(limit)
     rows = _with_activity(largest, activity)
     score, reason = S.project_score(
         F.col("size"), F.col("pct_replied"), F.col("_people"), F.col("_last"), F.col("coherence_score"), _now(now), rules

@@ -249,4 +249,4 @@ def search_messages(messages: DataFrame, priority: DataFrame, query: str, limit:
     ranked = hits.join(priority.select(F.col("email_id").alias("id"), "priority_rank"), "id", "left")
     if limit is None:
         return ranked
-    return ranked.orderBy(F.asc_nulls_last("priority_rank"), F.desc("date_parsed"), "id").limit(min(limit, 50))
+    return ranked.orderBy(F.asc_nulls_last("priority_rank"), F.desc("date_parsed"), "id").limit(limit)

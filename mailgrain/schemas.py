@@ -35,20 +35,10 @@ MESSAGE = _flat(
     "attachment_count int, is_sent boolean, action string, timing string, response_time_seconds int"
 )
 
-# one provider message; nested parts are opened PART_DEPTH levels deep
-_HEADERS = "headers: array<struct<name: string, value: string>>"
-_BODY = "mimeType: string, filename: string, body: struct<data: string>"
-
-
-def _part(depth: int) -> str:
-    nested = f", parts: array<{_part(depth - 1)}>" if depth else ""
-    return f"struct<{_BODY}, {_HEADERS}{nested}>"
-
-
-PART_DEPTH = 8
+# one provider message; its part tree has no bounded depth and is read apart
 API_MESSAGE = (
     "id string, threadId string, historyId string, labelIds array<string>, snippet string, sizeEstimate int, "
-    f"payload {_part(PART_DEPTH)}"
+    "payload struct<headers: array<struct<name: string, value: string>>>"
 )
 
 EVENT = _flat(

@@ -58,13 +58,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a table that arrives in fewer files than there are cores.
+    """Round-robin a table whose files may be single row groups, which no scan can split."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
-    A file with one row group is one task however large the cluster is.
-    Tables of many files are left alone: their scan is parallel already.
+
+def loose(lookup: DataFrame) -> DataFrame:
+    """A grouped lookup that meets its join by a shuffle of its own.
+
+    The partitioning of an aggregate satisfies a join on its key; the join then has no exchange on that side, and
+    adaptive execution cannot duplicate the lookup for the pieces of a hot key.  Dealing out the (small) lookup once
+    more frees the join, so a key with a third of the large side is split over many tasks.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return lookup.hint("rebalance")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgrain.functions import normalize as N
-from mailgrain.schemas import API_MESSAGE, MESSAGE_JSON, PART_DEPTH
+from mailgrain.schemas import API_MESSAGE, MESSAGE, MESSAGE_JSON
 
 
 def read_message_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -24,34 +28,46 @@ def _decoded(data: Column) -> Column:
     return F.make_valid_utf8(F.unbase64(F.translate(data, "-_", "+/")).cast("string"))
 
 
-def _body(part: Column, kind: str, depth: int) -> Column:
-    """First body of a MIME type in document order; own body before the parts."""
-    own = F.when(F.coalesce(part["mimeType"], F.lit("")).contains(kind), _decoded(part["body"]["data"]))
-    if kind == "text/html":
-        # a part counts as plain text first
-        own = F.when(~F.coalesce(part["mimeType"], F.lit("")).contains("text/plain"), own)
-    if not depth:
-        return own
-    nested = F.filter(F.transform(part["parts"], lambda p: _body(p, kind, depth - 1)), lambda b: b != "")
-    return F.when(own != "", own).otherwise(F.coalesce(F.try_element_at(nested, F.lit(1)), own))
-
+PARTS = "plain array<string>, html array<string>, attached boolean"
 
-def _has_attachment(part: Column, depth: int) -> Column:
-    if not depth:
-        return F.lit(False)
 
-    def attached(p: Column) -> Column:
-        disposition = F.exists(
-            p["headers"],
-            lambda h: (F.lower(h["name"]) == "content-disposition") & F.lower(h["value"]).contains("attachment"),
-        )
-        return (
-            (F.coalesce(p["filename"], F.lit("")) != "")
-            | F.coalesce(disposition, F.lit(False))
-            | _has_attachment(p, depth - 1)
-        )
+def walk_parts(payload: dict | None) -> tuple[list[str], list[str], bool]:
+    """Encoded plain and HTML bodies of a message in document order, and whether a part is an attachment.
 
-    return F.coalesce(F.exists(part["parts"], attached), F.lit(False))
+    Parts may be nested to any depth.  A part that counts as plain text never counts as HTML.
+    """
+    plain, html, attached = [], [], False
+    waiting = [(payload, True)] if isinstance(payload, dict) else []
+    while waiting:
+        part, top = waiting.pop()
+        kind, data = part.get("mimeType") or "", (part.get("body") or {}).get("data")
+        if data:
+            if "text/plain" in kind:
+                plain.append(data)
+            elif "text/html" in kind:
+                html.append(data)
+        if not top:
+            named = {(h.get("name") or "").lower(): (h.get("value") or "").lower() for h in part.get("headers") or [] if isinstance(h, dict)}
+            attached = attached or bool(part.get("filename")) or "attachment" in named.get("content-disposition", "")
+        waiting += [(p, False) for p in reversed(part.get("parts") or []) if isinstance(p, dict)]
+    return plain, html, attached
+
+
+def _parts(documents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for series in documents:
+        found = []
+        for text in series:
+            try:
+                payload = json.loads(text).get("payload") if text else None
+            except (ValueError, AttributeError):
+                payload = None
+            found.append(walk_parts(payload))
+        yield pd.DataFrame(found, columns=["plain", "html", "attached"])
+
+
+def _first_body(bodies: Column) -> Column:
+    """First body that is not empty."""
+    return F.try_element_at(F.filter(F.transform(bodies, _decoded), lambda b: b != ""), F.lit(1))
 
 
 def parse_api_messages(df: DataFrame, column: str = "json", now=None) -> DataFrame:
@@ -61,7 +77,9 @@ def parse_api_messages(df: DataFrame, column: str = "json", now=None) -> DataFra
     """
     doc = F.from_json(F.col(column), API_MESSAGE)
     rows = df.withColumn("_m", doc).filter(F.col("_m.id").isNotNull() & (F.col("_m.id") != ""))
-    part, headers = F.col("_m.payload"), F.col("_m.payload.headers")
+    # a schema cannot nest without end, so the part tree is walked in Arrow batches
+    rows = rows.withColumn("_p", F.pandas_udf(_parts, PARTS)(F.col(column)))
+    headers = F.col("_m.payload.headers")
 
     def text(name: str) -> Column:
         return F.coalesce(_header(headers, name), F.lit(""))
@@ -84,9 +102,9 @@ def parse_api_messages(df: DataFrame, column: str = "json", now=None) -> DataFra
         F.coalesce(N.parse_mail_date(text("date")), fallback).alias("date_parsed"),
         _header(headers, "in-reply-to").alias("in_reply_to"),
         N.reference_ids(text("references")).alias("references"),
-        F.coalesce(_body(part, "text/plain", PART_DEPTH), F.lit("")).alias("body_text"),
-        _body(part, "text/html", PART_DEPTH).alias("body_html"),
-        _has_attachment(part, PART_DEPTH).alias("has_attachments"),
+        F.coalesce(_first_body(F.col("_p.plain")), F.lit("")).alias("body_text"),
+        _first_body(F.col("_p.html")).alias("body_html"),
+        F.coalesce("_p.attached", F.lit(False)).alias("has_attachments"),
     )
 
 
@@ -126,6 +144,35 @@ def build_messages(raw: DataFrame) -> DataFrame:
     )
 
 
-def with_ids(messages: DataFrame, start: int | Column = 0) -> DataFrame:
-    """Surrogate ``id`` from the message id: stable under re-runs, no global count needed."""
+def api_to_messages(parsed: DataFrame) -> DataFrame:
+    """B15 for API documents: rows of :func:`parse_api_messages` as the message table, with ids.
+
+    Mail is sent if it has the SENT label; the preview is the raw start of the body and words are split at white space.
+    """
+    body = N.sanitize_text("body_text")
+    rows = parsed.select(
+        "message_id", "thread_id", N.null_if_blank(F.col("in_reply_to")).alias("in_reply_to"), "date_parsed", "from_email",
+        "from_name", _null_if_empty(F.col("to_emails")).alias("to_emails"), _null_if_empty(F.col("cc_emails")).alias("cc_emails"),
+        N.sanitize_text("subject").alias("subject"), body.alias("body_text"), N.raw_preview(body).alias("body_preview"),
+        F.coalesce(F.regexp_count(body, F.lit(r"\S+")), F.lit(0)).alias("word_count"), _null_if_empty(F.col("labels")).alias("labels"), "has_attachments",
+        F.lit(None).cast("int").alias("attachment_count"),
+        F.coalesce(F.array_contains("labels", "SENT"), F.lit(False)).alias("is_sent"),
+        F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("timing"),
+        F.lit(None).cast("int").alias("response_time_seconds"),
+    )
+    return with_ids(rows).select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields])
+
+
+def with_ids(messages: DataFrame) -> DataFrame:
+    """Surrogate ``id`` from the message id: stable under re-runs, no global count needed.
+
+    It is 62 bits of a hash; :func:`id_collisions` counts message ids that share one, and a run refuses to go on with any.
+    """
     return messages.select(F.xxhash64("message_id").bitwiseAND((1 << 62) - 1).alias("id"), "*")
+
+
+def id_collisions(messages: DataFrame) -> DataFrame:
+    """``id`` of different messages, and how many share it."""
+    return messages.groupBy("id").agg(
+        F.min("message_id").alias("_low"), F.max("message_id").alias("_high"), F.count(F.lit(1)).alias("messages")
+    ).filter(F.col("_low") < F.col("_high")).select("id", "messages")

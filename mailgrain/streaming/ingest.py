@@ -106,13 +106,18 @@ def ingest_stream(
 
 
 def phase_partition(messages: DataFrame, now, phases=BACKFILL_PHASES) -> DataFrame:
-    """Q7: the back-fill phase of each message with its settings; older mail is left out."""
+    """Q7: the back-fill phase of each message with its settings.
+
+    Every message comes back: mail dated after ``now`` is in the first phase, mail without a date or older than the
+    last phase has null settings.
+    """
     at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     age = (F.unix_micros(at) - F.unix_micros("date_parsed")) / 86_400_000_000
     chosen = F.when(F.lit(False), F.struct(*_phase_fields(phases[0], 0)))
     for number, phase in enumerate(phases):
-        chosen = chosen.when((age >= phase[1]) & (age < phase[2]), F.struct(*_phase_fields(phase, number)))
-    return messages.withColumn("_p", chosen).filter(F.col("_p").isNotNull()).select("*", "_p.*").drop("_p")
+        since = F.lit(True) if number == 0 else age >= phase[1]
+        chosen = chosen.when(since & (age < phase[2]), F.struct(*_phase_fields(phase, number)))
+    return messages.withColumn("_p", chosen).select("*", "_p.*").drop("_p")
 
 
 def _phase_fields(phase: tuple, number: int) -> list[Column]:
@@ -126,7 +131,7 @@ def _phase_fields(phase: tuple, number: int) -> list[Column]:
 
 def phase_plan(phased: DataFrame) -> DataFrame:
     """Q7: messages and batches per phase."""
-    return phased.groupBy("phase", "phase_order", "batch_size").agg(F.count(F.lit(1)).alias("messages")).withColumn(
+    return phased.filter(F.col("phase").isNotNull()).groupBy("phase", "phase_order", "batch_size").agg(F.count(F.lit(1)).alias("messages")).withColumn(
         "batches", F.ceil(F.col("messages") / F.col("batch_size"))
     )
 
