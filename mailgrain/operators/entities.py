@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailgrain.constants import TASK_TYPES_BY_ACTION, URGENCY_SCORES
 from mailgrain.functions import scoring as S
-from mailgrain.operators.tables import upsert_counts
+from mailgrain.operators.tables import upsert, upsert_counts
 
 
 def _mapped(c: Column, values: dict, default) -> Column:
@@ -52,9 +53,12 @@ def _boosted(score: Column) -> Column:
     return F.when(F.col("reply_rate") > 0.5, F.least(F.lit(1.0), score + 0.1)).otherwise(score)
 
 
-TASK_COLUMNS = [
-    "task_id", "email_id", "description", "task_type", "urgency_score", "extraction_method", "status", "assigned_by",
-]
+TASK_TABLE = (
+    "task_id string, email_id bigint, description string, task_type string, urgency_score double, extraction_method string, "
+    "status string, assigned_by string, user_id string, project_id bigint, complexity string, deadline timestamp, "
+    "created_at timestamp, completed_at timestamp"
+)
+TASK_UPDATES = ["description", "urgency_score", "task_type", "extraction_method", "assigned_by"]
 
 
 def _model_candidates(labels: DataFrame, messages: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -107,9 +111,12 @@ def tasks_from_signals(classes: DataFrame, messages: DataFrame, contacts: DataFr
     )
 
 
-PROJECT_COLUMNS = [
-    "name", "project_type", "owner_email", "email_count", "last_activity", "cluster_id", "detected_from", "confidence",
-]
+PROJECT_TABLE = (
+    "project_id bigint, name string, project_type string, owner_email string, email_count bigint, last_activity timestamp, "
+    "cluster_id int, detected_from string, confidence double, user_id string, is_active boolean, priority int, created_at timestamp"
+)
+PROJECT_KEY = ["detected_from", "owner_email", "cluster_id"]
+PROJECT_UPDATES = ["name", "email_count", "last_activity", "confidence"]
 
 
 def projects_from_people(messages: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -228,12 +235,63 @@ def priority_contexts(
     )
 
 
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` with the columns of a DDL schema, null where it has none."""
+    fields = T.StructType.fromDDL(schema).fields
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+    ])
+
+
+def merge_tasks(existing: DataFrame, found: DataFrame, now, user_id: str | None = None) -> DataFrame:
+    """The task table after an extraction, keyed by ``task_id``.
+
+    A task that is there already takes new text, type and urgency; its status, dates and the user's own columns stay.
+    New tasks get ``user_id`` and ``created_at``.
+    """
+    fresh = conform(found.withColumns({"user_id": F.lit(user_id), "created_at": _at(now)}), TASK_TABLE)
+    merged = upsert(conform(existing, TASK_TABLE), fresh, ["task_id"], TASK_UPDATES)
+    return merged.withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
+def merge_projects(existing: DataFrame, found: DataFrame, now, user_id: str | None = None) -> DataFrame:
+    """The project table after an extraction, keyed by how and for whom a project was detected.
+
+    Projects of contacts also take a new type; identity, activity flag and priority of known projects stay.
+    """
+    key = F.xxhash64("detected_from", F.coalesce("owner_email", F.lit("")), F.coalesce("cluster_id", F.lit(-1)))
+    fresh = conform(found.withColumns({
+        "project_id": key.bitwiseAND((1 << 62) - 1), "user_id": F.lit(user_id), "is_active": F.lit(True), "created_at": _at(now),
+    }), PROJECT_TABLE)
+    known = conform(existing, PROJECT_TABLE)
+    merged = upsert(known, fresh, PROJECT_KEY, PROJECT_UPDATES)
+    kinds = fresh.filter(F.col("detected_from") == "real_person_thread").select(*PROJECT_KEY, F.col("project_type").alias("_type"))
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"k.{k}")) for k in PROJECT_KEY]
+    joined = merged.alias("m").join(kinds.alias("k"), same, "left")
+    return joined.select(*[
+        F.coalesce("k._type", "m.project_type").alias(c) if c == "project_type" else F.col(f"m.{c}") for c in merged.columns
+    ])
+
+
+def merge_contexts(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """The context table after an extraction, keyed by ``email_id``; matched rows are replaced."""
+    known = existing.select(*[(F.col(f.name) if f.name in existing.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema.fields])
+    return upsert(known, found, ["email_id"])
+
+
+def _at(now) -> Column:
+    return now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+
+
 def extract_entities(
     labels: DataFrame, classes: DataFrame, messages: DataFrame, contacts: DataFrame, meta: DataFrame,
     assignments: DataFrame, priority: DataFrame, threads: DataFrame, existing_tasks: DataFrame,
-    existing_projects: DataFrame, existing_contexts: DataFrame, now,
+    existing_projects: DataFrame, existing_contexts: DataFrame, now, user_id: str | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """M8: tables ``tasks, projects, contexts`` and one row of created/updated/filtered counts."""
+    """M8: tables ``tasks, projects, contexts`` merged with the existing ones, and one row of counts.
+
+    The counts say how many rows were created, updated and filtered.
+    """
     from_model = tasks_from_model(labels, messages, contacts)
     known_tasks = existing_tasks.select("email_id").unionByName(from_model.select("email_id"))
     from_signals = tasks_from_signals(classes, messages, contacts, known_tasks)
@@ -247,7 +305,7 @@ def extract_entities(
     tasks = from_model.unionByName(from_signals)
     projects = people.unionByName(topics)
     task_counts = upsert_counts(existing_tasks, tasks, ["task_id"])
-    project_counts = upsert_counts(existing_projects, projects, ["detected_from", "owner_email", "cluster_id"])
+    project_counts = upsert_counts(existing_projects, projects, PROJECT_KEY)
     context_counts = upsert_counts(existing_contexts, contexts, ["email_id"])
     dropped_tasks = (
         _model_candidates(labels, messages, contacts).select("is_real_person")
@@ -266,4 +324,9 @@ def extract_entities(
         dropped_tasks.scalar().alias("tasks_filtered_marketing"),
         dropped_projects.scalar().alias("projects_filtered_marketing"),
     )
-    return {"tasks": tasks, "projects": projects, "contexts": contexts}, counts
+    merged = {
+        "tasks": merge_tasks(existing_tasks, tasks, now, user_id),
+        "projects": merge_projects(existing_projects, projects, now, user_id),
+        "contexts": merge_contexts(existing_contexts, contexts),
+    }
+    return merged, counts

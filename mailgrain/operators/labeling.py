@@ -16,6 +16,8 @@ from mailgrain.schemas import CLUSTER_LABEL, MODEL_LABEL
 Scorer = Callable[[list[str]], list[dict | None]]
 
 MIN_BODY_CHARS = 50
+# fixed values: how much of a body the prompts show
+BODY_CHARS, PROMPT_CHARS = 800, 500
 NO_RANK = 9999
 
 # Keys and values the model is asked for (fixed values: the parsed fields).
@@ -50,21 +52,28 @@ CLUSTER_PROMPTS = {
 CLUSTER_ANSWER = '\n\nAnswer with {"label": "...", "confidence": 0.0-1.0}.'
 
 
-def _eligible(messages: DataFrame, classes: DataFrame) -> DataFrame:
+def _start(text: str, chars: int | None) -> Column:
+    return F.col(text) if chars is None else F.substring(text, 1, chars)
+
+
+def _eligible(messages: DataFrame, classes: DataFrame, body_chars: int | None = BODY_CHARS) -> DataFrame:
     wanted = classes.filter(F.col("predicted_handleability") == "needs_llm").select("email_id", "llm_priority")
     long_enough = messages.filter(~F.col("is_sent") & (F.length("body_text") > MIN_BODY_CHARS)).select(
         F.col("id").alias("email_id"), "from_email", "subject", "date_parsed", "action", "thread_id",
-        F.substring("body_text", 1, 800).alias("body_preview"),
+        _start("body_text", body_chars).alias("body_preview"),
     )
     return long_enough.join(wanted, "email_id")
 
 
 def llm_queue(
     messages: DataFrame, features: DataFrame, classes: DataFrame, contacts: DataFrame, priority: DataFrame,
-    done: DataFrame, limit: int | None = 50,
+    done: DataFrame, limit: int | None = 50, body_chars: int | None = BODY_CHARS,
 ) -> DataFrame:
-    """L1: messages the rules left open, with their context, by queue level then id."""
-    rows = _eligible(messages, classes).join(done.select("email_id"), "email_id", "left_anti")
+    """L1: messages the rules left open, with their context, by queue level then id.
+
+    ``body_chars`` bounds the body that goes into a prompt; None keeps it whole.
+    """
+    rows = _eligible(messages, classes, body_chars).join(done.select("email_id"), "email_id", "left_anti")
     rows = rows.join(
         features.select("email_id", "relationship_strength", "user_replied_to_sender_rate", "is_service_email"), "email_id"
     )
@@ -94,12 +103,13 @@ def _number(c: Column, digits: int) -> Column:
     return F.when(c != 0, F.round(c, digits).cast("string")).otherwise("0")
 
 
-def build_prompts(queue: DataFrame) -> DataFrame:
-    """L3: add ``relationship_level`` and ``prompt``."""
+def build_prompts(queue: DataFrame, body_chars: int | None = PROMPT_CHARS) -> DataFrame:
+    """L3: add ``relationship_level`` and ``prompt``; ``body_chars`` of the cleaned body, None for all of it."""
     body = F.coalesce("body_preview", F.lit(""))
     markup = F.lower(body).contains("<html") | F.lower(body).contains("<head")
     flat = strip(squeeze(F.regexp_replace(body, "<[^>]+>", " ")))
-    body = F.substring(F.when(markup, flat).otherwise(body), 1, 500)
+    body = F.when(markup, flat).otherwise(body)
+    body = body if body_chars is None else F.substring(body, 1, body_chars)
     strength = F.col("relationship_strength")
     level = F.when(strength > 0.6, "STRONG").when(strength > 0.3, "MODERATE").when(strength > 0.1, "WEAK").otherwise("MINIMAL")
     rank = F.when(F.col("priority_rank") < NO_RANK, F.col("priority_rank").cast("string")).otherwise("N/A")
@@ -152,9 +162,12 @@ def _answers(scorer: Scorer, prompts: list[str]) -> list[tuple]:
         replies = []
         for prompt in prompts:
             try:
-                replies += scorer([prompt])
+                replies.append((scorer([prompt]) or [None])[0])
             except Exception as problem:
                 replies.append(problem)
+    # a scorer that returns fewer or more replies than prompts cannot be matched to them
+    if len(replies) != len(prompts):
+        replies = [None] * len(prompts)
     return [_answer(reply) for reply in replies]
 
 
@@ -205,11 +218,13 @@ def usage_rollup(scored: DataFrame) -> DataFrame:
     )
 
 
-def cluster_label_prompts(meta: DataFrame, messages: DataFrame, features: DataFrame) -> DataFrame:
-    """One prompt per cluster from its representative message."""
+def cluster_label_prompts(
+    meta: DataFrame, messages: DataFrame, features: DataFrame, body_chars: int | None = PROMPT_CHARS
+) -> DataFrame:
+    """One prompt per cluster from its representative message, with ``body_chars`` of it (None: all)."""
     sample = messages.select(
         F.col("id").alias("representative_email_id"), "from_email", "subject", "date_parsed",
-        F.substring("body_text", 1, 500).alias("_body"), "action", "response_time_seconds",
+        _start("body_text", body_chars).alias("_body"), "action", "response_time_seconds",
     )
     strength = features.select(F.col("email_id").alias("representative_email_id"), "relationship_strength")
     rows = meta.filter(F.col("representative_email_id").isNotNull()).join(sample, "representative_email_id")

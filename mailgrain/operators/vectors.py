@@ -34,6 +34,8 @@ def embed(prepared: DataFrame, encoder: Encoder, key: str = "email_id", batch: i
                     vectors = encoder(part["text"].tolist())
                 except Exception:
                     vectors = _one_by_one(encoder, part["text"].tolist())
+                if len(vectors) != len(part):  # cannot be matched to the texts
+                    vectors = _one_by_one(encoder, part["text"].tolist())
                 out = part[[key, "token_count", "content_hash"]].copy()
                 out.insert(1, "embedding", vectors)
                 yield out[out["embedding"].notna()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgrain.functions.clean import prepare_for_embedding
@@ -12,12 +12,14 @@ from mailgrain.operators import (
     actions, clusters, contacts, entities, features, labeling, priority, projects, rules, tables, threads,
 )
 from mailgrain.operators.vectors import Encoder, embed
+from mailgrain.sources.documents import id_collisions
 from mailgrain.streaming.ingest import embedding_inputs
 
 STEPS = [
     "threads", "messages", "features", "vectors", "classes", "contacts", "clusters", "cluster_metadata", "priority",
-    "labels", "contexts", "tasks", "projects", "activity",
+    "labels", "cluster_profiles", "contexts", "tasks", "projects", "activity",
 ]
+STAGE_MIN_SCORE = 0.3
 VECTOR_SCHEMA = "email_id bigint, embedding array<float>, token_count int, content_hash string"
 LABEL_SCHEMA = (
     "email_id bigint, raw_response string, raw_prompt string, action_type string, urgency string, "
@@ -45,6 +47,7 @@ class MailboxRun:
     skip_labels: bool = False
     seed: int = 42
     restarts: int = 10
+    user_id: str | None = None
     results: dict[str, DataFrame] = field(default_factory=dict)
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
@@ -54,6 +57,8 @@ class MailboxRun:
     def run(self, source: DataFrame, start_from: str | None = None) -> dict[str, DataFrame]:
         """Run all steps, or those from ``start_from`` on with earlier tables read from ``root``."""
         spark = source.sparkSession
+        if not id_collisions(source).isEmpty():
+            raise ValueError("different messages share an id; see id_collisions")
         first = STEPS.index(start_from) if start_from else 0
 
         def step(name: str, build) -> DataFrame:
@@ -81,25 +86,44 @@ class MailboxRun:
         )
         ranked = step("priority", lambda: priority.rank_messages(mail, feature, vector, placed))
         label = step("labels", lambda: self._labels(mail, feature, cls, people, ranked))
-        step("contexts", lambda: entities.priority_contexts(ranked, mail, people, thread, self.now))
-        model_tasks = entities.tasks_from_model(label, mail, people)
-        step(
-            "tasks",
-            lambda: model_tasks.unionByName(entities.tasks_from_signals(cls, mail, people, model_tasks)),
-        )
-        person_projects = entities.projects_from_people(mail, people)
-        step(
-            "projects",
-            lambda: person_projects.unionByName(
-                entities.projects_from_clusters(meta, placed, mail, people, person_projects)
-            ),
+        profiles = step("cluster_profiles", lambda: self._profiles(meta, placed, mail, feature))
+        made, _ = entities.extract_entities(
+            label, cls, mail, people, profiles, placed, ranked, thread, self._stored(spark, "tasks", entities.TASK_TABLE),
+            self._stored(spark, "projects", entities.PROJECT_TABLE), self._stored(spark, "contexts", "email_id bigint"),
+            self.now, self.user_id,
         )
+        for name in ("contexts", "tasks", "projects"):
+            step(name, lambda name=name: self._merged(name, made[name]))
         step(
             "activity",
             lambda: projects.temporal_strength(projects.temporal_activity(placed, mail, self.now), self.now),
         )
         return self.results
 
+    def _stored(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """A table of an earlier run that this one merges into, empty without one."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.parquet(f"{self.root}/{name}")
+        return spark.createDataFrame([], schema)
+
+    def _merged(self, name: str, df: DataFrame) -> DataFrame:
+        """A table that is built from its own earlier state goes to a folder of its own first."""
+        return tables.refresh(df, f"{self.root}/_merged/{name}")
+
+    def _profiles(self, meta: DataFrame, placed: DataFrame, mail: DataFrame, feature: DataFrame) -> DataFrame:
+        """Cluster metadata with participants, activity, project flags and, with a scorer, labels."""
+        activity = projects.cluster_activity(placed, mail)
+        rich = projects.enrich_clusters(meta, activity)
+        found = projects.detect_projects(rich, activity, self.now, min_score=STAGE_MIN_SCORE)
+        rich = projects.apply_detection(rich, found)
+        if self.skip_labels or self.scorer is None:
+            return rich
+        rich = tables.refresh(rich, f"{self.root}/_unlabelled_clusters")
+        prompts = labeling.cluster_label_prompts(rich.filter(F.col("auto_label").isNull()), mail, feature)
+        replies = labeling.score_with(prompts, self.scorer, ["dimension", "cluster_id"])
+        return labeling.apply_cluster_labels(rich, labeling.cluster_labels(replies.filter(F.col("error").isNull())))
+
     def _vectors(self, mail: DataFrame, feature: DataFrame) -> DataFrame:
         if self.skip_vectors or self.encoder is None:
             return mail.sparkSession.createDataFrame([], VECTOR_SCHEMA)
@@ -129,7 +153,7 @@ def refresh_after_batch(
     you = addresses[0] if addresses else ""
     out = {"threads": tables.refresh(threads.build_threads(messages), f"{root}/threads")}
     # the stored actions are rebuilt too: a reply may have arrived since
-    unlabelled = messages.withColumn("action", F.lit(None).cast("string"))
+    unlabelled = messages.withColumns({c: F.lit(None).cast(messages.schema[c].dataType) for c in actions.LABEL_COLUMNS})
     mail = actions.label_actions(unlabelled, contacts.build_contacts(messages, you), addresses)
     mail = out["messages"] = tables.refresh(mail, f"{root}/messages_labelled")
     out["contacts"] = tables.refresh(contacts.build_contacts(mail, you), f"{root}/contacts")

@@ -87,9 +87,10 @@ def ingest_batch(
             "completion_tokens int, total_tokens int, parse_error boolean"
         )
         done = tables.read("labels", label_schema)
-        nobody = tables.spark.createDataFrame([], "email string, is_important_sender boolean")
-        unranked = tables.spark.createDataFrame([], "email_id bigint, priority_score double, priority_rank int")
-        queue = labeling.llm_queue(received, features, classes, nobody, unranked, done, limit=None)
+        # contacts and ranks are those of the last refresh; empty before the first
+        people = tables.read("contacts", "email string, is_important_sender boolean")
+        ranked = tables.read("priority", "email_id bigint, priority_score double, priority_rank bigint")
+        queue = labeling.llm_queue(received, features, classes, people, ranked, done, limit=None)
         scored = labeling.score_with(labeling.build_prompts(queue), scorer, ["email_id"])
         tables.append("labels", labeling.model_labels(scored))
 
