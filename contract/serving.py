@@ -299,26 +299,50 @@ def m7(spark, d):
 @query(
     "M8_extract_entities",
     """
-    SELECT (SELECT count(*) FROM m3) + (SELECT count(*) FROM m4) AS tasks_created, 0 AS tasks_updated, (SELECT count(*) FROM priority) AS priority_contexts_created,
+    SELECT (SELECT count(*) FROM m3 WHERE email_id % 2 = 1) + (SELECT count(*) FROM m4) AS tasks_created,
+      (SELECT count(*) FROM m3 WHERE email_id % 2 = 0) AS tasks_updated,
+      (SELECT count(*) FROM m5 WHERE length(owner_email) % 2 = 1) + (SELECT count(*) FROM m6c WHERE people / email_count >= 0.5 AND NOT covered) AS projects_created,
+      (SELECT count(*) FROM m5 WHERE length(owner_email) % 2 = 0) AS projects_updated,
+      (SELECT count(*) FROM priority WHERE email_id % 3 <> 0) AS priority_contexts_created,
+      (SELECT count(*) FROM priority WHERE email_id % 3 = 0) AS priority_contexts_updated,
       (SELECT count(*) FROM model_labels k JOIN person p ON p.id = k.email_id WHERE action_type IN ('task', 'reply', 'decision') AND NOT real)
-        + (SELECT count(*) FROM signals WHERE NOT real) AS tasks_filtered_marketing, (SELECT count(*) FROM m5) AS projects_created_at_least
+        + (SELECT count(*) FROM signals WHERE NOT real) AS tasks_filtered_marketing,
+      (SELECT count(*) FROM m6c WHERE people / email_count < 0.5 OR covered) AS projects_filtered_marketing
+    """,
+    ("labelled", "contacts", "classes", "model_labels", "meta", "assignments", "priority"),
+    PERSON.rstrip() + """, m6c AS (
+      SELECT * FROM (SELECT m.cluster_id, count(*) AS email_count, count(*) FILTER (p.real) AS people, bool_or(p.from_email IN (SELECT owner_email FROM m5)) AS covered
+        FROM meta m JOIN assignments a ON a.content_cluster_id = m.cluster_id JOIN person p ON p.id = a.email_id WHERE m.dimension = 'content' AND m.size >= 3 GROUP BY m.cluster_id) WHERE people > 0)
     """,
-    ("labelled", "contacts", "classes", "model_labels", "priority"), PERSON,
-    casts="tasks_updated BIGINT",
 )
 def m8(spark, d):
+    """Half of the tasks and projects and a third of the contexts exist before."""
+    return _extracted(spark, d)[1]
+
+
+@query(
+    "M8_merged_tasks",
+    """
+    SELECT task_id, description, task_type, CASE WHEN email_id % 2 = 0 THEN 'completed' ELSE 'pending' END AS status,
+      CASE WHEN email_id % 2 = 0 THEN 'before' ELSE 'u1' END AS user_id FROM m3
+    UNION ALL SELECT task_id, description, task_type, 'pending', 'u1' FROM m4
+    """,
+    **ENTITY,
+)
+def m8_tasks(spark, d):
+    """What an extraction leaves of tasks the user has completed: new text, old status and owner."""
+    return _extracted(spark, d)[0]["tasks"].select("task_id", "description", "task_type", "status", "user_id")
+
+
+def _extracted(spark, d):
     t = {n: table(spark, d, n) for n in ("labelled", "contacts", "classes", "model_labels", "meta", "assignments", "priority")}
-    no_tasks = spark.createDataFrame([], "task_id string, email_id bigint")
-    no_projects = spark.createDataFrame([], "detected_from string, owner_email string, cluster_id int")
-    no_contexts = spark.createDataFrame([], "email_id bigint")
-    made, counts = entities.extract_entities(
+    tasks = entities.tasks_from_model(t["model_labels"], t["labelled"], t["contacts"]).filter("email_id % 2 = 0").withColumns(
+        {"status": F.lit("completed"), "description": F.lit("old"), "user_id": F.lit("before")})
+    owners = entities.projects_from_people(t["labelled"], t["contacts"]).filter("length(owner_email) % 2 = 0")
+    contexts = t["priority"].filter("email_id % 3 = 0").select("email_id")
+    return entities.extract_entities(
         t["model_labels"], t["classes"], t["labelled"], t["contacts"], t["meta"], t["assignments"], t["priority"],
-        threads.build_threads(t["labelled"]), no_tasks, no_projects, no_contexts, now(),
-    )
-    people = made["projects"].agg(F.count_if(F.col("detected_from") == "real_person_thread"))
-    return counts.select(
-        "tasks_created", "tasks_updated", "priority_contexts_created", "tasks_filtered_marketing",
-        people.scalar().alias("projects_created_at_least"),
+        threads.build_threads(t["labelled"]), tasks, owners, contexts, now(), "u1",
     )
 
 
@@ -817,6 +841,54 @@ def r1(spark, d):
     return out.agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.col("embedding")[0].cast("double")).alias("chars"))
 
 
+@query(
+    "R2_run_counts",
+    """
+    SELECT 'threads' AS step, count(DISTINCT thread_id) AS records FROM messages UNION ALL SELECT 'messages', count(*) FROM messages
+    UNION ALL SELECT s, count(*) FROM messages, (VALUES ('features'), ('classes'), ('priority'), ('contexts'), ('activity_source')) v(s) WHERE NOT is_sent GROUP BY s
+    """,
+    ("messages",),
+)
+def r2_counts(spark, d):
+    """Rows of the steps that rules alone decide."""
+    counts = _whole_run(spark, d)[0].row_counts().filter(F.col("step").isin("threads", "messages", "features", "classes", "priority", "contexts", "clusters"))
+    return counts.withColumn("step", F.when(F.col("step") == "clusters", "activity_source").otherwise(F.col("step")))
+
+
+@query(
+    "R2_served_run",
+    "SELECT 'u1' AS user_id, true AS tasks_add_up, true AS completed_kept, true AS page_ranked, true AS projects_listed",
+)
+def r2_served(spark, d):
+    """Inbox, task and project queries on the tables of a run, and a completed task after a second run."""
+    run, messages = _whole_run(spark, d)
+    t = run.results
+    first = t["tasks"].agg(F.min("task_id").alias("task_id")).withColumns({"verb": F.lit("complete"), "at": now()})
+    changed = serving.apply_task_actions(t["tasks"], first)
+    changed.write.mode("overwrite").parquet(f"{run.root}/_changed")
+    spark.read.parquet(f"{run.root}/_changed").write.mode("overwrite").parquet(f"{run.root}/tasks")
+    spark.catalog.refreshByPath(f"{run.root}/tasks")
+    again = MailboxRun(run.root, [YOU], now(), encoder=_letters, scorer=_stub_scorer, restarts=1, user_id="u1").run(messages, start_from="contexts")
+    links = again["tasks"].select("email_id", "project_id").filter("project_id IS NOT NULL")
+    page, total = serving.priority_inbox(again["messages"], again["priority"], again["contexts"], again["tasks"], again["projects"], links, limit=10)
+    listed, task_total = serving.list_tasks(again["tasks"], user_id="u1", limit=5)
+    shown, project_total = serving.list_project_rows(again["projects"], user_id="u1", is_active=True, limit=5)
+    counts = serving.task_counts(again["tasks"])
+    done = again["tasks"].filter("status = 'completed' AND completed_at IS NOT NULL").agg(F.count(F.lit(1))).scalar()
+    ranks = page.agg(F.max("priority_rank") == 10).scalar()
+    return counts.select(
+        "user_id", (F.col("total") == task_total.select("total").scalar()).alias("tasks_add_up"), (done == 1).alias("completed_kept"),
+        ranks.alias("page_ranked"),
+        (project_total.select("total").scalar() >= shown.agg(F.count(F.lit(1))).scalar()).alias("projects_listed"))
+
+
+def _whole_run(spark, d):
+    messages = table(spark, d, "messages")
+    run = MailboxRun(shared_folder(spark, "mailbox"), [YOU], now(), encoder=_letters, scorer=_stub_scorer, restarts=1, user_id="u1")
+    run.run(messages)
+    return run, messages
+
+
 @query("R2_mailbox_run")
 def r2(spark, d):
     """All steps on the messages; clustering inside, so rows only."""
