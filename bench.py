@@ -23,6 +23,10 @@ HEADLINE = {
     "features": "F12_message_features_orders",
     "contacts": "G11_build_contacts_orders",
     "rules": "H1_content_patterns",
+    "classification": "H4_classify_orders",
+    "clustering": "J5_cluster",
+    "content_clusters": "J7_cluster_content",
+    "whole_run": "R2_mailbox_run",
     "service_scores": "F7_service_importance",
     "clean_text": "C8_sanitize_messages",
     "strip_html": "C1_strip_html",
@@ -38,7 +42,8 @@ SOURCE = {
     "threads": "orders", "actions": "orders", "sender_stats": "orders", "features": "orders", "contacts": "orders",
     "rules": "orders", "service_scores": "orders", "clean_text": "documents", "strip_html": "pages",
     "centroids": "embeddings", "cosine": "embeddings", "rank": "lineitem", "priority": "conversations",
-    "append_events": "events", "notifications": "events",
+    "append_events": "events", "notifications": "events", "classification": "orders", "clustering": "conversations",
+    "content_clusters": "embeddings", "whole_run": "conversations",
 }
 
 

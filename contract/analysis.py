@@ -756,6 +756,42 @@ def j7(spark, d):
     return present(clusters.cluster_content(rows, restarts=1))
 
 
+def _cluster_checks(points, assigned, tolerance):
+    """Per point: its reported distance is that to its members' mean, and no other mean is clearly nearer."""
+    rows = points.join(assigned, "email_id")
+    means = vec.centroid(rows, ["cluster"], "point").select("cluster", F.col("centroid").alias("mean"))
+    # at most 100 means: one row of all of them beside each point
+    every = means.agg(F.collect_list("mean").alias("means"))
+    rows = rows.join(F.broadcast(means), "cluster").withColumn("means", every.scalar())
+
+    def apart(a, b):
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+
+    point = F.col("point").cast("array<double>")
+    own = apart(point, F.col("mean"))
+    least = F.array_min(F.transform("means", lambda m: apart(point, m)))
+    return rows.select(
+        "email_id", (F.abs(F.col("distance") - own) <= tolerance).alias("distance_to_mean"), (own <= least + tolerance).alias("nearest_mean"))
+
+
+@query("J7_cluster_invariants", "SELECT vec_id AS email_id, true AS distance_to_mean, true AS nearest_mean FROM embeddings")
+def j7_invariants(spark, d):
+    rows = driver_table(spark, d, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
+    assigned = clusters.cluster_content(rows, restarts=1)
+    return _cluster_checks(rows.select("email_id", F.col("embedding").alias("point")), assigned, 0.01)
+
+
+@query("J5_cluster_invariants", "SELECT id AS email_id, true AS distance_to_mean, true AS nearest_mean FROM messages WHERE NOT is_sent", ("messages",))
+def j5_invariants(spark, d):
+    """On the temporal columns, standardised again here."""
+    matrix = clusters.temporal_matrix(table(spark, d, "features"), table(spark, d, "labelled"))
+    columns = [c for c in matrix.columns if c != "email_id"]
+    stats = matrix.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev(c).alias("s")).alias(c) for c in columns]).alias("stats"))
+    scaled = matrix.withColumn("_s", stats.scalar()).select("email_id", F.array(*[
+        F.when(F.col(f"_s.{c}.s") > 0, (F.col(c) - F.col(f"_s.{c}.m")) / F.col(f"_s.{c}.s")).otherwise(0.0) for c in columns]).alias("point"))
+    return _cluster_checks(scaled, clusters.cluster(matrix, "temporal", restarts=2), 0.05)
+
+
 @query("J7_cluster_count", "SELECT count(DISTINCT content_cluster_id) AS n_clusters FROM assignments WHERE content_cluster_id <> -1", ("assignments",))
 def j7_count(spark, d):
     a = table(spark, d, "assignments").filter("content_cluster_id IS NOT NULL")

@@ -68,7 +68,7 @@ def a1(spark, d):
 
 @query(
     "A1_archive_offsets",
-    "SELECT count(*) AS n, CAST(sum(size + 1) - max(size + 1) AS BIGINT) >= 0 AS ordered, CAST(sum(size) AS BIGINT) AS bytes "
+    "SELECT count(*) AS n, CAST(sum(size + 1) - max(size + 1) AS BIGINT) >= 0 AS ordered, CAST(sum(size) AS BIGINT) AS bytes, 0 AS gaps "
     "FROM (SELECT strlen(concat('Subject: ', id, chr(10), chr(10), regexp_replace(coalesce(replace(body_text, chr(10), ' '), 'x'), '^From ', '>From '), chr(10))) AS size FROM messages)",
     ("messages",),
 )
@@ -80,11 +80,58 @@ def a1_offsets(spark, d):
     m.select(
         F.concat(F.lit("From a b\nSubject: "), F.col("id"), F.lit("\n\n"), body, F.lit("\n")).alias("value")
     ).write.text(folder)
-    rows = archive.read_mail_archive(spark, folder)
+    rows = archive.read_mail_archive(spark, folder, with_offsets=True).select("mbox_offset", "raw_size_bytes")
     ordered = F.count_if(F.col("mbox_offset") < 0) == 0
+    # every message but the first of a file starts where another one ends
+    ends = rows.select((F.col("mbox_offset") + F.col("raw_size_bytes") + 1).alias("mbox_offset")).distinct()
+    loose = rows.filter("mbox_offset > 0").join(ends, "mbox_offset", "left_anti").agg(F.count(F.lit(1)))
     return rows.agg(
         F.count(F.lit(1)).alias("n"), ordered.alias("ordered"), F.sum("raw_size_bytes").cast("bigint").alias("bytes")
+    ).withColumn("gaps", loose.scalar().cast("int"))
+
+
+def _shapes(spark, d):
+    """Archive of HTML only, alternatives, a text attachment, and a named inline image, by id."""
+    m = table(spark, d, "messages")
+    number = F.col("id").cast("string")
+
+    def mail(kind, *parts):
+        head = F.concat(F.lit("From a b\nMessage-ID: "), number, F.lit(f"\nContent-Type: multipart/{kind}; boundary=zz\n"))
+        return F.concat(head, *[x for p in parts for x in (F.lit("\n--zz\n"), p)], F.lit("\n--zz--\n"))
+
+    def part(kind, before, after="", more=""):
+        return F.concat(F.lit(f"Content-Type: {kind}\n{more}\n{before}"), number, F.lit(after))
+
+    html = F.concat(F.lit("From a b\nMessage-ID: "), number, F.lit("\nContent-Type: text/html\n\n<p>"), number, F.lit("</p>\n"))
+    text = (
+        F.when(F.col("id") % 4 == 0, html)
+        .when(F.col("id") % 4 == 1, mail("alternative", part("text/plain", "plain "), part("text/html", "<b>", "</b>")))
+        .when(F.col("id") % 4 == 2, mail("mixed", part("text/plain", "body "), part("text/plain", "secret ", more="Content-Disposition: attachment\n")))
+        .otherwise(mail("mixed", part("text/html", "<i>", "</i>"), part("image/png; name=x.png", "iVBOR")))
     )
+    folder = shared_folder(spark, "shapes")
+    m.select(text.alias("value")).write.text(folder)
+    return archive.read_mail_archive(spark, folder)
+
+
+@query(
+    "B13_message_bodies",
+    """
+    SELECT CAST(id AS VARCHAR) AS message_id,
+      CASE id % 4 WHEN 0 THEN concat('<p>', id, '</p>') WHEN 1 THEN concat('plain ', id) WHEN 2 THEN concat('body ', id) ELSE concat('<i>', id, '</i>') END AS body,
+      CASE id % 4 WHEN 0 THEN concat('<p>', id, '</p>') WHEN 1 THEN concat('<b>', id, '</b>') WHEN 3 THEN concat('<i>', id, '</i>') END AS body_html
+    FROM messages
+    """,
+    ("messages",),
+)
+def b13(spark, d):
+    trimmed = {c: F.regexp_replace(c, r"\n+$", "") for c in ("body", "body_html")}
+    return _shapes(spark, d).withColumns(trimmed).select("message_id", "body", "body_html")
+
+
+@query("B14_has_attachment", "SELECT CAST(id AS VARCHAR) AS message_id, id % 4 >= 2 AS has_attachments FROM messages", ("messages",))
+def b14(spark, d):
+    return _shapes(spark, d).select("message_id", "has_attachments")
 
 
 @query(

@@ -12,6 +12,7 @@ from mailgrain.constants import (
     ACTION_CODES, DIMENSIONS, MAX_CLUSTERS, NO_RESPONSE_HOURS, SERVICE_TYPE_CODES, TIMING_CODES,
 )
 from mailgrain.functions.vectors import euclidean_distance
+from mailgrain.session import cut_lineage
 
 
 def _flag(c: str) -> Column:
@@ -122,13 +123,13 @@ def cluster(matrix: DataFrame, dimension: str, seed: int = 42, restarts: int = 1
     columns = [c for c in matrix.columns if c != "email_id"]
     assembled = VectorAssembler(inputCols=columns, outputCol="raw").transform(matrix)
     scaler = StandardScaler(inputCol="raw", outputCol="vector", withMean=True, withStd=True).fit(assembled)
-    vectors = scaler.transform(assembled).select("email_id", "vector")
+    vectors = cut_lineage(scaler.transform(assembled).select("email_id", "vector"))
     return _assigned(vectors, _fit_best(vectors, MAX_CLUSTERS[dimension], seed, restarts))
 
 
 def cluster_content(vectors: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
     """K-means on the vectors as they are."""
-    points = vectors.select("email_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    points = cut_lineage(vectors.select("email_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector")))
     return _assigned(points, _fit_best(points, MAX_CLUSTERS["content"], seed, restarts))
 
 

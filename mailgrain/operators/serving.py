@@ -42,13 +42,14 @@ def priority_inbox(
     and project names are joined to the page only.
     """
     inbox = messages.filter(~F.col("is_sent"))
-    ranked = inbox.select(*INBOX_COLUMNS).join(
+    ranked = inbox.select("id", "date_parsed").join(
         priority.select(F.col("email_id").alias("id"), "priority_rank", "priority_score"), "id", "left"
     )
     page = ranked.orderBy(F.asc_nulls_last("priority_rank"), F.desc("date_parsed"), "id").offset(offset).limit(limit)
-    # at most ``limit`` rows, used four times below: the inbox is ranked once
-    page = cut_lineage(page)
+    # at most ``limit`` rows, used five times below: the inbox is ranked once, wide columns are read for the page only
+    page = cut_lineage(page.select("id", "priority_rank", "priority_score"))
     keys = F.broadcast(page.select("id"))
+    page = inbox.select(*INBOX_COLUMNS).join(F.broadcast(page), "id")
     open_tasks = tasks.filter(F.col("status") == "pending").select(F.col("email_id").alias("id")).join(keys, "id", "left_semi")
     task_count = open_tasks.groupBy("id").agg(F.count(F.lit(1)).alias("task_count"))
     links = project_links.select(F.col("email_id").alias("id"), "project_id").join(keys, "id", "left_semi")

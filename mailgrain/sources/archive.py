@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mailgrain.schemas import ARCHIVE_ROW
+from mailgrain.session import cut_lineage
+
+BROADCAST_SPLITS = 500_000
 
 _SEPARATOR = "\nFrom "
 _COLUMNS = [f.name for f in ARCHIVE_ROW.fields]
@@ -141,7 +144,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[*_COLUMNS, "file", "block"])
 
 
-def read_mail_archive(spark: SparkSession, path: str, with_offsets: bool = True) -> DataFrame:
+def read_mail_archive(spark: SparkSession, path: str, with_offsets: bool = False) -> DataFrame:
     """A1: one row per message of the mbox files under ``path``.
 
     Records are cut by Spark's text reader at the ``From`` line, so one large
@@ -151,9 +154,11 @@ def read_mail_archive(spark: SparkSession, path: str, with_offsets: bool = True)
     The last message of a file that spans several splits may keep one trailing
     line break more than the others.
 
-    Positions are counted inside a split while it is parsed; the start of a
-    split is the sum of the splits before it in its file, taken from the sizes
-    alone.  ``with_offsets=False`` saves that second read.
+    With ``with_offsets`` the position of each message is given: it is counted
+    inside a split while that is parsed, and the start of a split is the sum of
+    the splits before it in its file, taken by a second read from the sizes
+    alone.  Starts are one row for each split; up to ``BROADCAST_SPLITS`` of
+    them are broadcast, so no body is shuffled for its position.
     """
     records = spark.read.text(path, lineSep=_SEPARATOR).select(
         F.col("value").cast("binary").alias("value"),
@@ -173,7 +178,9 @@ def read_mail_archive(spark: SparkSession, path: str, with_offsets: bool = True)
     sizes = records.groupBy("file", "block").agg(F.sum(body + tail + 1).alias("_size"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", "block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    rows = rows.join(starts, ["file", "block"])
+    starts = cut_lineage(starts)
+    few = starts.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    rows = rows.join(F.broadcast(starts) if few else starts, ["file", "block"])
     return rows.withColumn("mbox_offset", F.col("mbox_offset") + F.col("_start")).select(*_COLUMNS)
 
 

@@ -45,7 +45,7 @@ x
 
 def test_archive(spark, tmp_path):
     (tmp_path / "in.mbox").write_bytes(MBOX)
-    rows = read_mail_archive(spark, str(tmp_path)).orderBy("mbox_offset").collect()
+    rows = read_mail_archive(spark, str(tmp_path), with_offsets=True).orderBy("mbox_offset").collect()
     assert [r["message_id"] for r in rows] == ["<1@x>", "<2@x>"]
     assert rows[0]["from"] == "Jörg <jorg@x.example>" and rows[0]["labels"] == ["Inbox", "a, b"]
     assert rows[0]["body"] == "Hello\n>From the start\n" and rows[0]["mbox_offset"] == 0
