@@ -41,7 +41,7 @@ def _tokenised(path: str, end_id: int, capacity: int, keep_ids: bool):
         for batch in batches:
             for rows in base.text_slices(batch):
                 out: list[tuple] = []
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), encode([t or "" for t in rows.column("text").to_pylist()])):
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), encode.column(rows.column("text"))):
                     ids = np.concatenate([ids, end])
                     first = len(ids) % capacity or capacity
                     cuts = [0, *range(first, len(ids) + 1, capacity)]

@@ -1,22 +1,27 @@
 """Token ids of public tokenizer files, with bounded caches in each Python worker.
 
 Both kinds of BPE used here encode every pre-token on its own, so a text's ids are the ids of its pieces in a row, and
-a single space before a word always starts a piece.  Texts are therefore cut at spaces into units; a unit that is not
-in the cache is cut into pieces, and only pieces that are not in theirs reach the tokenizer.  Texts with characters
-outside printable Latin, with double spaces or with what may be a special token go to the tokenizer whole or by
-pieces, with the same ids.
+a single space between two characters that are not white space always starts a piece.  Texts are therefore cut into
+units at such spaces; units are looked up by hash for a whole chunk at a time.  A unit that is not in the table is cut
+into pieces, and only pieces not seen before reach the tokenizer.  Texts with characters outside printable Latin, or
+with what may be a special token, go to the tokenizer whole, with the same ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: units and pieces kept for each tokenizer and worker; the rest is encoded again, with the same ids
-CACHE_UNITS = CACHE_PIECES = 600_000
-_UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]|<\|")
+from mailgrain.llm import base
+
+#: pieces and ids of units kept for each tokenizer and worker; the rest is encoded again, with the same ids
+CACHE_PIECES = 300_000
+SLOTS = 1 << 21
+STORED_IDS = 8_000_000
 
 # The pre-token patterns written in the two tokenizer files, for printable Latin texts.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -24,12 +29,21 @@ BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LET
 WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+"
 
 _loaded: dict[str, "PieceEncoder"] = {}
+_CONTROL = (np.arange(256) < 32) | (np.arange(256) == 127) | (np.arange(256) >= 0xCA)
+_CONTROL[[9, 10, 13]] = False
+#: second bytes of two-byte characters from U+0080 on that the patterns above do not class: controls, no-break space, numerals
+_ODD_C2 = np.zeros(256, bool)
+_ODD_C2[[*range(0x80, 0xA1), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
 
 
-def _keep(cache: dict, fresh: dict, most: int) -> None:
-    room = most - len(cache)
-    if room > 0:
-        cache.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
+def needs_tokenizer(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts go to the tokenizer whole."""
+    odd = _CONTROL[data]
+    if len(data) > 1:
+        a, b = data[:-1], data[1:]
+        odd[:-1] |= ((a == 0xC2) & _ODD_C2[b]) | ((a == 0xC4) & (b == 0xB0)) | ((a == 0x3C) & (b == 0x7C))
+    places = np.flatnonzero(odd)
+    return np.searchsorted(places, offsets[1:]) > np.searchsorted(places, offsets[:-1])
 
 
 class PieceEncoder:
@@ -43,51 +57,96 @@ class PieceEncoder:
         self.lower = self.tokenizer.normalizer is not None  # lower-cases and drops white space
         self.split = re.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
         self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        # direct-mapped table of units: hash, first id and number of ids
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.first = np.zeros(SLOTS, np.int32)
+        self.count = np.zeros(SLOTS, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _by_pieces(self, strings: list[str]) -> list[bytes]:
-        cut = [self.split(s) for s in strings]
+        cut = list(map(self.split, strings))
         known = self.pieces
-        missing = list({p for own in cut for p in own if p not in known})
-        fresh = dict(zip(missing, self._encode(missing))) if missing else {}
-        out = [b"".join([known[p] if p in known else fresh[p] for p in own]) for own in cut]
-        _keep(known, fresh, CACHE_PIECES)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        get = self.units.get
-        lead = "" if self.lower else " "
-        coded: list[list[bytes | None]] = []
-        units: list[list[str]] = []
-        first: list[str] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            own: list[str] = []
-            head = ""
-            if _UNSAFE.search(text):
-                whole.append(i)
-            elif self.lower:
-                own = text.lower().split()
-            elif "  " in text or text[-1:] == " ":
-                head = text
-            else:
-                head, *own = text.split(" ")
-            first.append(head)
-            units.append(own)
-            coded.append(list(map(get, own)))
-        gaps = [i for i, own in enumerate(coded) if None in own]
-        if gaps:
-            missing = list({u for i in gaps for u, ids in zip(units[i], coded[i]) if ids is None})
-            fresh = dict(zip(missing, self._by_pieces([lead + u for u in missing])))
-            for i in gaps:
-                coded[i] = [fresh[u] if ids is None else ids for u, ids in zip(units[i], coded[i])]
-            _keep(self.units, fresh, CACHE_UNITS)
-        heads = [b""] * len(texts) if self.lower else self._by_pieces(first)
-        out = [np.frombuffer(head + b"".join(own), "<u4") for head, own in zip(heads, coded)]
+        missing = list(set(chain.from_iterable(cut)).difference(known))
+        if len(known) + len(missing) > CACHE_PIECES:
+            self.pieces = known = {}  # start afresh; frequent pieces are soon back
+            missing = list(set(chain.from_iterable(cut)))
+        if missing:
+            known.update(zip(missing, self._encode(missing)))
+        get = known.get
+        return [b"".join(map(get, own)) for own in cut]
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the units of all texts in a row."""
+        if self.lower:
+            inside = base.NOT_SPACE[data]
+            edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            # a text may end without white space before the next one
+            cuts = offsets[1:-1]
+            cuts = cuts[(cuts > 0) & (cuts < len(data))]
+            cuts = np.unique(cuts[inside[cuts] & inside[cuts - 1]])
+            return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        blank = ~base.NOT_SPACE[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:-1] = (data[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
+        # not at the first or last byte of a text: there a space has no neighbour of its own
+        cut[offsets[1:-1][offsets[1:-1] < len(data)]] = False
+        cut[offsets[1:] - 1] = False
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
+        return starts, np.r_[starts[1:], len(data)]
+
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in a flat array with the first place and the number of ids of each unit."""
+        keys = base.Rolling(base.BYTE_CODE[data]).of(starts, ends)
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        hit = self.keys[slot] == keys
+        first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        lost = np.flatnonzero(~hit)
+        if not len(lost):
+            return self.ids, first, count
+        fresh, at, back = np.unique(keys[lost], return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        coded = self._by_pieces([raw[a:b].decode() for a, b in zip(starts[lost[at]].tolist(), ends[lost[at]].tolist())])
+        sizes = np.asarray([len(c) // 4 for c in coded])
+        new = np.frombuffer(b"".join(coded), "<u4")
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(new)), np.uint32)])
+        self.ids[self.used: self.used + len(new)] = new
+        places = self.used + np.cumsum(sizes) - sizes
+        first[lost], count[lost] = places[back], sizes[back]
+        ids = self.ids
+        if self.used + len(new) <= STORED_IDS:
+            own = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
+            free = np.flatnonzero(self.keys[own] == 0)
+            free = free[np.unique(own[free], return_index=True)[1]]
+            self.keys[own[free]], self.first[own[free]], self.count[own[free]] = fresh[free], places[free], sizes[free]
+            self.used += len(new)
+        return ids, first, count
+
+    def column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow column; null counts as empty."""
+        data, offsets = base.byte_arrays(column)
+        odd = needs_tokenizer(data, offsets)
+        whole = np.flatnonzero(odd).tolist()
+        if self.lower or whole:
+            texts = [t or "" for t in column.to_pylist()]
+            plain = ["" if o else (t.lower() if self.lower else t) for t, o in zip(texts, odd.tolist())]
+            data, offsets = base.byte_arrays(pa.array(plain, pa.string()))
+        if not len(data):
+            out = [np.zeros(0, "<u4")] * len(column)
+        else:
+            starts, ends = self._units(data, offsets)
+            ids, first, count = self._look_up(data, starts, ends)
+            total = np.concatenate([[0], np.cumsum(count)])
+            flat = ids[np.arange(total[-1]) + np.repeat(first - total[:-1], count)]
+            bounds = total[np.searchsorted(starts, offsets)]
+            out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else []):
             out[i] = np.frombuffer(ids, "<u4")
         return out

@@ -175,8 +175,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         held = 0
         for batch in batches:
             for piece in base.text_slices(batch):
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for doc, ids in zip(piece.column("doc_id").to_pylist(), encode(texts)):
+                for doc, ids in zip(piece.column("doc_id").to_pylist(), encode.column(piece.column("text"))):
                     if docs and held + len(ids) + 1 > shard_tokens:
                         yield flush()
                         held = 0
