@@ -826,7 +826,7 @@ UNPIVOT = " UNION ALL ".join(
     """
     SELECT dimension, cluster_id, count(*) AS size, round(avg(CASE WHEN l.action = 'REPLIED' THEN 1.0 ELSE 0.0 END) * 100, 1) AS pct_replied,
       round(avg(coalesce(l.response_time_seconds / 3600.0, 0)), 1) AS avg_response_time_hours,
-      round(avg(coalesce(f.relationship_strength, 0)), 3) AS avg_relationship_strength, min(u.email_id) AS representative_email_id
+      CAST(round(CAST(avg(coalesce(f.relationship_strength, 0)) AS DECIMAL(20, 10)), 3) AS DOUBLE) AS avg_relationship_strength, min(u.email_id) AS representative_email_id
     FROM u JOIN labelled l ON l.id = u.email_id LEFT JOIN features f ON f.email_id = u.email_id GROUP BY dimension, cluster_id
     """,
     ("labelled", "features", "assignments"),
