@@ -1,4 +1,4 @@
-"""Every registered oracle query is run at the smallest scale; a sample of sections is compared."""
+"""Every oracle is parsed by DuckDB at the smallest scale; a sample of sections is run and compared."""
 
 from pathlib import Path
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "A4_insert_new", "A5_upsert", "A10_constraint_report", "B5_parse_mail_date", "B15_build_messages", "C4_strip_quotes", "C8_sanitize_messages",
     "D3_build_threads", "E9_label_actions_orders", "F12_message_features", "G11_build_contacts", "H4_classify_messages", "I2_centroid",
-    "J9_cluster_rollup", "K7_priority_rank", "K8_rank_messages", "L3_build_prompts", "M3_tasks_from_model", "M7_priority_contexts",
+    "J9_cluster_rollup", "K7_priority_rank", "K8_rank_messages", "L3_build_prompts", "M3_tasks_from_model", "M7_priority_contexts", "M8_extract_entities", "A3_deep_parts", "B13_message_bodies", "B14_has_attachment", "J7_cluster_invariants", "R2_run_counts",
     "N4_detect_projects", "O1_priority_inbox", "O5_digest_topics", "P1_append_events", "P8_turn_timeline", "Q2_dedup_notifications", "Q5_changed_ids",
 ]
 

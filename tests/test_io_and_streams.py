@@ -116,7 +116,7 @@ def test_phases(spark):
     now = START + timedelta(days=100)
     m = messages(spark, *[message(i, 60 * 24 * i) for i in (1, 15, 60, 80, 99, 100)])
     out = {r["id"]: r["phase"] for r in ingest.phase_partition(m, now).collect()}
-    assert out == {100: "quick", 99: "quick", 80: "standard", 60: "deep", 15: "deep"}
+    assert out == {100: "quick", 99: "quick", 80: "standard", 60: "deep", 15: "deep", 1: None}
 
 
 def test_whole_run(spark, tmp_path):
