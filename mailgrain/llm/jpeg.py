@@ -450,25 +450,66 @@ def _decode_dc(coefficients, lanes, bits, luts, pattern, high, low):
         coefficients[lanes.blocks[lanes.first[on] + step], 0] = previous[on, part] << low
 
 
-def _decode_ac_first(coefficients, lanes, bits, lut, first, final, low):
+_short: dict[bytes, tuple] = {}
+
+
+def short_codes(table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the next 16 bits: whether they hold a whole coefficient, its bits, the zeros before it, and its value."""
+    if table not in _short:
+        lut = lookup(table).astype(np.int64)
+        length, run, size = lut >> 8, (lut >> 4) & 15, lut & 15
+        total = length + size
+        fits = (size > 0) & (total <= 16)
+        bits = (np.arange(1 << 16) >> np.maximum(16 - total, 0)) & ((1 << size) - 1)
+        _short[table] = fits, total, run, np.where(fits, _extend(bits, size), 0).astype(np.int16)
+    return _short[table]
+
+
+def _decode_ac_first(coefficients, lanes, bits, table, first, final, low):
+    lut, (fits, total, zeros, values) = lookup(table), short_codes(table)
     place, block, k = bits.start.copy(), np.zeros(len(bits.start), np.int64), np.full(len(bits.start), first)
+    flat = coefficients.reshape(-1)
     on = np.flatnonzero(lanes.size > 0)
+    at = lanes.blocks[lanes.first[on]] * 64
     while len(on):
-        window = bits.at(place[on])
-        entry = lut[(window >> np.uint64(48)).astype(np.int64)]
-        length, run, size = (entry >> 8).astype(np.int64), (entry >> 4) & 15, (entry & 15).astype(np.int64)
-        length = np.maximum(length, 1)
-        end = (size == 0) & (run < 15)
-        extra = np.where(end, run, size)
-        value = _take(window, length, extra)
-        place[on] += length + extra
-        now = k[on] + run
-        got = np.flatnonzero((size > 0) & (now <= final))
-        coefficients[lanes.blocks[lanes.first[on[got]] + block[on[got]]], now[got]] = _extend(value[got], size[got]) << low
-        over = end | (now >= final)
-        block[on] += np.where(end, (1 << run) + value, over)
+        here = place[on]
+        window = bits.at(here)
+        peek = (window >> np.uint64(48)).astype(np.int64)
+        now = k[on] + zeros[peek]
+        used = total[peek]
+        got = fits[peek]
+        over = now >= final
+        odd = np.flatnonzero(~got | (now > final))
+        if len(odd):
+            # ends of blocks, long runs and codes of more than 16 bits
+            entry = lut[peek[odd]].astype(np.int64)
+            length, run, size = np.maximum(entry >> 8, 1), (entry >> 4) & 15, entry & 15
+            end = (size == 0) & (run < 15)
+            extra = np.where(end, run, size)
+            value = _take(window[odd], length, extra)
+            used[odd] = length + extra
+            late = np.flatnonzero((size > 0) & (now[odd] <= final))
+            flat[at[odd[late]] + now[odd[late]]] = _extend(value[late], size[late]) << low
+            whole = got.copy()
+            whole[odd] = False
+            over[odd] |= end
+            block[on] += over
+            ends = np.flatnonzero(end)
+            block[on[odd[ends]]] += (1 << run[ends]) + value[ends] - 1
+            sure = np.flatnonzero(whole)
+            flat[at[sure] + now[sure]] = values[peek[sure]] << low
+        else:
+            flat[at + now] = values[peek] << low
+            block[on] += over
+        place[on] = here + used
         k[on] = np.where(over, first, now + 1)
-        on = on[(block[on] < lanes.size[on]) & (place[on] < bits.end[on])]
+        turned = np.flatnonzero(over)
+        if len(turned):
+            stay = (block[on] < lanes.size[on]) & (place[on] < bits.end[on])
+            if not stay.all():
+                on, at = on[stay], at[stay]
+                turned = np.flatnonzero(over[stay])
+            at[turned] = lanes.blocks[lanes.first[on[turned]] + block[on[turned]]] * 64
 
 
 def _decode_ac_refine(coefficients, lanes, bits, lut, first, final, low):
@@ -579,7 +620,7 @@ def decode_coefficients(images: list[Image]) -> list[list[np.ndarray]]:
             if final == 0:
                 _decode_dc(coefficients, lanes, bits, [lookup(t[0]) if t[0] else None for t in tables], pattern, high, low)
             elif high == 0:
-                _decode_ac_first(coefficients, lanes, bits, lookup(tables[0][1]), first, final, low)
+                _decode_ac_first(coefficients, lanes, bits, tables[0][1], first, final, low)
             else:
                 _decode_ac_refine(coefficients, lanes, bits, lookup(tables[0][1]), first, final, low)
         for i, planes, own in zip(members, shapes, starts):
@@ -589,17 +630,18 @@ def decode_coefficients(images: list[Image]) -> list[list[np.ndarray]]:
 
 _K = np.arange(8)
 _BASIS = np.sqrt(np.where(_K == 0, 1 / 8, 1 / 4))[:, None] * np.cos((2 * _K[None] + 1) * _K[:, None] * np.pi / 16)
-_FIXED = np.rint(_BASIS * (1 << 12)).astype(np.int64)
+#: integers in doubles: products and sums stay below 2**53, so they are exact in whatever order they are added
+_FIXED = np.rint(_BASIS * (1 << 12))
 
 
 def pixels(blocks: np.ndarray, quantisation: np.ndarray) -> np.ndarray:
     """Samples (blocks, 8, 8) from coefficients in scan order, by a fixed-point inverse transform."""
-    natural = np.zeros((len(blocks), 64), np.int64)
-    natural[:, NATURAL] = blocks.astype(np.int64) * quantisation
-    square = natural.reshape(-1, 8, 8)
-    rows = (np.einsum("uy,buv->byv", _FIXED, square) + (1 << 4)) >> 5
-    both = np.einsum("byv,vx->byx", rows, _FIXED)
-    return np.clip(((both + (1 << 18)) >> 19) + 128, 0, 255).astype(np.uint8)
+    natural = np.zeros((len(blocks), 64))
+    natural[:, NATURAL] = blocks * quantisation.astype(np.int64)
+    rows = np.floor((natural.reshape(-1, 8) @ _FIXED + 16) / 32)
+    columns = np.ascontiguousarray(rows.reshape(-1, 8, 8).transpose(0, 2, 1)).reshape(-1, 8) @ _FIXED
+    samples = np.floor((columns + (1 << 18)) / (1 << 19)) + 128
+    return np.clip(samples, 0, 255).astype(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1)
 
 
 def rgb_tensor(image: Image, components: list[np.ndarray]) -> np.ndarray:
