@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailgrain.llm import base
@@ -26,7 +26,7 @@ MAGIC = b"WVM1"
 BLOCK = 512
 #: ids in a shard, unless one document alone has more
 SHARD_TOKENS = 1 << 18
-SHARD_SCHEMA = "shard_part int, shard_no int, first_doc long, n_docs long, n_tokens long, wavelet binary"
+SHARD_SCHEMA = "shard_part int, shard_no int, part_start long, first_doc long, n_docs long, n_tokens long, wavelet binary"
 
 
 class WaveletMatrix:
@@ -151,7 +151,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         encode = encoder(path)
         end = np.asarray([end_id], "<u4")
         docs: list[int | None] = []
@@ -159,16 +159,16 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, before
             ids = np.concatenate(parts)
             head = struct.pack("<Q", len(docs)) + np.asarray([-(1 << 63) if d is None else d for d in docs], "<i8").tobytes()
             blob = head + np.asarray(sizes, "<u4").tobytes() + WaveletMatrix.build(ids).to_bytes()
             row = base.batch_of(
                 shard_part=pa.array([part], pa.int32()), shard_no=pa.array([number], pa.int32()),
-                first_doc=pa.array([docs[0]], pa.int64()), n_docs=pa.array([len(docs)], pa.int64()),
+                part_start=pa.array([before], pa.int64()), first_doc=pa.array([docs[0]], pa.int64()), n_docs=pa.array([len(docs)], pa.int64()),
                 n_tokens=pa.array([len(ids)], pa.int64()), wavelet=pa.array([blob], pa.binary()),
             )
-            number += 1
+            number, before = number + 1, before + len(ids)
             docs.clear(), parts.clear(), sizes.clear()
             return row
 
@@ -226,23 +226,17 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """Ids before each shard: sums over parts, then within a part, so no window covers all shards at once."""
-    from pyspark.sql import Window
-
-    sizes = shards.select("shard_part", "shard_no", "n_tokens")
-    # one row for each part of the range partitioning: bounded by the number of partitions
-    parts = sizes.groupBy("shard_part").agg(F.sum("n_tokens").alias("part_tokens"))
-    before = parts.withColumn(
-        "part_start", F.coalesce(F.sum("part_tokens").over(
-            Window.orderBy("shard_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select("shard_part", "part_start")
-    inside = Window.partitionBy("shard_part").orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("in_part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "shard_part").select(
-        "shard_part", "shard_no", (F.col("part_start") + F.col("in_part")).alias("shard_start"))
+    """(shard_part, before): ids in the parts before each part, one row for each part of the range partitioning."""
+    parts = shards.groupBy("shard_part").agg(F.sum("n_tokens").alias("part_tokens"))
+    earlier = Window.orderBy("shard_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("shard_part", F.coalesce(F.sum("part_tokens").over(earlier), F.lit(0)).alias("before"))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """Per document, from the files: place of its first id among all ids, number of ids, CRC of the ids."""
-    placed = shards.select("shard_part", "shard_no", "wavelet").join(shard_starts(shards), ["shard_part", "shard_no"])
-    return placed.select("shard_start", "wavelet").mapInArrow(
+    """Per document, from the files: place of its first id among all ids, number of ids, CRC of the ids.
+
+    A shard knows what stands before it in its part, so only the parts' starts are joined, and no shard moves.
+    """
+    placed = shards.join(F.broadcast(shard_starts(shards)), "shard_part")  # as many rows as range partitions
+    return placed.select((F.col("before") + F.col("part_start")).alias("shard_start"), "wavelet").mapInArrow(
         _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
