@@ -6,10 +6,13 @@ document); word bounds and hashes of a whole chunk are found with numpy, so no P
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,16 +21,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 # ---------------------------------------------------------------- session
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, and bound the bytes of Arrow batches if nobody has."""
     context = spark.sparkContext
+    # texts may be long: bound Arrow batches by bytes, not only by rows
+    if spark.conf.get(_BATCH_BYTES, None) in (None, str((1 << 63) - 1), f"{(1 << 63) - 1}b", "-1"):
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -116,6 +124,28 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
+# ---------------------------------------------------------------- memory of reused workers
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], object]):
+    """A large table that a Python worker keeps from task to task; only one is kept."""
+    if name not in _held:
+        let_go()
+        _held[name] = build()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Give back what a worker holds for another operator, to the system too."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- words
 
 _ALL = np.arange(256)
@@ -177,6 +207,7 @@ class Words:
     """Words of a chunk: byte bounds, hashes and the first word of each document."""
 
     def __init__(self, column: pa.Array, lower: bool, alphabet: np.ndarray):
+        let_go()
         data, offsets = byte_arrays(column)
         self.data = LOWER[data] if lower else data
         self.offsets = offsets

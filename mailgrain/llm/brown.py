@@ -32,7 +32,7 @@ CLASSES = 64
 ROUNDS = 6
 DISCOUNT = 0.5
 #: entries gathered in a task before equal ones are added up, and before they are handed on
-GATHER = 2_000_000
+GATHER = 1_000_000
 END = np.int64(-1)
 
 

@@ -25,7 +25,7 @@ from mailgrain.llm import base, repeats
 
 WINDOW, GRAM = 100, 32
 #: bytes of exploded suffixes sorted at a time
-SORT_BYTES = 24 << 20
+SORT_BYTES = 12 << 20
 
 
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +55,7 @@ def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bytes_of(column: pa.Array):
+    base.let_go()
     data, offsets = base.byte_arrays(column)
     return base.Rolling(base.BYTE_CODE[data]), offsets
 

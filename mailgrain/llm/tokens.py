@@ -19,16 +19,15 @@ import pyarrow as pa
 from mailgrain.llm import base
 
 #: pieces and ids of units kept for each tokenizer and worker; the rest is encoded again, with the same ids
-CACHE_PIECES = 300_000
-SLOTS = 1 << 21
-STORED_IDS = 8_000_000
+CACHE_PIECES = 150_000
+SLOTS = 1 << 20
+STORED_IDS = 5_000_000
 
 # The pre-token patterns written in the two tokenizer files, for printable Latin texts.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
 WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+"
 
-_loaded: dict[str, "PieceEncoder"] = {}
 _CONTROL = (np.arange(256) < 32) | (np.arange(256) == 127) | (np.arange(256) >= 0xCA)
 _CONTROL[[9, 10, 13]] = False
 #: second bytes of two-byte characters from U+0080 on that the patterns above do not class: controls, no-break space, numerals
@@ -153,7 +152,5 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file and worker."""
-    if path not in _loaded:
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    """One encoder in each worker, until it serves another operator."""
+    return base.held(path, lambda: PieceEncoder(path))

@@ -202,8 +202,10 @@ def features(column: pa.Array, lexicon: Lexicon, grammar) -> np.ndarray:
         row[4] += bool(kind & 2)
         row[5] += 1
     rows = np.flatnonzero(weight > 0)
-    pairs = np.unique(np.stack([doc[rows].astype(np.uint64), words.hash[rows]]), axis=1)[0].astype(np.int64)
-    out[:, 6] = np.bincount(pairs, minlength=len(out))
+    order = rows[np.lexsort((words.hash[rows], doc[rows]))]
+    once = np.ones(len(order), bool)
+    once[1:] = (words.hash[order[1:]] != words.hash[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    out[:, 6] = np.bincount(doc[order[once]], minlength=len(out))
     out[:, :7] = np.log1p(out[:, :7])
     return out
 
@@ -231,14 +233,18 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
 
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in base.text_slices(batch):
+        for rows in base.text_slices(batch, limit=base.CHUNK_BYTES // 4):
             words = base.Words(rows.column("text"), lower=True, alphabet=base.NOT_SPACE & (~_BREAK | (np.arange(256) >= 128)))
             toxic, doc = np.asarray(rows.column("toxic")), words.doc()
-            found = [np.stack([doc[number].astype(np.uint64), code]) for number, code in entries(words)]
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            codes, at = np.unique(pairs[1], return_inverse=True)
-            bad = toxic[pairs[0].astype(np.int64)] == 1
-            t = np.bincount(at[bad], minlength=len(codes))
+            found = [(doc[number], code) for number, code in entries(words)]
+            own, code = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((own, code))
+            own, code = own[order], code[order]
+            once = np.ones(len(code), bool)  # a document counts once for each entry
+            once[1:] = (code[1:] != code[:-1]) | (own[1:] != own[:-1])
+            own, code = own[once], code[once]
+            codes, at = np.unique(code, return_inverse=True)
+            t = np.bincount(at[toxic[own] == 1], minlength=len(codes))
             yield base.batch_of(code=base.signed(codes), t=t, c=np.bincount(at, minlength=len(codes)) - t)
 
 
