@@ -516,10 +516,10 @@ def _decode_ac_refine(coefficients, lanes, bits, lut, first, final, low):
     own = lanes.blocks
     old = coefficients[own] != 0
     old[:, :first], old[:, final + 1:] = False, False
-    zero = np.zeros((len(own), 66), np.int64)  # zeros of the band before each place
+    zero = np.zeros((len(own), 66), np.int16)  # zeros of the band before each place
     zero[:, first + 1: final + 2] = np.cumsum(~old[:, first: final + 1], axis=1)
     zero[:, final + 2:] = zero[:, final + 1: final + 2]
-    where = np.full((len(own), 82), final + 1)
+    where = np.full((len(own), 82), final + 1, np.int16)
     b, j = np.nonzero(~old[:, first: final + 1])
     where[b, zero[b, j + first]] = j + first
     place, block, k = bits.start.copy(), np.zeros(len(bits.start), np.int64), np.full(len(bits.start), first)
@@ -540,7 +540,7 @@ def _decode_ac_refine(coefficients, lanes, bits, lut, first, final, low):
         skip[on] += np.where(end, (1 << run) + value, 0)
         closing = skip[on] > 0
         now = k[on]
-        target = np.where(closing, final + 1, where[row, np.minimum(zero[row, now] + run, 81)])
+        target = np.where(closing, final + 1, where[row, np.minimum(zero[row, now] + run, 81)]).astype(np.int64)
         between = (target - now) - (zero[row, target] - zero[row, now])
         noted.append((row, now, target, place[on] + used))
         place[on] += used + between
