@@ -311,6 +311,47 @@ def test_chat_formatting(spark):
     assert all(r["rewrites_history"] for r in chat.format_turns(df.where("conv_id = 1"), counting, str).where("turn_no > 0").collect())
 
 
+def test_chat_templates_that_depend_on_all_turns(spark):
+    data = [(c, t, "user" if t % 2 == 0 else "assistant", "say %d" % (t * c)) for c, n in ((1, 17), (2, 12), (3, 3)) for t in range(n)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+
+    def numbered(own):
+        return "".join(f"<{k} {r}>{t}</{k}>" for k, (r, t) in enumerate(own))
+
+    def last_ten(own):
+        return "".join(f"[{r}]{t};" for r, t in own[-10:])
+
+    def late_change(own):  # the fourth turn is changed when the thirteenth comes
+        return "".join(f"[{r}]{'(old)' if k == 3 and len(own) > 12 else t};" for k, (r, t) in enumerate(own))
+
+    def budget(own):  # at most 60 characters of text before the last turn
+        at = len(own) - 1
+        while at > 0 and sum(len(t) for _, t in own[at - 1:]) <= 60:
+            at -= 1
+        return "".join(f"[{r}]{t};" for r, t in own[at:])
+
+    rewriting = {numbered: lambda k, c: False, last_ten: lambda k, c: k >= 10, late_change: lambda k, c: k == 12, budget: None}
+    for template, rewrites in rewriting.items():
+        found = {}
+        for r in chat.format_turns(df, template, str).orderBy("conv_id", "turn_no").collect():
+            found.setdefault(r["conv_id"], []).append(r)
+        for conv, got in found.items():
+            own = [(r, t) for c, _, r, t in data if c == conv]
+            outputs = [template(own[: k + 1]) for k in range(len(own))]
+            pieces = [(r["piece"], r["piece_start"], r["content_start"], r["content_end"], r["in_loss"]) for r in got]
+            for k, r in enumerate(got):
+                assert chat.assemble(pieces[: k + 1])[0] == outputs[k]
+                assert r["exact"] and r["piece"][r["content_start"]: r["content_end"]] == own[k][1]
+                assert r["rewrites_history"] == (not outputs[k].startswith(outputs[k - 1]) if k else False)
+                assert len(outputs[k]) == (len(outputs[k - 1]) if k else 0) - r["n_replaced"] + len(r["piece"])
+                assert rewrites is None or r["rewrites_history"] == rewrites(k, conv)
+            whole, spans = chat.assemble(pieces)
+            last = max([k for k, r in enumerate(got) if r["rewrites_history"]], default=0)
+            kept = [t for k, (r, t) in enumerate(own) if r == "assistant" and (
+                k >= last or got[k]["piece_start"] + got[k]["content_end"] <= min(r["piece_start"] for r in got[k + 1:]))]
+            assert [whole[a:b] for a, b in spans] == kept
+
+
 def test_jpeg_round_trip_and_pixels():
     own = np.random.default_rng(6)
     data = [b"", bytes(range(256)) * 3, own.integers(0, 256, 5000).astype(np.uint8).tobytes(), b" " * 900, "déjà vu".encode() * 90]
