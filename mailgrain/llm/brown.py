@@ -286,8 +286,8 @@ def train(training: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, clu
     counts = base.store(word_counts(training), "word-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, types = int(sums["n"] or 0), int(sums["v"])
-    # at most 1 / known_share rows
-    known = counts.where(F.col("n") >= known_share * total).select("word", "n").toArrow()
+    # at most 1 / known_share rows, and the end token however few texts there are
+    known = counts.where((F.col("n") >= known_share * total) | (F.col("word") == int(END))).select("word", "n").toArrow()
     lexicon = Lexicon(np.asarray(known["word"]).astype(np.int64), np.asarray(known["n"]).astype(np.int64), total, cluster_share)
     bigrams = base.store(item_bigrams(training, spark.sparkContext.broadcast(lexicon)), "bigrams")
     item_class, matrix = exchange_classes(bigrams, lexicon.items, classes, rounds)

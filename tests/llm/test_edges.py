@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables, clashing columns, hot groups, and the parts themselves."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -217,6 +218,16 @@ def test_class_model_is_a_distribution():
     assert known.sum() + 10 ** model.unknown[1] == pytest.approx(1)
 
 
+def test_end_token_of_few_long_texts_is_known(spark):
+    text = "a b c " * 200_000  # one end in 600,001 tokens
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    df = spark.createDataFrame([(ids[0], text)], "doc_id long, text string")
+    row = brown.class_scores(df, classes=8, rounds=2).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (600_001, 600_001, 600_001)
+    want = 600_000 * np.log10(200_001) + np.log10(2) - 600_001 * np.log10(600_001 + 4 + 1)
+    assert row.base_score == pytest.approx(want)
+
+
 def test_exchange_improves_and_is_exact():
     own = np.random.default_rng(3)
     counts = own.poisson(2.0, (9, 9)).astype(float)
