@@ -252,6 +252,52 @@ def test_exchange_improves_and_is_exact():
         assert scores[best - 1] == pytest.approx(max(scores))
 
 
+def test_many_moves_equal_single_ones():
+    own = np.random.default_rng(8)
+    matrix = own.integers(400, 900, (7, 7)).astype(float)
+    n = 60
+    now = own.integers(1, 7, n)
+    left, right = (own.poisson(1.0, (n, 7)).astype(float) * 3 for _ in range(2))
+    self_ = np.minimum(np.minimum(left, right)[np.arange(n), now], own.integers(0, 3, n))
+    want = [brown.best_class(matrix, int(c), a, b, s) for c, a, b, s in zip(now, left, right, self_)]
+    assert brown.best_classes(matrix, now, left, right, self_).tolist() == want
+    assert len(set(want)) > 2
+
+
+def test_rare_words_get_classes_by_context(spark):
+    own = random.Random(4)
+    kinds = [["%s%dzzz" % (k, i) for i in range(30)] for k in "ab"]  # all of one ending, in two kinds of places
+    often = ["mine", "thine"]  # frequent words in the same two kinds of places
+    texts = [" ".join(f"{('le', 'um')[k]} {often[k] if own.random() < 0.5 else own.choice(kinds[k])}" for k in (
+        own.randint(0, 1) for _ in range(40))) for _ in range(60)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    df = spark.createDataFrame([(i, t, True) for i, t in zip(ids, texts)], "doc_id long, text string, train boolean").repartition(3)
+    code = lambda w: int(brown.text_tokens(pa.array([w]))[0][0])
+    for known_share in (2e-6, 0.1):  # all words in the lexicon, or only the four frequent ones
+        base.ship_code(spark)
+        model, blocks, rare = brown.train(df, classes=6, cluster_share=0.1, known_share=known_share)
+        got = dict(zip(model.lexicon.words.tolist(), model.known_class.tolist()))
+        got |= {r["word"]: r["cls"] for r in rare.collect()}
+        a, b = ({got[code(w)] for w in kind} for kind in kinds)
+        assert None not in a | b and not a & b
+        # the matrix and the scores are those of the classes found
+        cls = [[0] + [got[code(w)] for w in t.split()] + [0] for t in texts]
+        want = np.zeros((6, 6))
+        for c in cls:
+            np.add.at(want, (c[:-1], c[1:]), 1)
+        state = spark.sparkContext.broadcast((model.known_class, model.ending_class))
+        assert (brown.class_matrix(brown.with_rare(blocks, rare), state, 6) == want).all()
+        counts = {}
+        for t in texts:
+            for w in t.split():
+                counts[w] = counts.get(w, 0) + 1
+        scores = {r["doc_id"]: r for r in brown.score_texts(blocks, model, rare).collect()}
+        for i, t, c in zip(ids, texts, cls):
+            n = np.asarray([counts[w] for w in t.split()] + [len(texts)])
+            assert scores[i]["score"] == pytest.approx(model.transition[c[:-1], c[1:]].sum() + model.emission(n, np.asarray(c[1:])).sum())
+            assert scores[i]["n_known"] == scores[i]["n_tokens"] == 81
+
+
 def test_wavelet_matrix():
     own = np.random.default_rng(4)
     for n, top in ((0, 1), (1, 1), (700, 3), (3000, 50000)):
