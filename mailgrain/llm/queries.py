@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, brown, chat, decontaminate, media, neardup, packing, substrings, suffixes, toxicity, wavelet
+from mailgrain.llm import base, brown, chat, decontaminate, media, neardup, packing, runs, substrings, suffixes, toxicity, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -71,6 +71,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(base.store(chat.format_turns(rows), "chat"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_periodic_tails(base.table(spark, sf_dir, "documents")))
+    start, length, period = (runs.longest(c) for c in ("start", "length", "period"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown": op1_brown,
     "op2_progressive_jpeg": op2_progressive_jpeg,
@@ -82,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit": op8_best_fit,
     "op9_wavelet": op9_wavelet,
     "op10_chat": op10_chat,
+    "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {}

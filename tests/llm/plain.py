@@ -132,3 +132,48 @@ def conversations(rows):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss))
     return out
+
+
+def planted_tail(doc_id, words):
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def word_runs(words, least=6, times=4):
+    """(start, length, period) of all runs, every period tried."""
+    found, n = [], len(words)
+    for q in range(1, n // times + 1):
+        at = 0
+        while at + q < n:
+            if words[at] != words[at + q]:
+                at += 1
+                continue
+            end = at
+            while end + q < n and words[end] == words[end + q]:
+                end += 1
+            length = end - at + q
+            own = words[at: at + length]
+            smallest = next(p for p in range(1, q + 1) if own[p:] == own[:-p])
+            if length >= max(least, times * q) and smallest == q:
+                found.append((at, length, q))
+            at = end + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def run_digests(docs):
+    out = {}
+    for i, text in docs:
+        words = planted_tail(i, SPACED.findall(text or ""))
+        found = word_runs(words)
+        gone = [False] * len(words)
+        for start, length, q in found:
+            gone[start + q: start + length] = [True] * (length - q)
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        out[i] = (len(found), *best, None if best[0] is None else 1000 * best[1] // best[2],
+                  sha("".join("%d,%d,%d\n" % r for r in found)), sha(" ".join(w for w, g in zip(words, gone) if not g)))
+    return out
