@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, brown, chat, decontaminate, media, neardup, packing, runs, substrings, suffixes, toxicity, wavelet
+from mailgrain.llm import base, brown, chat, decontaminate, media, neardup, packing, runs, search, substrings, suffixes, toxicity, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -71,6 +71,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(base.store(chat.format_turns(rows), "chat"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.periodic_runs(runs.with_periodic_tails(base.table(spark, sf_dir, "documents")))
     start, length, period = (runs.longest(c) for c in ("start", "length", "period"))
@@ -93,6 +97,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit": op8_best_fit,
     "op9_wavelet": op9_wavelet,
     "op10_chat": op10_chat,
+    "op12_search": op12_search,
     "op13_runs": op13_runs,
 }
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES: dict[str, str] = {
+    "op12_search": rf"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM lengths),
+        wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM postings, total GROUP BY term),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), total
+            GROUP BY item_id, doc_id),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+}

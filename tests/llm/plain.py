@@ -177,3 +177,23 @@ def run_digests(docs):
         out[i] = (len(found), *best, None if best[0] is None else 1000 * best[1] // best[2],
                   sha("".join("%d,%d,%d\n" % r for r in found)), sha(" ".join(w for w, g in zip(words, gone) if not g)))
     return out
+
+
+def ranking(docs, items, top=10):
+    """[(item_id, rank, doc_id, score)], every document scored for every item."""
+    terms = [(i, collections.Counter(ALNUM.findall(lower(t)))) for i, t in docs]
+    terms = [(i, own, sum(own.values())) for i, own in terms if own]
+    count, words = len(terms), sum(n for _, _, n in terms)
+    df = collections.Counter(t for _, own, _ in terms for t in own)
+    out = []
+    for item, text in items:
+        found = []
+        for i, own, n in terms:
+            m = 10 + (90 * n * count) // words
+            score = sum(
+                math.floor(1000 * math.log((2 * count + 2) / (2 * df[t] + 1))) * (10 ** 9 * own[t] // (1000 * own[t] + 8 * m))
+                for t in set(ALNUM.findall(lower(text))) if t in own)
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(found)[:top], 1)]
+    return out
