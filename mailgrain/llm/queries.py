@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import base, brown, chat, decontaminate, media, neardup, packing, runs, search, substrings, suffixes, toxicity, wavelet
+from mailgrain.llm import base, brown, chat, decontaminate, jaccard, media, neardup, packing, runs, search, substrings, suffixes, toxicity, wavelet
 
 
 def tokenizer_file(name: str) -> str:
@@ -71,6 +71,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(base.store(chat.format_turns(rows), "chat"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(base.table(spark, sf_dir, "documents"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_search(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit": op8_best_fit,
     "op9_wavelet": op9_wavelet,
     "op10_chat": op10_chat,
+    "op11_jaccard": op11_jaccard,
     "op12_search": op12_search,
     "op13_runs": op13_runs,
 }
