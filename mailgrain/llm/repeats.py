@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from mailgrain.llm import base
 
 _PLACE = np.uint64((1 << 28) - 1)
+#: a region's place is first << 32 | lead << 16 | count, so lead and count have 16 bits
+FIELD = 16
+MOST = (1 << FIELD) - 1
 #: first regions of one gram that are compared in one task; more are compared window by window across the cluster
 GROUP_LIMIT = 2000
 
@@ -43,9 +46,34 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return (found & _PLACE).astype(np.int64)
 
 
+def packed_place(first, lead, count):
+    """First window, anchor minus first window and number of windows of a region in one number."""
+    return (first << 2 * FIELD) | (lead << FIELD) | count
+
+
+def first_of(place):
+    return place >> 2 * FIELD
+
+
+def lead_of(place):
+    return (place >> FIELD) & MOST
+
+
+def count_of(place):
+    return place & MOST
+
+
+def check_width(window: int, gram: int) -> None:
+    """The grams of a window must fit the fields of a place."""
+    if not 0 < gram <= window or window - gram + 1 > MOST:
+        raise ValueError(f"a window needs 1 to {MOST} grams: window {window}, gram {gram}")
+
+
 def chunk_regions(rolling: base.Rolling, bounds: np.ndarray, window: int, gram: int):
     """Regions of a chunk: document number, first window, number of windows, anchor minus first window, two hashes."""
     grams = rolling.grams(gram)
+    if len(grams) > int(_PLACE):
+        raise ValueError(f"a document may have at most {int(_PLACE)} symbols")
     width = window - gram + 1
     empty = np.zeros(0, np.int64)
     if len(grams) < width:
@@ -110,7 +138,7 @@ def _region_mapper(symbols: Callable, window: int, gram: int):
                 doc, first, count, lead, g, ctx = chunk_regions(rolling, bounds, window, gram)
                 if len(doc):
                     key = np.asarray(rows.column("key"))[doc]
-                    place = (first << 16) | (lead << 8) | count
+                    place = packed_place(first, lead, count)
                     late = _repeated_here(g, ctx, key)
                     # known repeats go anywhere, so that a frequent region is no hot key
                     spread = base.signed(base.mix(key.view(np.uint64) * np.uint64(31) + place.view(np.uint64)))
@@ -168,6 +196,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_regions(docs: DataFrame, symbols: Callable, window: int, gram: int) -> DataFrame:
     """Stored regions of keyed documents that share their gram: (g, ctx, key, place, kind), see :func:`_classes`."""
+    check_width(window, gram)
     regions = docs.select("key", "text").mapInArrow(_region_mapper(symbols, window, gram), REGION + ", late boolean")
     ordered = regions.repartition("g").sortWithinPartitions("g", "ctx", "key", "place")
     return base.store(ordered.mapInArrow(_classes, REGION + ", kind byte"), "regions")
@@ -184,7 +213,7 @@ def with_pieces(docs: DataFrame, firsts: DataFrame, cut: Callable, window: int)
                 find = cut(rows.column("text"))
                 for doc, (key, wanted) in enumerate(zip(rows.column("key").to_pylist(), rows.column("wanted").to_pylist())):
                     for want in wanted:
-                        first, count = want["place"] >> 16, want["place"] & 255
+                        first, count = first_of(want["place"]), count_of(want["place"])
                         out.append((want["g"], want["ctx"], key, want["place"], find(doc, first, first + count + window - 1)))
                 if out:
                     columns = list(zip(*out))
@@ -212,7 +241,7 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def whole_region_spans(regions: DataFrame, window: int) -> DataFrame:
     """(key, start, end) of regions given by ``place``, in symbols."""
-    first, count = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
+    first, count = F.shiftright("place", 2 * FIELD), F.col("place").bitwiseAND(F.lit(MOST))
     return regions.select("key", first.alias("start"), (first + count + F.lit(window - 1)).alias("end"))
 
 

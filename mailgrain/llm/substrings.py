@@ -97,7 +97,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         late = repeats.earliest_window(windows, ["key"]).where(F.col("first.key") < F.col("key"))
         found = found.unionByName(late.select("g", "ctx", "key", "a", (F.col("a") + window).alias("b")))
     # what holds for the first region of a class in its document holds for the equal ones in the same document
-    places = shared.where("kind <> 0").select("g", "ctx", "key", F.shiftright("place", 16).alias("first"))
+    places = shared.where("kind <> 0").select("g", "ctx", "key", F.shiftright("place", 2 * repeats.FIELD).alias("first"))
     partial = found.join(places, ["g", "ctx", "key"]).select(
         "key", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b")).alias("end"))
     return whole.unionByName(partial)

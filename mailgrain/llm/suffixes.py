@@ -67,20 +67,20 @@ def _cut(column: pa.Array):
 
 def _sorted_spans(group: list[tuple], window: int) -> list[tuple[int, int, int]]:
     """Spans of repeated windows among pieces (g, key, place, piece) in (g, key, place) order."""
-    counts = np.asarray([p[2] & 255 for p in group])
+    counts = np.asarray([repeats.count_of(p[2]) for p in group])
     data = np.frombuffer(b"".join([p[3] for p in group]) + b"\0" * 8, np.uint8)
     sizes = counts + window - 1
     starts = np.cumsum(sizes) - sizes
     piece = np.repeat(np.arange(len(group)), counts)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    lead = np.asarray([(p[2] >> 8) & 255 for p in group])
+    lead = np.asarray([repeats.lead_of(p[2]) for p in group])
     symbols = -(-window // 8)
     at = starts[piece] + inside
     eight = np.lib.stride_tricks.sliding_window_view(data, 8)
     keys = np.empty((len(piece), symbols + 2), np.uint64)
     number = {g: i for i, g in enumerate(dict.fromkeys(p[0] for p in group))}
     keys[:, 0] = np.asarray([number[p[0]] for p in group], np.uint64)[piece]
-    keys[:, 1] = (inside - lead[piece] + 256).astype(np.uint64)
+    keys[:, 1] = (inside - lead[piece] + window).astype(np.uint64)
     for s in range(symbols):
         # the last symbol overlaps the one before, so that it ends with the window
         keys[:, 2 + s] = np.ascontiguousarray(eight[at + min(8 * s, window - 8)]).view(">u8").ravel()
@@ -92,7 +92,7 @@ def _sorted_spans(group: list[tuple], window: int) -> list[tuple[int, int, int]]
         for own in range(piece[a], piece[b - 1] + 1):
             base_row = int(np.searchsorted(piece, own))
             first, last = max(a, base_row), min(b, base_row + int(counts[own]))
-            start = (group[own][2] >> 16) + first - base_row
+            start = repeats.first_of(group[own][2]) + first - base_row
             out.append((group[own][1], start, start + last - first - 1 + window))
     return out
 
@@ -112,7 +112,7 @@ def _sort_bucket(window: int):
                     yield from spans()
                     held, size = [], 0
                 held.append(row)
-                size += (row[2] & 255) * (window + 20)
+                size += repeats.count_of(row[2]) * (window + 20)
         yield from spans()
 
     return run
@@ -122,7 +122,7 @@ def _exploded(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n, first, piece = row["place"] & 255, row["place"] >> 16, row["piece"]
+                n, first, piece = repeats.count_of(row["place"]), repeats.first_of(row["place"]), row["piece"]
                 yield base.batch_of(
                     suffix=pa.array([piece[i: i + window] for i in range(n)], pa.binary()), key=np.full(n, row["key"]),
                     start=np.arange(first, first + n))
@@ -154,7 +154,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     shared = repeats.shared_regions(docs, _bytes_of, window, gram)
     whole = repeats.whole_region_spans(shared.where("kind <> 1"), window)
     cold, hot = repeats.split_by_group(shared.where("kind = 1").select("g", "ctx", "key", "place"), group_limit)
-    lead = F.expr(f"substring(piece, cast(shiftright(place, 8) & 255 as int) + 1, {gram})")
+    lead = F.expr(f"substring(piece, cast(shiftright(place, {repeats.FIELD}) & {repeats.MOST} as int) + 1, {gram})")
     pieces = base.store(repeats.with_pieces(docs, cold, _cut, window), "pieces")
     buckets = pieces.repartitionByRange(lead, "g").sortWithinPartitions(lead, "g", "key", "place")
     spans = whole.unionByName(buckets.mapInArrow(_sort_bucket(window), "key long, start long, end long"))
