@@ -221,7 +221,8 @@ def with_pieces(docs: DataFrame, firsts: DataFrame, cut: Callable, window: int)
                         g=pa.array(columns[0], pa.int64()), ctx=pa.array(columns[1], pa.int64()), key=pa.array(columns[2], pa.int64()),
                         place=pa.array(columns[3], pa.int64()), piece=pa.array(columns[4], pa.binary()))
 
-    return docs.select("key", "text").join(wanted, "key").mapInArrow(run, REGION + ", piece binary")
+    # wanted grows with the corpus: joined by shuffle at every size, never broadcast
+    return docs.select("key", "text").join(wanted.hint("merge"), "key").mapInArrow(run, REGION + ", piece binary")
 
 
 def split_by_group(firsts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
