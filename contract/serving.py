@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contract.adapter import NOW_S, YOU, driver_table, now, present, table
+from contract.analysis import FEATURE_TYPES, feature_rows, sender_sql
 from contract.registry import query
 from mailgrain import constants as K
 from mailgrain.operators import entities, eventlog, labeling, serving, threads
+from mailgrain.operators.features import message_features
 from mailgrain.plans.mailbox import MailboxRun, refresh_after_batch
 from mailgrain.schemas import MESSAGE
 from mailgrain.session import shared_folder
@@ -743,6 +745,35 @@ def q6(spark, d):
     )
 
 
+def _ingested(spark, source, parts):
+    """A store after micro-batches of one file each: ``parts`` of the messages, the first one twice."""
+    incoming = shared_folder(spark, "incoming")
+    mail = source.select(*[F.col(f.name) if f.name in source.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGE])
+    for part in [*range(parts), 0]:
+        mail.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(incoming)
+    tables = ingest.MailTables(spark, shared_folder(spark, "tables"))
+    stream = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(incoming)
+    ingest.ingest_stream(stream, tables, shared_folder(spark, "ingest-state")).awaitTermination()
+    return tables
+
+
+@query(
+    "Q6_sender_state",
+    "SELECT * REPLACE (round(avg_response_hours, 6) AS avg_response_hours, round(sender_reply_rate, 6) AS sender_reply_rate) FROM f5",
+    ("order_mail",), sender_sql("order_mail"),
+)
+def q6_state(spark, d):
+    """F5 from the changes of three batches and a replay, without the mail."""
+    return present(_ingested(spark, table(spark, d, "order_mail"), 3).senders.stats())
+
+
+@query("Q6_ingested_features", "SELECT * FROM feature_rows", ("messages",), feature_rows("messages"), FEATURE_TYPES)
+def q6_features(spark, d):
+    """F12 of a mailbox that comes as one batch and once more."""
+    tables = _ingested(spark, table(spark, d, "messages"), 1)
+    return present(tables.read("features", message_features(tables.read("messages", MESSAGE)).schema))
+
+
 @query(
     "Q7_phase_partition",
     f"SELECT id, CASE WHEN age < 7 THEN 'quick' WHEN age < 30 THEN 'standard' WHEN age < 90 THEN 'deep' END AS phase, CAST(CASE WHEN age < 7 THEN 100 WHEN age < 30 THEN 200 WHEN age < 90 THEN 500 END AS INT) AS batch_size, "

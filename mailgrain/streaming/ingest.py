@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailgrain.constants import BACKFILL_PHASES
 from mailgrain.functions.clean import prepare_for_embedding
 from mailgrain.operators import labeling
-from mailgrain.operators.actions import reference_date
-from mailgrain.operators.features import message_features, sender_stats
+from mailgrain.operators.features import message_features
 from mailgrain.operators.rules import classify_messages
 from mailgrain.operators.tables import insert_new
 from mailgrain.operators.vectors import Encoder, embed
 from mailgrain.schemas import MESSAGE
+from mailgrain.streaming.senders import SenderState
+from mailgrain.streaming.store import BatchTables
 
 
 def embedding_inputs(messages: DataFrame, features: DataFrame) -> DataFrame:
@@ -29,77 +30,106 @@ def embedding_inputs(messages: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-class MailTables:
-    """The tables of an ingest job as parquet folders under one root."""
+VECTORS = "email_id bigint, embedding array<float>, token_count int, content_hash string"
+LABELS = (
+    "email_id bigint, raw_response string, raw_prompt string, action_type string, urgency string, "
+    "ai_can_handle string, next_step string, suggested_action string, one_liner string, prompt_tokens int, "
+    "completion_tokens int, total_tokens int, parse_error boolean"
+)
+CONTACTS = "email string, is_important_sender boolean"
+RANKS = "email_id bigint, priority_score double, priority_rank bigint"
+COMPACT_EVERY = 100
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, name: str, schema) -> DataFrame:
-        """The table, empty while nothing was written to it."""
-        path = f"{self.root}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        if exists:
-            return self.spark.read.schema(schema).parquet(path)
+class MailTables(BatchTables):
+    """The tables of an ingest job, and the state of its senders."""
+
+    @property
+    def senders(self) -> SenderState:
+        return SenderState(self)
+
+    def plain(self, name: str, schema) -> DataFrame:
+        """A table that a refresh writes as a whole, empty before the first."""
+        if self._files().exists(self._path(name)):
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         return self.spark.createDataFrame([], schema)
 
-    def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+def new_messages(batch: DataFrame, tables: MailTables) -> DataFrame:
+    """A4 for a batch: messages whose id is not stored; only the links of the batch's own ids are read."""
+    incoming = batch.select(*MESSAGE.fieldNames())
+    stored = tables.senders.stored_links(incoming.select(F.col("message_id").alias("ref"))).filter("own")
+    return insert_new(stored.select(F.col("ref").alias("message_id")), incoming, "message_id")
 
 
 def ingest_batch(
     batch: DataFrame, tables: MailTables, encoder: Encoder | None = None, scorer: labeling.Scorer | None = None
 ) -> None:
-    """Q6: store the new messages of one batch, then fill the derived tables.
+    """Q6: store the new messages of one batch and everything derived from them.
 
-    Each derived table takes the messages it does not have yet, so a batch
-    that is replayed after a failure completes what was left out and adds
-    nothing twice.
+    The batch reads itself, the stored links of the ids it names, and the changes of the senders it has mail from;
+    no stored message is read.  It counts once all its tables are written: a batch that fails half-way is
+    written again under the same number, and one that comes again adds nothing.
     """
-    stored = tables.read("messages", MESSAGE)
-    tables.append("messages", insert_new(stored, batch.select(*MESSAGE.fieldNames()), "message_id"))
-    messages = tables.read("messages", MESSAGE)
-    received = messages.filter(~F.col("is_sent"))
-
-    # sender statistics look at the whole mailbox, rows are built for new messages only
-    feature_schema = message_features(messages).schema
-    known = tables.read("features", feature_schema).select(F.col("email_id").alias("id"))
-    fresh = received.join(known, "id", "left_anti")
-    tables.append("features", message_features(fresh, sender_stats(messages), reference_date(messages)))
-    features = tables.read("features", feature_schema)
-
-    class_schema = classify_messages(messages, features).schema
-    known = tables.read("classes", class_schema)
-    fresh = received.join(known.select(F.col("email_id").alias("id")), "id", "left_anti")
-    tables.append("classes", classify_messages(fresh, features))
-    classes = tables.read("classes", class_schema)
+    number = tables.committed() + 1
+    mail = tables.write("messages", number, new_messages(batch, tables))
+    state = tables.senders
+    state.add(mail, number)
+    # rows are built for new messages only, with what is known of their senders now
+    who = mail.filter(~F.col("is_sent")).select(F.lower("from_email").alias("sender"))
+    latest = F.timestamp_micros(F.lit(state.reference(number)).cast("bigint"))
+    features = tables.write("features", number, message_features(mail, state.stats(who, number), latest))
+    classes = tables.write("classes", number, classify_messages(mail, features))
+    if encoder is not None:
+        tables.write("vectors", number, embed(prepare_for_embedding(embedding_inputs(mail, features)), encoder))
+    if scorer is not None:
+        tables.write("labels", number, _labelled(mail, features, classes, tables, scorer, tables.spark.createDataFrame([], LABELS)))
+    tables.commit(number)
+    if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+        state.compact()
+
+
+def _labelled(
+    mail: DataFrame, features: DataFrame, classes: DataFrame, tables: MailTables, scorer: labeling.Scorer, done: DataFrame,
+    limit: int | None = None,
+) -> DataFrame:
+    # contacts and ranks are those of the last refresh; empty before the first
+    people, ranked = tables.plain("contacts", CONTACTS), tables.plain("priority", RANKS)
+    queue = labeling.llm_queue(mail, features, classes, people, ranked, done, limit=limit)
+    return labeling.model_labels(labeling.score_with(labeling.build_prompts(queue), scorer, ["email_id"]))
 
+
+def catch_up(
+    tables: MailTables, encoder: Encoder | None = None, scorer: labeling.Scorer | None = None, label_limit: int | None = None
+) -> None:
+    """Vectors and labels for committed messages that have none, as a batch of its own (at most ``label_limit`` labels).
+
+    For mail that came in while no encoder or scorer was given; unlike a batch it reads the stored messages.
+    """
+    number = tables.committed() + 1
+    mail = tables.read("messages", MESSAGE)
+    received = mail.filter(~F.col("is_sent"))
+    features = tables.read("features", message_features(mail).schema)
     if encoder is not None:
-        vector_schema = "email_id bigint, embedding array<float>, token_count int, content_hash string"
-        known = tables.read("vectors", vector_schema)
+        known = tables.read("vectors", VECTORS)
         inputs = embedding_inputs(received, features).join(known.select("email_id"), "email_id", "left_anti")
-        tables.append("vectors", embed(prepare_for_embedding(inputs), encoder))
+        tables.write("vectors", number, embed(prepare_for_embedding(inputs), encoder))
     if scorer is not None:
-        label_schema = (
-            "email_id bigint, raw_response string, raw_prompt string, action_type string, urgency string, "
-            "ai_can_handle string, next_step string, suggested_action string, one_liner string, prompt_tokens int, "
-            "completion_tokens int, total_tokens int, parse_error boolean"
-        )
-        done = tables.read("labels", label_schema)
-        # contacts and ranks are those of the last refresh; empty before the first
-        people = tables.read("contacts", "email string, is_important_sender boolean")
-        ranked = tables.read("priority", "email_id bigint, priority_score double, priority_rank bigint")
-        queue = labeling.llm_queue(received, features, classes, people, ranked, done, limit=None)
-        scored = labeling.score_with(labeling.build_prompts(queue), scorer, ["email_id"])
-        tables.append("labels", labeling.model_labels(scored))
+        classes = tables.read("classes", classify_messages(mail, features).schema)
+        done = tables.read("labels", LABELS)
+        tables.write("labels", number, _labelled(received, features, classes, tables, scorer, done, label_limit))
+    tables.commit(number)
 
 
 def ingest_stream(
     stream: DataFrame, tables: MailTables, checkpoint: str, encoder: Encoder | None = None,
     scorer: labeling.Scorer | None = None, available_now: bool = True,
 ) -> StreamingQuery:
-    """Q6: run :func:`ingest_batch` on every micro-batch of a message stream."""
+    """Q6: run :func:`ingest_batch` on every micro-batch of a message stream.
+
+    Batches are numbered by what is committed in ``tables``, not by the stream, so a stream with a new checkpoint or a
+    second one after it goes on where the tables are.  One stream at a time may write to a store.
+    """
     writer = stream.writeStream.foreachBatch(
         lambda batch, _: ingest_batch(batch, tables, encoder, scorer)
     ).option("checkpointLocation", checkpoint)
