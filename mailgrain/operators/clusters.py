@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgrain.constants import (
     ACTION_CODES, DIMENSIONS, MAX_CLUSTERS, NO_RESPONSE_HOURS, SERVICE_TYPE_CODES, TIMING_CODES,
 )
-from mailgrain.functions.vectors import euclidean_distance
+from mailgrain.operators import lloyd
 from mailgrain.session import cut_lineage
 
 
@@ -82,55 +79,66 @@ def temporal_matrix(features: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def _fit_best(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
-    """The restart with the lowest training cost; every fit is a Spark job over cached vectors."""
-    vectors.persist()
-    try:
-        # never more clusters than rows
-        k = vectors.limit(k).count()
-        if k == 0:
-            raise ValueError("nothing to cluster")
-        if k == 1:
-            return _single_cluster(vectors, seed)
-        models = (
-            KMeans(featuresCol="vector", predictionCol="cluster", k=k, seed=seed + i, maxIter=50).fit(vectors)
-            for i in range(restarts)
-        )
-        return min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        vectors.unpersist()
-
-
-def _single_cluster(vectors: DataFrame, seed: int) -> KMeansModel:
-    """One row: k-means needs k > 1, the second centre stays empty."""
-    return KMeans(featuresCol="vector", predictionCol="cluster", k=2, seed=seed).fit(vectors)
-
-
-def _assigned(vectors: DataFrame, model: KMeansModel) -> DataFrame:
-    """``email_id, cluster, distance`` to the own centre."""
-    # at most 100 centres by construction, so the table is small
-    centres = vectors.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>"
-    )
-    placed = model.transform(vectors).join(F.broadcast(centres), "cluster")
-    return placed.select(
-        "email_id", "cluster", euclidean_distance(vector_to_array("vector"), F.col("centre")).alias("distance")
-    )
+def standardised(matrices: dict[str, DataFrame]) -> DataFrame:
+    """``email_id`` and, for every name, an array column of the matrix's values with mean 0 and deviation 1.
+
+    A column without any spread is 0.  Messages that a matrix lacks have a null array.
+    """
+    joined = None
+    for name, matrix in matrices.items():
+        values = matrix.select("email_id", F.struct(*[c for c in matrix.columns if c != "email_id"]).alias(name))
+        joined = values if joined is None else joined.join(values, "email_id", "full_outer")
+    joined = cut_lineage(joined)
+    columns = {name: [c for c in matrix.columns if c != "email_id"] for name, matrix in matrices.items()}
+    moments = joined.agg(*[
+        f(f"{name}.{c}").alias(f"{kind}_{name}_{c}") for name, own in columns.items() for c in own
+        for kind, f in (("mean", F.avg), ("spread", F.stddev))]).first()
+
+    def scaled(name: str, c: str) -> Column:
+        mean, spread = moments[f"mean_{name}_{c}"], moments[f"spread_{name}_{c}"]
+        return (F.col(f"{name}.{c}") - F.lit(mean)) / F.lit(spread) if spread else F.lit(0.0)
+
+    return joined.select("email_id", *[
+        F.when(F.col(name).isNotNull(), F.array(*[scaled(name, c) for c in own])).alias(name) for name, own in columns.items()])
+
+
+def cluster_all(matrices: dict[str, DataFrame], seed: int = 42, restarts: int = 10) -> DataFrame:
+    """J5 of several dimensions at once: ``email_id``, ``<name>_cluster`` and ``<name>_distance`` to the own centre.
+
+    Equal rows of a matrix are one weighted point, so hours, flags and codes shrink to the values that occur.  All
+    dimensions and restarts share each reading of the points.
+    """
+    rows = standardised(matrices)
+    names = list(matrices)
+    points = rows.select(F.posexplode(F.array(*names)).alias("space", "point")).filter(F.col("point").isNotNull())
+    points = cut_lineage(points.groupBy("space", "point").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    # never more clusters than messages
+    sizes = {r["space"]: int(r["n"]) for r in points.groupBy("space").agg(F.sum("weight").alias("n")).collect()}
+    wanted = {i: min(MAX_CLUSTERS[name], sizes[i]) for i, name in enumerate(names) if i in sizes}
+    if not wanted:
+        raise ValueError("nothing to cluster")
+    fits = lloyd.fit_spaces(points, wanted, seed, restarts)
+    return lloyd.assign(rows, "email_id", {names[i]: (names[i], fit) for i, fit in fits.items()})
+
+
+def _one(assigned: DataFrame, name: str) -> DataFrame:
+    return assigned.filter(F.col(f"{name}_cluster").isNotNull()).select(
+        "email_id", F.col(f"{name}_cluster").alias("cluster"), F.col(f"{name}_distance").alias("distance"))
 
 
 def cluster(matrix: DataFrame, dimension: str, seed: int = 42, restarts: int = 10) -> DataFrame:
-    """Standardised k-means over all columns but ``email_id``."""
-    columns = [c for c in matrix.columns if c != "email_id"]
-    assembled = VectorAssembler(inputCols=columns, outputCol="raw").transform(matrix)
-    scaler = StandardScaler(inputCol="raw", outputCol="vector", withMean=True, withStd=True).fit(assembled)
-    vectors = cut_lineage(scaler.transform(assembled).select("email_id", "vector"))
-    return _assigned(vectors, _fit_best(vectors, MAX_CLUSTERS[dimension], seed, restarts))
+    """Standardised k-means over all columns but ``email_id``: ``email_id, cluster, distance``."""
+    return _one(cluster_all({dimension: matrix}, seed, restarts), dimension)
 
 
 def cluster_content(vectors: DataFrame, seed: int = 42, restarts: int = 10) -> DataFrame:
     """K-means on the vectors as they are."""
-    points = cut_lineage(vectors.select("email_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector")))
-    return _assigned(points, _fit_best(points, MAX_CLUSTERS["content"], seed, restarts))
+    rows = cut_lineage(vectors.select("email_id", F.col("embedding").cast("array<double>").alias("content")))
+    points = rows.filter(F.col("content").isNotNull()).select(F.lit(0).alias("space"), F.col("content").alias("point"), F.lit(1.0).alias("weight"))
+    k = points.limit(MAX_CLUSTERS["content"]).count()
+    if k == 0:
+        raise ValueError("nothing to cluster")
+    return _one(lloyd.assign(rows, "email_id", {"content": ("content", lloyd.fit_spaces(points, {0: k}, seed, restarts)[0])}), "content")
 
 
 def cluster_count(assigned: DataFrame) -> DataFrame:
@@ -172,18 +180,16 @@ def assign_clusters(
     messages: DataFrame, features: DataFrame, vectors: DataFrame, seed: int = 42, restarts: int = 10
 ) -> DataFrame:
     """J1-J8 end to end."""
-    people = membership(cluster(people_matrix(features, messages), "people", seed, restarts))
+    found = cluster_all({
+        "people": people_matrix(features, messages), "behavior": behavior_matrix(messages),
+        "service": service_matrix(features, messages), "temporal": temporal_matrix(features, messages),
+    }, seed, restarts)
+    people = membership(_one(found, "people"))
     if not vectors.isEmpty():
         content = membership(cluster_content(vectors, seed, restarts))
     else:
         content = people.select("email_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("prob"))
-    return cluster_assignments(
-        people,
-        content,
-        cluster(behavior_matrix(messages), "behavior", seed, restarts),
-        cluster(service_matrix(features, messages), "service", seed, restarts),
-        cluster(temporal_matrix(features, messages), "temporal", seed, restarts),
-    )
+    return cluster_assignments(people, content, _one(found, "behavior"), _one(found, "service"), _one(found, "temporal"))
 
 
 METADATA_DEFAULTS = {
