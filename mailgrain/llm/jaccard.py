@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mailgrain.llm import base, repeats
 from mailgrain.llm.neardup import _merge as merged_labels
-from mailgrain.llm.neardup import confirmed, shingle_sets
+from mailgrain.llm.neardup import _shared_buckets, confirmed, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 256
@@ -101,18 +101,21 @@ def _points(size: int):
 
 
 def prefixes(shingles: np.ndarray, bounds: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int):
-    """First shingles of each document in the common order: (document, shingle).  ``hot`` is sorted, ``rank`` its order."""
+    """First shingles of each document in the common order: (document, shingle, whether it is frequent).
+
+    ``hot`` is sorted, ``rank`` its order.
+    """
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    place = shingles
+    frequent = np.zeros(len(shingles), bool)
     if len(hot) and len(shingles):
         at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        place = np.where(hot[at] == shingles, np.uint64(0xFFFFFFFFFFFFFFFF) - rank[at], shingles)
-        order = np.lexsort((place, doc))
-        shingles = shingles[order]
+        frequent = hot[at] == shingles
+        order = np.lexsort((np.where(frequent, np.uint64(0xFFFFFFFFFFFFFFFF) - rank[at], shingles), doc))
+        shingles, frequent = shingles[order], frequent[order]
     first = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
     keep = np.arange(len(doc)) - bounds[:-1][doc] < first[doc]
-    return doc[keep], shingles[keep]
+    return doc[keep], shingles[keep], frequent[keep]
 
 
 def _prefix_rows(size: int, percent: int, hot_shingles):
@@ -132,36 +135,43 @@ def _prefix_rows(size: int, percent: int, hot_shingles):
                 for i, name in zip(own.tolist(), zip(sums.tolist(), n[own].tolist())):
                     fresh[i] = name not in met
                     met.add(name)
-                doc, first = prefixes(shingles, bounds, hot, rank, percent)
+                doc, first, frequent = prefixes(shingles, bounds, hot, rank, percent)
                 fresh = fresh[doc]
-                doc, first = doc[fresh], first[fresh]
-                yield base.batch_of(bucket=base.signed(first), key=np.asarray(rows.column("key"))[doc])
+                doc, first, frequent = doc[fresh], first[fresh], frequent[fresh]
+                yield base.batch_of(bucket=base.signed(first), key=np.asarray(rows.column("key"))[doc], frequent=pa.array(frequent))
 
     return run
 
 
 def prefix_rows(keyed: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
-    """Stored (bucket, key) of the first shingles of all documents, frequent shingles last."""
+    """Stored (bucket, key, frequent) of the first shingles of all documents, frequent shingles last."""
     context = keyed.sparkSession.sparkContext
     frequent = signed.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
     rows = frequent.orderBy(F.desc("seen"), "shingle").limit(HOT).select("shingle").toArrow()  # HOT rows at most
     hot = rows.column("shingle").to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(hot)
     shared = context.broadcast((hot[order], order.astype(np.uint64)))
-    return base.store(keyed.select("key", "text").mapInArrow(_prefix_rows(size, percent, shared), "bucket long, key long"), "prefixes")
+    return base.store(keyed.select("key", "text").mapInArrow(_prefix_rows(size, percent, shared), "bucket long, key long, frequent boolean"), "prefixes")
 
 
 def shared_buckets(rows: DataFrame, moved: DataFrame) -> DataFrame:
     """Stored (bucket, key, first) of buckets that several documents share, as nodes.
 
-    Smallest keys are found map-side and joined back, so that the rows of a hot bucket need not meet in one task.
+    Rows of frequent shingles are the few that other shingles leave room for; their smallest keys are found map-side and
+    joined back, so that a hot bucket need not meet in one task.  All others are sorted by bucket once.
     """
-    heads = base.store(rows.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(
+    cold = rows.where("not frequent").select("bucket", "key").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(
+        _shared_buckets, "bucket long, key long, first long")
+    hot = rows.where("frequent").select("bucket", "key")
+    heads = base.store(hot.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select(
         "bucket", "first"), "heads")
-    node = moved.select(F.col("key").alias("first"), F.col("node").alias("first_node"))
-    heads = heads.join(node, "first", "left").select("bucket", F.coalesce("first_node", "first").alias("first"))
-    found = rows.join(heads, "bucket").join(moved, "key", "left").select("bucket", F.coalesce("node", "key").alias("key"), "first")
-    return base.store(found, "buckets")
+    found = base.store(cold.unionByName(hot.join(heads, "bucket")), "shared")
+    first_node = moved.select(F.col("key").alias("first"), F.col("node").alias("first_node"))
+    nodes = found.join(moved, "key", "left").join(first_node, "first", "left").select(
+        "bucket", F.coalesce("node", "key").alias("key"), F.coalesce("first_node", "first").alias("first"))
+    buckets = base.store(nodes, "buckets")
+    base.drop_stored(found)
+    return buckets
 
 
 # ---------------------------------------------------------------- trees
@@ -230,41 +240,83 @@ class Tree:
             yield self.order[i[fit]], self.order[j[fit]], shared[fit]
 
 
+def _nearest(i: np.ndarray, j: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs with a point the one with the largest share, for each point."""
+    both, other = np.r_[i, j], np.r_[j, i]
+    order = np.lexsort((-np.tile(share, 2), both))
+    one = np.r_[True, both[order][1:] != both[order][:-1]][: len(both)]
+    return both[order][one], other[order][one]
+
+
 def _tree_pairs(percent: int, nearest: bool):
-    names = ("grp", "key", "comp", "n", "counts", "side", "half", "split")
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, comp, n, side, half = (np.asarray([r[i] for r in rows], np.int64) for i in (1, 2, 3, 5, 6))
-        for i, j, shared in Tree(unpacked([r[4] for r in rows]), n).pairs(percent):
-            fit = (comp[i] != comp[j]) & (side[i] + side[j] < 2)
-            if rows[0][7]:
-                fit &= half[i] != half[j]
-            i, j, shared = i[fit], j[fit], shared[fit]
-            if nearest and len(i):
-                both, other, share = np.r_[i, j], np.r_[j, i], np.tile(shared / (n[i] + n[j]), 2)
-                order = np.lexsort((-share, both))
-                one = np.r_[True, both[order][1:] != both[order][:-1]]
-                i, j = both[order][one], other[order][one]
+    """Rows sorted by group to candidate pairs of different components.
+
+    A group of at most ``LEAF`` points is a tree of one leaf: such groups of a batch are compared all at once.  Of
+    larger ones ``nearest`` keeps the best pair of each point (of each run of leaf pairs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the group that may go on
+
+        def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            grp, key, comp, n, side, half = (rows.column(c).to_numpy() for c in ("grp", "key", "comp", "n", "side", "half"))
+            split = rows.column("split").to_numpy()
+            counts = rows.column("counts")
+            opens = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+            sizes = np.diff(np.r_[opens, len(grp)])
+
+            def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return (comp[i] != comp[j]) & (side[i] + side[j] < 2) & (~split[i] | (half[i] != half[j]))
+
+            small = (sizes > 1) & (sizes <= LEAF)
+            both = sizes[small] ** 2
+            inner = np.arange(int(both.sum())) - np.repeat(np.cumsum(both) - both, both)
+            width, start = np.repeat(sizes[small], both), np.repeat(opens[small], both)
+            i, j = start + inner // width, start + inner % width
+            fit = (i < j) & allowed(i, j) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[fit], j[fit]
             if len(i):
+                met, place = np.unique(np.r_[i, j], return_inverse=True)
+                points = unpacked(counts.take(pa.array(met)).to_pylist())
+                x, y = place[: len(i)], place[len(i):]
+                shared = np.concatenate([
+                    np.minimum(points[x[at: at + 8192]], points[y[at: at + 8192]]).sum(axis=1) for at in range(0, len(x), 8192)])
+                fit = shared >= needed(n[i], n[j], percent)
+                i, j = i[fit], j[fit]
                 yield base.batch_of(a=np.minimum(key[i], key[j]), b=np.maximum(key[i], key[j]))
+            for at, size in zip(opens[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+                tree = Tree(unpacked(counts.slice(at, size).to_pylist()), n[at: at + size])
+                for i, j, shared in tree.pairs(percent):
+                    i, j = i + at, j + at
+                    fit = allowed(i, j)
+                    i, j, shared = i[fit], j[fit], shared[fit]
+                    if nearest and len(i):
+                        i, j = _nearest(i, j, shared / (n[i] + n[j]))
+                    if len(i):
+                        yield base.batch_of(a=np.minimum(key[i], key[j]), b=np.maximum(key[i], key[j]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if rows and row[0] != rows[-1][0]:
-                    if len(rows) > 1:
-                        yield from pairs(rows)
-                    rows = []
-                rows.append(row)
-        if len(rows) > 1:
-            yield from pairs(rows)
+            if not batch.num_rows:
+                continue
+            grp = batch.column("grp").to_numpy()
+            last = int(np.searchsorted(grp, grp[-1]))  # the last group waits for the next batch
+            if last or (held and held[-1].column("grp")[0].as_py() != grp[0]):
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def tree_candidates(buckets: DataFrame, own: DataFrame, labels: DataFrame, percent: int, nearest: bool, block: int) -> DataFrame:
-    """Pairs (a, b) of different components in buckets that hold several; ``nearest`` keeps one for each point of a leaf row."""
+def tree_candidates(
+    buckets: DataFrame, own: DataFrame, labels: DataFrame, percent: int, nearest: bool, block: int, least: int = 2,
+) -> DataFrame:
+    """Pairs (a, b) of different components in buckets that hold several; ``nearest`` see :func:`_tree_pairs`.
+
+    Groups of fewer than ``least`` points are left out.
+    """
     rows = buckets.select("bucket", "key").join(labels.select(F.col("v").alias("key"), "root"), "key", "left").select(
         "bucket", "key", F.coalesce("root", "key").alias("comp"))
     mixed = base.store(rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(
@@ -276,7 +328,7 @@ def tree_candidates(buckets: DataFrame, own: DataFrame, labels: DataFrame, perce
     placed = base.store(sized.select("bucket", "key", "comp", sides.alias("at")).select("bucket", "key", "comp", "at.*"), "placed")
     groups = placed.groupBy("bucket", "band").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("side").alias("least"), F.count("*").alias("size"))
-    groups = groups.where("low < high and least = 0").select("bucket", "band", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    groups = groups.where((F.col("size") >= least) & F.expr("low < high and least = 0")).select("bucket", "band", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     half = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
     wide = placed.join(groups, ["bucket", "band"]).withColumn("own", half).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -339,7 +391,9 @@ def jaccard_join(
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = merged_labels(None, confirmed(within_bound(stars, own, percent), keyed, shingle, percent))
     for step in range(nearest_rounds + 1):
-        pairs = base.store(tree_candidates(buckets, own, labels, percent, step < nearest_rounds, block), "candidates")
+        # small groups are compared in full by the first step, so only larger ones can be left after it
+        pairs = base.store(tree_candidates(
+            buckets, own, labels, percent, step < nearest_rounds, block, 2 if step == 0 else LEAF + 1), "candidates")
         if pairs.isEmpty():
             break
         labels = merged_labels(labels, confirmed(pairs, keyed, shingle, percent))

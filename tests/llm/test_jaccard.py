@@ -82,7 +82,7 @@ def test_prefixes_of_linked_sets_meet():
         both = len(np.intersect1d(first, second))
         if not len(second) or 100 * both < 80 * (len(first) + len(second) - both):
             continue
-        doc, found = jaccard.prefixes(np.r_[first, second], np.asarray([0, len(first), len(first) + len(second)]), hot, rank, 80)
+        doc, found, _ = jaccard.prefixes(np.r_[first, second], np.asarray([0, len(first), len(first) + len(second)]), hot, rank, 80)
         assert set(found[doc == 0]) & set(found[doc == 1])
 
 
