@@ -71,6 +71,17 @@ def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """:func:`store` in buckets of ``column``, as many as shuffles have parts: a join or grouping on it leaves the rows where
+    they are.  The files lie in the shared folder; the session's catalog only knows that they are bucketed."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(parts, column).write.format("parquet").bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(label)
+    return spark.table(label)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a stored table that no result reads any more."""
     spark = df.sparkSession

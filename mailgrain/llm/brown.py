@@ -181,13 +181,21 @@ def token_blocks(docs: DataFrame, lexicon) -> DataFrame:
     return docs.select("doc_id", "text", "train").mapInArrow(run, STREAM)
 
 
-def with_rare(blocks: DataFrame, table: DataFrame | None) -> DataFrame:
+class TextBlocks:
+    """Stored blocks, and the places of their rare words: (word, block, j) by word, so neither moves for a join."""
+
+    def __init__(self, blocks: DataFrame):
+        self.rows = base.store_by(blocks, "blocks", "block")
+        self.places = base.store_by(self.rows.select("block", F.posexplode("rare").alias("j", "word")), "rare-places", "word")
+
+
+def with_rare(blocks: TextBlocks, table: DataFrame | None) -> DataFrame:
     """Blocks with ``found``: number, count and class (null if by ending) of those rare words that ``table`` (word, n, cls) has."""
     if table is None:
-        return blocks.withColumn("found", F.lit(None).cast("array<struct<j:int,n:bigint,cls:smallint>>"))
-    pairs = blocks.select("block", F.posexplode("rare").alias("j", "word"))
-    found = pairs.join(table.select("word", "n", "cls"), "word").groupBy("block").agg(F.collect_list(F.struct("j", "n", "cls")).alias("found"))
-    return blocks.join(found, "block", "left")
+        return blocks.rows.withColumn("found", F.lit(None).cast("array<struct<j:int,n:bigint,cls:smallint>>"))
+    found = blocks.places.join(table.select("word", "n", "cls").hint("merge"), "word").groupBy("block").agg(
+        F.collect_list(F.struct("j", "n", "cls")).alias("found"))
+    return blocks.rows.join(found.hint("merge"), "block", "left")
 
 
 class Block:
@@ -466,9 +474,9 @@ def _word_moves(state, classes: int):
     return run
 
 
-def exchange_words(blocks: DataFrame, lexicon: Lexicon, shared, item_class: np.ndarray, matrix: np.ndarray, rounds: int):
+def exchange_words(blocks: TextBlocks, lexicon: Lexicon, shared, item_class: np.ndarray, matrix: np.ndarray, rounds: int):
     """Move the words without an item of their own: (class of each lexicon word, (word, cls) of rare words or None, matrix)."""
-    spark, classes = blocks.sparkSession, len(matrix)
+    spark, classes = blocks.rows.sparkSession, len(matrix)
     ending_class = item_class[1: 1 + ENDINGS]
     known_class = item_class[lexicon.first_items()]
     halves: list[DataFrame | None] = [None, None]
@@ -545,8 +553,8 @@ def train(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, cluster
     known = counts.where(often).select("word", "n", "ending").toArrow()
     lexicon = Lexicon(*(np.asarray(known[c]).astype(np.int64) for c in ("word", "n")), total, cluster_share, np.asarray(known["ending"]).astype(np.int64))
     shared = spark.sparkContext.broadcast(lexicon)
-    blocks = base.store(token_blocks(docs, shared), "blocks")
-    bigrams = base.store(item_bigrams(blocks, shared), "bigrams")
+    blocks = TextBlocks(token_blocks(docs, shared))
+    bigrams = base.store(item_bigrams(blocks.rows, shared), "bigrams")
     item_class, matrix = exchange_classes(bigrams, lexicon.items, classes, rounds)
     base.drop_stored(bigrams)
     base.free_shuffles(spark)
@@ -590,10 +598,10 @@ def _scorer(shared):
     return run
 
 
-def score_texts(blocks: DataFrame, model: ClassModel, rare: DataFrame) -> DataFrame:
+def score_texts(blocks: TextBlocks, model: ClassModel, rare: DataFrame) -> DataFrame:
     """Per text of ``blocks``: n_tokens, n_known, base_score and score; a null text is empty and has its end only."""
     return with_rare(blocks, rare).mapInArrow(
-        _scorer(blocks.sparkSession.sparkContext.broadcast(model)),
+        _scorer(blocks.rows.sparkSession.sparkContext.broadcast(model)),
         "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
