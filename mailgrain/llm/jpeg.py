@@ -557,7 +557,8 @@ def _decode_ac_refine(coefficients, lanes, bits, lut, first, final, low):
     k = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count) + start[record]
     hit = old[row[record], k]
     record, k = record[hit], k[hit]
-    rank = np.arange(len(record)) - np.searchsorted(record, record)
+    opens = np.flatnonzero(np.r_[True, record[1:] != record[:-1]][: len(record)])
+    rank = np.arange(len(record)) - np.repeat(opens, np.diff(np.r_[opens, len(record)]))
     bit = (bits.at(at[record] + rank) >> np.uint64(63)).astype(np.int16)
     target = own[row[record]]
     coefficients[target, k] += np.where(coefficients[target, k] > 0, bit, -bit) << low
@@ -599,18 +600,21 @@ def decode_coefficients(images: list[Image]) -> list[list[np.ndarray]]:
                 total += columns * rows
             starts.append(own)
         coefficients = np.zeros((total, 64), np.int16)
+        ordered: dict[tuple, list[np.ndarray]] = {}  # blocks in scan order, the same for all scans of these components
         for number, (chosen, first, final, high, low, tables, restart) in enumerate(scans):
             per_unit, pattern = 1, [0]
             if len(chosen) > 1:
                 pattern = [i for i, c in enumerate(chosen) for _ in range(sampling[c][0] * sampling[c][1])]
                 per_unit = len(pattern)
-            blocks = []
-            for i, planes, own in zip(members, shapes, starts):
-                if len(chosen) > 1:
-                    blocks.append(_interleaved(images[i], planes, own, chosen))
-                else:
-                    columns, _, wide, tall = planes[chosen[0]]
-                    blocks.append((own[chosen[0]] + np.arange(tall)[:, None] * columns + np.arange(wide)).ravel())
+            if chosen not in ordered:
+                ordered[chosen] = blocks = []
+                for i, planes, own in zip(members, shapes, starts):
+                    if len(chosen) > 1:
+                        blocks.append(_interleaved(images[i], planes, own, chosen))
+                    else:
+                        columns, _, wide, tall = planes[chosen[0]]
+                        blocks.append((own[chosen[0]] + np.arange(tall)[:, None] * columns + np.arange(wide)).ravel())
+            blocks = ordered[chosen]
             lanes = _Lanes(blocks, per_unit, restart)
             pieces = []
             for i, count in zip(members, lanes.per_image):
@@ -644,20 +648,67 @@ def pixels(blocks: np.ndarray, quantisation: np.ndarray) -> np.ndarray:
     return np.clip(samples, 0, 255).astype(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1)
 
 
+#: blocks transformed at a time; their numbers stay in the processor's cache
+TRANSFORM_BLOCKS = 256
+
+
+def sample_blocks(images: list[Image], components: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """:func:`pixels` of every component of all images; blocks with one quantisation table are transformed together."""
+    tables: dict[bytes, list[tuple[int, int]]] = {}
+    for i, image in enumerate(images):
+        for c, part in enumerate(image.components):
+            tables.setdefault(image.quantisation[part[3]].tobytes(), []).append((i, c))
+    out: list[list] = [[None] * len(image.components) for image in images]
+    for members in tables.values():
+        i, c = members[0]
+        quantisation = images[i].quantisation[images[i].components[c][3]]
+        blocks = np.concatenate([components[i][c] for i, c in members])
+        samples = np.empty((len(blocks), 8, 8), np.uint8)
+        for at in range(0, len(blocks), TRANSFORM_BLOCKS):
+            samples[at: at + TRANSFORM_BLOCKS] = pixels(blocks[at: at + TRANSFORM_BLOCKS], quantisation)
+        at = 0
+        for i, c in members:
+            out[i][c] = samples[at: at + len(components[i][c])]
+            at += len(components[i][c])
+    return out
+
+
+def rgb_tensors(images: list[Image], components: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Full-resolution (height, width, 3) tensors; chroma is repeated to the luma grid, grey images give equal channels."""
+    return [_rgb(image, own) for image, own in zip(images, sample_blocks(images, components))]
+
+
 def rgb_tensor(image: Image, components: list[np.ndarray]) -> np.ndarray:
-    """Full-resolution (height, width, 3) tensor; chroma is repeated to the luma grid, grey images give equal channels."""
+    return rgb_tensors([image], [components])[0]
+
+
+def _rgb(image: Image, samples: list[np.ndarray]) -> np.ndarray:
     across, down = max(c[1] for c in image.components), max(c[2] for c in image.components)
     planes = []
-    for (columns, rows, _, _), (_, h, v, q), blocks in zip(_planes(image), image.components, components):
-        samples = pixels(blocks, image.quantisation[q]).reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
-        samples = samples.repeat(down // v, axis=0).repeat(across // h, axis=1)
-        planes.append(samples[: image.height, : image.width].astype(np.int64))
+    for (columns, rows, _, _), (_, h, v, _), own in zip(_planes(image), image.components, samples):
+        plane = own.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8).astype(np.int32)
+        planes.append((plane, down // v, across // h))
+
+    def whole(plane: np.ndarray, tall: int, wide: int) -> np.ndarray:
+        if tall > 1:
+            plane = plane.repeat(tall, axis=0)
+        if wide > 1:
+            plane = plane.repeat(wide, axis=1)
+        return plane[: image.height, : image.width]
+
+    out = np.empty((image.height, image.width, 3), np.uint8)
     if len(planes) == 1:
-        return np.stack([planes[0]] * 3, axis=2).astype(np.uint8)
-    y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-    half = 1 << 15
-    channels = [y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb]  # fixed values of the colour transform, by 2**16
-    return np.clip(np.stack([(c + half) >> 16 for c in channels], axis=2), 0, 255).astype(np.uint8)
+        out[:] = whole(*planes[0])[:, :, None]
+        return out
+    # fixed values of the colour transform, by 2**16; sums fit 32 bits.  Chroma terms are computed before they are repeated
+    y = (whole(*planes[0]) << 16) + (1 << 15)
+    (cb, *fit_b), (cr, *fit_r) = planes[1], planes[2]
+    cb, cr = cb - 128, cr - 128
+    red, blue = whole(91881 * cr, *fit_r), whole(116130 * cb, *fit_b)
+    green = whole(22554 * cb + 46802 * cr, *fit_b) if fit_b == fit_r else whole(22554 * cb, *fit_b) + whole(46802 * cr, *fit_r)
+    for channel, value in enumerate((y + red, y - green, y + blue)):
+        out[:, :, channel] = np.clip(value >> 16, 0, 255)
+    return out
 
 
 def payload_of(components: list[np.ndarray], size: int) -> bytes:

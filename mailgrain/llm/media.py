@@ -45,10 +45,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = rows.column("media").to_pylist()
             images = [jpeg.parse(m) for m in media]
             out = []
-            for blob, image, components in zip(media, images, jpeg.decode_coefficients(images)):
+            found = jpeg.decode_coefficients(images)
+            for blob, image, components, tensor in zip(media, images, found, jpeg.rgb_tensors(images, found)):
                 (size,) = struct.unpack(">Q", image.note)
                 payload = jpeg.payload_of(components, max(UNIT, -(-size // UNIT) * UNIT))
-                tensor = jpeg.rgb_tensor(image, components)
                 sums = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64)
                 feature = f"{image.width}x{image.height}:{sums[0]},{sums[1]},{sums[2]}:{zlib.crc32(tensor):08x}"
                 out.append((size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob),
