@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailgrain.constants import AGENT_CLOSE, AGENT_OPEN, TEXT_SUBMIT, USER_CLOSE, USER_OPEN, VOICE_FINAL
-
-BUCKET_MS = 3_600_000
+from mailgrain.session import cut_lineage, loose
 
 
 def latest_seq(log: DataFrame) -> DataFrame:
@@ -15,28 +14,27 @@ def latest_seq(log: DataFrame) -> DataFrame:
     return log.groupBy("thread_id").agg(F.max("seq").alias("latest_seq"))
 
 
-def append_events(log: DataFrame, new: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def append_events(log: DataFrame, new: DataFrame) -> DataFrame:
     """Number new events on from each thread's last seq, in (ts, event_id) order.
 
-    A thread's events are numbered per time bucket, plus the events of its
-    earlier buckets; so the ranking window holds one bucket of one thread, not
-    the whole thread.  The numbering depends on ``ts`` and ``event_id`` only,
-    which makes a replayed batch give the same numbers.
+    Events are range-partitioned by (thread, ts, id), so a thread, or an hour of one, fills as many tasks as its size
+    asks for.  Positions inside the ranges are fixed by a reliable checkpoint; what a thread has in earlier ranges is
+    carried over from one row per thread and range.  The numbering depends on ``ts`` and ``event_id`` only, which
+    makes a replayed batch give the same numbers.  Events without a thread are left out.
     """
-    dated = new.withColumn("_bucket", F.floor(F.col("ts") / bucket_ms))
-    sizes = dated.groupBy("thread_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy("thread_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    offsets = offsets.join(latest_seq(log), "thread_id", "left").select(
-        "thread_id", "_bucket", (F.col("_before") + F.coalesce("latest_seq", F.lit(0))).alias("_offset")
-    )
-    within = Window.partitionBy("thread_id", "_bucket").orderBy("ts", "event_id")
-    return (
-        dated.withColumn("_n", F.row_number().over(within))
-        .join(offsets, ["thread_id", "_bucket"])
-        .withColumn("seq", F.col("_offset") + F.col("_n"))
-        .select(*new.columns, "seq")
-    )
+    order = ["thread_id", "ts", "event_id"]
+    rows = new.filter(F.col("thread_id").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # range in the upper 31 bits, position in the lower 33
+    rows = cut_lineage(rows.withColumn("_slot", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftrightunsigned("_slot", 33))
+    pieces = rows.groupBy("thread_id", "_range").agg(F.count(F.lit(1)).alias("_size"), F.min("_slot").alias("_first"))
+    # a thread has one piece for each range at most
+    earlier = Window.partitionBy("thread_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    pieces = pieces.join(latest_seq(log), "thread_id", "left").select(
+        "thread_id", "_range", (F.col("_before") + F.coalesce("latest_seq", F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    numbered = rows.join(loose(pieces), ["thread_id", "_range"])
+    return numbered.select(*new.columns, (F.col("_offset") + F.col("_slot")).alias("seq"))
 
 
 def events_after(log: DataFrame, thread_id: str, after: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
