@@ -10,7 +10,7 @@ from mailgrain import constants as K
 from mailgrain.functions import scoring as S
 from mailgrain.functions import vectors as V
 from mailgrain.functions.normalize import lowered
-from mailgrain.operators import actions, clusters, contacts, features, priority, projects, rules, threads
+from mailgrain.operators import actions, clusters, contacts, density, features, priority, projects, rules, threads
 from mailgrain.operators import vectors as vec
 
 OWN = [YOU, "erin@corp.example"]
@@ -792,6 +792,27 @@ def j5_invariants(spark, d):
     return _cluster_checks(scaled, clusters.cluster(matrix, "temporal", restarts=2), 0.05)
 
 
+@query("J7_density_clusters")
+def j7_density(spark, d):
+    """Density clusters with noise; compared with the definition on planted groups in the tests."""
+    rows = driver_table(spark, d, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
+    return present(density.density_clusters(rows, min_cluster_size=20, min_samples=5))
+
+
+@query(
+    "J7_density_invariants",
+    "SELECT vec_id AS email_id, true AS large_enough, true AS in_range, true AS noise_is_zero FROM embeddings",
+)
+def j7_density_invariants(spark, d):
+    """Every cluster has the least size, noise has no degree and members have one above 0."""
+    rows = driver_table(spark, d, "embeddings").select(F.col("vec_id").alias("email_id"), "embedding")
+    found = density.density_clusters(rows, min_cluster_size=20, min_samples=5)
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(sizes, "cluster").select(
+        "email_id", ((F.col("cluster") == -1) | (F.col("n") >= 20)).alias("large_enough"), F.col("prob").between(0, 1).alias("in_range"),
+        ((F.col("cluster") == -1) == (F.col("prob") == 0)).alias("noise_is_zero"))
+
+
 @query("J7_cluster_count", "SELECT count(DISTINCT content_cluster_id) AS n_clusters FROM assignments WHERE content_cluster_id <> -1", ("assignments",))
 def j7_count(spark, d):
     a = table(spark, d, "assignments").filter("content_cluster_id IS NOT NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailgrain.constants import (
     ACTION_CODES, DIMENSIONS, MAX_CLUSTERS, NO_RESPONSE_HOURS, SERVICE_TYPE_CODES, TIMING_CODES,
 )
-from mailgrain.operators import lloyd
+from mailgrain.operators import density, lloyd
 from mailgrain.session import cut_lineage
 
 
@@ -177,19 +177,23 @@ def cluster_assignments(
 
 
 def assign_clusters(
-    messages: DataFrame, features: DataFrame, vectors: DataFrame, seed: int = 42, restarts: int = 10
+    messages: DataFrame, features: DataFrame, vectors: DataFrame, seed: int = 42, restarts: int = 10, content: str = "kmeans",
 ) -> DataFrame:
-    """J1-J8 end to end."""
+    """J1-J8 end to end; ``content`` is ``"kmeans"`` or ``"density"``, which leaves noise in cluster -1."""
+    if content not in ("kmeans", "density"):
+        raise ValueError(f"unknown content clustering {content!r}")
     found = cluster_all({
         "people": people_matrix(features, messages), "behavior": behavior_matrix(messages),
         "service": service_matrix(features, messages), "temporal": temporal_matrix(features, messages),
     }, seed, restarts)
     people = membership(_one(found, "people"))
-    if not vectors.isEmpty():
-        content = membership(cluster_content(vectors, seed, restarts))
+    if vectors.isEmpty():
+        topics = people.select("email_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("prob"))
+    elif content == "density":
+        topics = density.density_clusters(vectors, seed=seed)
     else:
-        content = people.select("email_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("prob"))
-    return cluster_assignments(people, content, _one(found, "behavior"), _one(found, "service"), _one(found, "temporal"))
+        topics = membership(cluster_content(vectors, seed, restarts))
+    return cluster_assignments(people, topics, _one(found, "behavior"), _one(found, "service"), _one(found, "temporal"))
 
 
 METADATA_DEFAULTS = {

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: a folder of this ending holds a table that is about to replace another
+STAGED = ".staged"
+
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
     """One row per key, the first in ``order_by``.
@@ -84,10 +87,37 @@ def upsert_counts(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     )
 
 
+def _filesystem(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a refresh that stopped between its two last steps; whether there is a table at ``path`` then."""
+    files, folder = _filesystem(spark, path)
+    staged = folder.suffix(STAGED)
+    done = spark._jvm.org.apache.hadoop.fs.Path(staged, "_SUCCESS")
+    if not files.exists(folder) and files.exists(done):
+        files.rename(staged, folder)
+    return files.exists(folder)
+
+
 def refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Rewrite a derived table and return it read back, lineage cut."""
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Rewrite a derived table and return it read back, lineage cut.
+
+    The new table is written beside the old one and takes its place when it is whole, so a stop at any point leaves the
+    old table or the new one; :func:`recover` finds the new one where the old one is gone already.  ``df`` may read
+    the table it replaces.
+    """
+    spark = df.sparkSession
+    recover(spark, path)
+    files, folder = _filesystem(spark, path)
+    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path + STAGED)
+    files.delete(folder, True)
+    if not files.rename(folder.suffix(STAGED), folder):
+        raise OSError(f"cannot move {path}{STAGED} to {path}")
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def archive_profile(messages: DataFrame) -> DataFrame:

@@ -48,6 +48,7 @@ class MailboxRun:
     seed: int = 42
     restarts: int = 10
     user_id: str | None = None
+    content_clusters: str = "kmeans"
     results: dict[str, DataFrame] = field(default_factory=dict)
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
@@ -63,6 +64,7 @@ class MailboxRun:
 
         def step(name: str, build) -> DataFrame:
             if STEPS.index(name) < first:
+                tables.recover(spark, f"{self.root}/{name}")
                 self.results[name] = spark.read.parquet(f"{self.root}/{name}")
                 return self.results[name]
             return self._keep(name, build())
@@ -79,7 +81,7 @@ class MailboxRun:
         cls = step("classes", lambda: rules.classify_messages(mail, feature))
         people = step("contacts", lambda: contacts.build_contacts(mail, you))
         placed = step(
-            "clusters", lambda: clusters.assign_clusters(mail, feature, vector, self.seed, self.restarts)
+            "clusters", lambda: clusters.assign_clusters(mail, feature, vector, self.seed, self.restarts, self.content_clusters)
         )
         meta = step(
             "cluster_metadata", lambda: clusters.cluster_metadata(clusters.cluster_rollup(placed, mail, feature))
@@ -102,8 +104,7 @@ class MailboxRun:
 
     def _stored(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         """A table of an earlier run that this one merges into, empty without one."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if tables.recover(spark, f"{self.root}/{name}"):
             return spark.read.parquet(f"{self.root}/{name}")
         return spark.createDataFrame([], schema)
 

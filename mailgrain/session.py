@@ -45,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="mailgrain-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
