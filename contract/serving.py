@@ -8,7 +8,7 @@ from contract.adapter import NOW_S, YOU, driver_table, now, present, table
 from contract.analysis import FEATURE_TYPES, feature_rows, sender_sql
 from contract.registry import query
 from mailgrain import constants as K
-from mailgrain.operators import entities, eventlog, labeling, serving, threads
+from mailgrain.operators import entities, eventlog, labeling, serving, textindex, threads
 from mailgrain.operators.features import message_features
 from mailgrain.plans.mailbox import MailboxRun, refresh_after_batch
 from mailgrain.schemas import MESSAGE
@@ -510,6 +510,19 @@ def o11(spark, d):
     return serving.search_messages(table(spark, d, "labelled"), table(spark, d, "priority"), "Project").select("id", "priority_rank")
 
 
+@query(
+    "O11_indexed_search",
+    "SELECT id, priority_rank FROM (SELECT l.id, priority_rank FROM labelled l LEFT JOIN priority p ON p.email_id = l.id WHERE NOT is_sent AND "
+    "(contains(lower(subject), 'project') OR contains(lower(body_text), 'project')))",
+    ("labelled", "priority"),
+)
+def o11_indexed(spark, d):
+    """All hits of the scan, from posting lists."""
+    path = shared_folder(spark, "text-index")
+    textindex.build_text_index(table(spark, d, "labelled"), path)
+    return textindex.search_index(spark, path, table(spark, d, "priority"), "Project", None).select("id", "priority_rank")
+
+
 # ------------------------------------------------------------------ event log
 
 
