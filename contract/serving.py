@@ -821,6 +821,27 @@ def q8(spark, d):
     return present(ingest.phase_progress(batches, 500).select("phase_order", "batch_no", "emails_processed", "progress"))
 
 
+@query(
+    "Q8_backfill_progress",
+    """
+    SELECT phase_order, CAST(row_number() OVER w - 1 AS BIGINT) AS batch_no, CAST(sum(n) OVER w AS BIGINT) AS emails_processed,
+      CAST(sum(received) OVER w AS BIGINT) AS features_computed, round(least(sum(n) OVER w / sum(n) OVER (), 0.99), 6) AS progress
+    FROM (SELECT phase_order, place // size AS batch, count(*) AS n, count(*) FILTER (NOT is_sent) AS received
+      FROM (SELECT *, row_number() OVER (PARTITION BY phase_order ORDER BY date_s DESC, id) - 1 AS place FROM phased) GROUP BY ALL)
+    WINDOW w AS (ORDER BY phase_order, batch)
+    """,
+    ("messages",),
+    f"phased AS (SELECT id, date_s, is_sent, CASE WHEN age < 7 THEN 0 WHEN age < 30 THEN 1 ELSE 2 END AS phase_order, CASE WHEN age < 7 THEN 100 WHEN age < 30 THEN 200 ELSE 500 END AS size "
+    f"FROM (SELECT *, ({NOW_S} - date_s) / 86400.0 AS age FROM messages) WHERE age < 90)",
+)
+def q8_backfill(spark, d):
+    """The back-fill of the messages, phase by phase, and its progress."""
+    m = table(spark, d, "messages")
+    mail = m.select(*[F.col(f.name) if f.name in m.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGE])
+    out = ingest.backfill(mail, ingest.MailTables(spark, shared_folder(spark, "backfill")), now())
+    return present(out.select("phase_order", "batch_no", "emails_processed", "features_computed", "progress"))
+
+
 SYNC_LOG = (
     "sync_log AS (SELECT user_id, event_id AS moment, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'complete' ELSE 'fail' END AS event, event_id % 50 AS emails_synced, "
     "CAST(event_id AS VARCHAR) AS history_id FROM events WHERE user_id % 5 <> 0 AND event_type IN ('click', 'view', 'error'))"

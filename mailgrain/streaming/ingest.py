@@ -10,10 +10,12 @@ from mailgrain.constants import BACKFILL_PHASES
 from mailgrain.functions.clean import prepare_for_embedding
 from mailgrain.operators import labeling
 from mailgrain.operators.features import message_features
+from mailgrain.operators.priority import rank_globally
 from mailgrain.operators.rules import classify_messages
 from mailgrain.operators.tables import insert_new
 from mailgrain.operators.vectors import Encoder, embed
 from mailgrain.schemas import MESSAGE
+from mailgrain.session import cut_lineage
 from mailgrain.streaming.senders import SenderState
 from mailgrain.streaming.store import BatchTables
 
@@ -39,6 +41,8 @@ LABELS = (
 CONTACTS = "email string, is_important_sender boolean"
 RANKS = "email_id bigint, priority_score double, priority_rank bigint"
 COMPACT_EVERY = 100
+PROGRESS = ["emails_fetched", "emails_processed", "features_computed", "embeddings_generated", "llm_classified"]
+PROGRESS_ROW = "phase_order int, batch_no bigint, " + ", ".join(f"{c} bigint" for c in PROGRESS)
 
 
 class MailTables(BatchTables):
@@ -63,10 +67,14 @@ def new_messages(batch: DataFrame, tables: MailTables) -> DataFrame:
 
 
 def ingest_batch(
-    batch: DataFrame, tables: MailTables, encoder: Encoder | None = None, scorer: labeling.Scorer | None = None
-) -> None:
+    batch: DataFrame, tables: MailTables, encoder: Encoder | None = None, scorer: labeling.Scorer | None = None,
+    label_limit: int | None = None, phase_order: int = 0,
+) -> dict[str, int]:
     """Q6: store the new messages of one batch and everything derived from them.
 
+    Returns the counts that Q8 adds up, and keeps them as a row of the table ``progress``; they are taken while the
+    tables are written.  At most ``label_limit`` messages are labelled.
+
     The batch reads itself, the stored links of the ids it names, and the changes of the senders it has mail from;
     no stored message is read.  It counts once all its tables are written: a batch that fails half-way is
     written again under the same number, and one that comes again adds nothing.
@@ -80,13 +88,21 @@ def ingest_batch(
     latest = F.timestamp_micros(F.lit(state.reference(number)).cast("bigint"))
     features = tables.write("features", number, message_features(mail, state.stats(who, number), latest))
     classes = tables.write("classes", number, classify_messages(mail, features))
+    counts = {
+        "emails_fetched": batch.count(), "emails_processed": tables.written["messages"],
+        "features_computed": tables.written["features"], "embeddings_generated": 0, "llm_classified": 0}
     if encoder is not None:
         tables.write("vectors", number, embed(prepare_for_embedding(embedding_inputs(mail, features)), encoder))
-    if scorer is not None:
-        tables.write("labels", number, _labelled(mail, features, classes, tables, scorer, tables.spark.createDataFrame([], LABELS)))
+        counts["embeddings_generated"] = tables.written["vectors"]
+    if scorer is not None and label_limit != 0:
+        none = tables.spark.createDataFrame([], LABELS)
+        tables.write("labels", number, _labelled(mail, features, classes, tables, scorer, none, label_limit))
+        counts["llm_classified"] = tables.written["labels"]
+    tables.write("progress", number, tables.spark.createDataFrame([(phase_order, number, *counts.values())], PROGRESS_ROW))
     tables.commit(number)
     if number % COMPACT_EVERY == COMPACT_EVERY - 1:
         state.compact()
+    return counts
 
 
 def _labelled(
@@ -167,9 +183,6 @@ def phase_plan(phased: DataFrame) -> DataFrame:
     )
 
 
-PROGRESS = ["emails_fetched", "emails_processed", "features_computed", "embeddings_generated", "llm_classified"]
-
-
 def phase_progress(batches: DataFrame, max_messages: int, block: int = 1024) -> DataFrame:
     """Q8: running counters over batch results ``phase_order, batch_no, <PROGRESS>``.
 
@@ -189,3 +202,36 @@ def phase_progress(batches: DataFrame, max_messages: int, block: int = 1024) ->
         "phase_order", "batch_no", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in PROGRESS]
     )
     return totals.withColumn("progress", F.least(F.col("emails_processed") / max_messages, F.lit(0.99)))
+
+
+def backfill(
+    messages: DataFrame, tables: MailTables, now, encoder: Encoder | None = None, scorer: labeling.Scorer | None = None,
+    max_messages: int | None = None, phases=BACKFILL_PHASES,
+) -> DataFrame:
+    """Q7: ingest past mail phase by phase, newest first, and return Q8's progress of every batch.
+
+    Each phase has its batch size, runs vectors and labels only if it says so, and labels at most ``label_limit``
+    messages in all.  ``max_messages`` bounds the messages of all phases together.  Mail of no phase is left out.
+    A back-fill that is started again finds what is stored already and goes on with the rest.
+    """
+    phased = phase_partition(messages, now, phases).filter(F.col("phase").isNotNull())
+    ranked = rank_globally(phased, [F.asc("phase_order"), F.desc("date_parsed"), F.asc("id")], "_place")
+    if max_messages is not None:
+        ranked = ranked.filter(F.col("_place") <= max_messages)
+    ranked = cut_lineage(ranked)
+    # one row for each phase
+    starts = {r["phase_order"]: (r["first"], r["n"]) for r in ranked.groupBy("phase_order").agg(
+        F.min("_place").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    done = tables.read("progress", PROGRESS_ROW).agg(F.max("batch_no")).first()[0]
+    for order, (_, _, _, batch_size, run_vectors, run_labels, label_limit) in enumerate(phases):
+        first, total = starts.get(order, (0, 0))
+        left = label_limit
+        for at in range(first, first + total, batch_size):
+            part = ranked.filter((F.col("_place") >= at) & (F.col("_place") < min(at + batch_size, first + total)))
+            counts = ingest_batch(
+                part.select(*MESSAGE.fieldNames()), tables, encoder if run_vectors else None, scorer if run_labels else None, left, order)
+            if left is not None:
+                left = max(0, left - counts["llm_classified"])
+    rows = tables.read("progress", PROGRESS_ROW)
+    rows = rows.filter(F.col("batch_no") > done) if done is not None else rows
+    return phase_progress(rows, max_messages if max_messages is not None else max(1, sum(n for _, n in starts.values())))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 256
@@ -26,6 +26,8 @@ class BatchTables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        #: rows of the newest write to each table
+        self.written: dict[str, int] = {}
 
     # ------------------------------------------------------------ folders
 
@@ -56,9 +58,14 @@ class BatchTables:
         self._mark(f"_commits/batch={batch}")
 
     def write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
-        """Write the rows of a batch, over what a failed run of the batch left there, and read them back."""
+        """Write the rows of a batch, over what a failed run of the batch left there, and read them back.
+
+        The rows are counted as they are written (:attr:`written`).
+        """
         path = f"{self.root}/{name}/batch={batch}"
-        df.write.mode("overwrite").parquet(path)
+        counted = Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        self.written[name] = counted.get["rows"]
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _base(self, name: str, upto: int) -> int:

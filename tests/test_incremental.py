@@ -129,3 +129,25 @@ def test_catch_up(spark, tmp_path):
     ingest.catch_up(tables, encoder=lambda texts: [[float(len(t))] for t in texts])
     ingest.catch_up(tables, encoder=lambda texts: [[float(len(t))] for t in texts])
     assert tables.read("vectors", ingest.VECTORS).count() == 5
+
+
+def test_backfill_runs_the_phases(spark, tmp_path):
+    now = START + timedelta(days=100)
+    ages = [1, 2, 3, 10, 11, 12, 13, 40, 50, 95, None]
+    rows = [message(i, 0, date_parsed=None if a is None else now - timedelta(days=a), body_text="Could you please look at this long enough text about it ?")
+            for i, a in enumerate(ages)]
+    phases = [("quick", 0, 7, 2, True, True, 1), ("standard", 7, 30, 3, True, False, None), ("deep", 30, 90, 5, False, False, None)]
+    tables = ingest.MailTables(spark, str(tmp_path / "tables"))
+
+    def scorer(prompts):
+        return [{"response": '{"action_type": "task", "urgency": "today"}'} for _ in prompts]
+
+    def encoder(texts):
+        return [[float(len(t))] for t in texts]
+
+    out = ingest.backfill(messages(spark, *rows), tables, now, encoder, scorer, phases=phases)
+    got = [tuple(r[c] for c in ("phase_order", "emails_fetched", "emails_processed", "features_computed", "embeddings_generated", "llm_classified"))
+           for r in out.orderBy("batch_no").collect()]
+    assert got == [(0, 2, 2, 2, 2, 1), (0, 3, 3, 3, 3, 1), (1, 6, 6, 6, 6, 1), (1, 7, 7, 7, 7, 1), (2, 9, 9, 9, 7, 1)]
+    assert [round(r["progress"], 4) for r in out.orderBy("batch_no").collect()] == [0.2222, 0.3333, 0.6667, 0.7778, 0.99]
+    assert {r["id"] for r in tables.read("messages", MESSAGE).collect()} == set(range(9))
