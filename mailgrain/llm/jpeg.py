@@ -187,14 +187,14 @@ def _dc_first(values, component, segment, low):
 
 
 def _ac_first(values, segment, first, final, low):
-    band = values[:, first: final + 1].astype(np.int64)
+    band = values[:, first: final + 1]
     amount = np.abs(band) >> low
     b, k = np.nonzero(amount)
     before = np.full(len(b), -1)
     same = b[1:] == b[:-1]
     before[1:][same] = k[:-1][same]
     run = k - before - 1
-    a, positive = amount[b, k], band[b, k] > 0
+    a, positive = amount[b, k].astype(np.int64), band[b, k] > 0
     size = _SIZE[a]
     symbol = (run & 15) << 4 | size
     code = _AC[0][symbol] << size | np.where(positive, a, (1 << size) - 1 - a)
@@ -219,13 +219,13 @@ def _ac_first(values, segment, first, final, low):
 
 
 def _ac_refine(values, segment, first, final, low):
-    band = values[:, first: final + 1].astype(np.int64)
+    band = values[:, first: final + 1]  # counts within a band fit 16 bits too
     amount = np.abs(band) >> low
     zero, new, old = amount == 0, amount == 1, amount > 1
-    part = np.cumsum(new, axis=1) - new  # newly significant coefficients before
-    zeros = np.cumsum(zero, axis=1) - zero
-    at_new = np.where(new, zeros, 0)
-    base = np.maximum.accumulate(np.concatenate([np.zeros((len(band), 1), np.int64), at_new[:, :-1]], axis=1), axis=1)
+    part = np.cumsum(new, axis=1, dtype=np.int16) - new  # newly significant coefficients before
+    zeros = np.cumsum(zero, axis=1, dtype=np.int16) - zero
+    at_new = np.where(new, zeros, np.int16(0))
+    base = np.maximum.accumulate(np.concatenate([np.zeros((len(band), 1), np.int16), at_new[:, :-1]], axis=1), axis=1)
     since = zeros - base  # zeros since the last newly significant coefficient
     key_of = lambda b, s, q, kind, k: (((b * 64 + s) * 8 + q) * 2 + kind) * 64 + k
     b, k = np.nonzero(new)

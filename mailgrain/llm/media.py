@@ -68,24 +68,26 @@ def stored_features(media: DataFrame) -> DataFrame:
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in base.text_slices(batch, "media", DECODE_CHUNK):
-            keys, images, out = rows.column("key").to_pylist(), [], []
+            images, out = [], []
             for blob in rows.column("media").to_pylist():
                 try:
                     images.append(jpeg.parse(blob) if blob else None)
                 except (ValueError, IndexError, struct.error):
                     images.append(None)
             found = iter(jpeg.decode_coefficients([i for i in images if i]))
-            for key, image in zip(keys, images):
+            for image in images:
                 tensor = jpeg.rgb_tensor(image, next(found)) if image else None
-                out.append((key, image and image.height, image and image.width, None if tensor is None else tensor.tobytes()))
-            columns = list(zip(*out))
+                out.append((image and image.height, image and image.width, None if tensor is None else tensor.tobytes()))
+            height, width, rgb = zip(*out)
             yield base.batch_of(
-                key=pa.array(columns[0], pa.int64()), height=pa.array(columns[1], pa.int32()), width=pa.array(columns[2], pa.int32()),
-                rgb=pa.array(columns[3], pa.binary()))
+                key=rows.column("key"), height=pa.array(height, pa.int32()), width=pa.array(width, pa.int32()), rgb=pa.array(rgb, pa.binary()))
 
 
 def decode_column(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """(key, height, width, rgb) of a column of progressive JPEGs; null, empty or other bytes give null tensors."""
+    """(key, height, width, rgb) of a column of progressive JPEGs; null, empty or other bytes give null tensors.
+
+    The key may be of any type and need not be unique; other columns are left out.
+    """
     base.ship_code(media.sparkSession)
-    rows = media.select(F.col(key).cast("long").alias("key"), F.col(column).alias("media"))
-    return rows.mapInArrow(_tensors, "key long, height int, width int, rgb binary")
+    rows = media.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("media"))
+    return rows.mapInArrow(_tensors, base.schema_of(rows, ["key"], "height int, width int, rgb binary"))

@@ -156,6 +156,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     cold, hot = repeats.split_by_group(shared.where("kind = 1").select("g", "ctx", "key", "place"), group_limit)
     lead = F.expr(f"substring(piece, cast(shiftright(place, {repeats.FIELD}) & {repeats.MOST} as int) + 1, {gram})")
     pieces = base.store(repeats.with_pieces(docs, cold, _cut, window), "pieces")
+    base.free_shuffles(docs.sparkSession)  # the texts that moved for the pieces, before they move for the spans
     buckets = pieces.repartitionByRange(lead, "g").sortWithinPartitions(lead, "g", "key", "place")
     spans = whole.unionByName(buckets.mapInArrow(_sort_bucket(window), "key long, start long, end long"))
     if hot is not None:
