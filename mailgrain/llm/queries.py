@@ -106,7 +106,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_runs": op13_runs,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACED = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words_sql(pattern: str, lower: bool = True) -> str:
+    text = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')" if lower else "coalesce(text, '')"
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+def components_sql(size: int, kept: bool) -> str:
+    """Every pair of documents that share a shingle, and the transitive closure of the links."""
+    return f"""
+        WITH RECURSIVE texts AS (SELECT doc_id, {_words_sql(SPACED)} AS words FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - {size - 2}), lambda i: array_to_string(words[i:i + {size - 1}], ' ')) END) AS shingle
+            FROM texts),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT x, y FROM sides UNION SELECT r.x, s.y FROM reach r JOIN sides s ON r.y = s.x),
+        least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+        found AS (
+            SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id
+            FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON x = d.doc_id)
+        SELECT *{', doc_id = component_id AS kept' if kept else ''} FROM found"""
+
+
+CONTAMINATION_SQL = f"""
+    WITH texts AS (SELECT doc_id, {_words_sql(ALNUM)} AS words FROM documents),
+    items AS (SELECT item_id, {_words_sql(ALNUM)} AS words FROM benchmark),
+    grams AS (
+        SELECT DISTINCT item_id, least(13, len(words)) AS size, array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS gram
+        FROM items, unnest(range(1, greatest(len(words) - 11, 2))) r(i) WHERE len(words) > 0),
+    places AS (
+        SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS gram
+        FROM texts, (SELECT DISTINCT size FROM grams) g, unnest(range(1, len(words) - size + 2)) r(i)),
+    hits AS (SELECT doc_id, i, size, item_id FROM places JOIN grams USING (size, gram)),
+    covered AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS w FROM hits) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+PASSAGES_SQL = f"""
+    WITH texts AS (SELECT doc_id, {_words_sql(SPACED, lower=False)} AS words FROM documents),
+    places AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS gram FROM texts, unnest(range(1, len(words) - 48)) r(i)),
+    late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM places) WHERE first < doc_id),
+    gone AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(range(i, i + 50)) AS w FROM late)),
+    each AS (SELECT doc_id, w, words[w] AS word FROM texts, unnest(range(1, len(words) + 1)) r(w)),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w) AS text FROM each ANTI JOIN gone USING (doc_id, w) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)"""
 ORACLES: dict[str, str] = {
+    "op3_near_duplicates": components_sql(4, kept=True),
+    "op4_decontaminate": CONTAMINATION_SQL,
+    "op6_substrings": PASSAGES_SQL,
+    "op11_jaccard": components_sql(5, kept=False),
     "op12_search": rf"""
         WITH words AS (
             SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
