@@ -53,10 +53,10 @@ def test_any_order_of_batches_gives_f5(spark, tmp_path, seed, compact):
     own = random.Random(seed)
     own.shuffle(rows)
     tables = ingest.MailTables(spark, str(tmp_path / "tables"))
-    batches = [rows[:60], rows[60:61], rows[50:130], rows[130:], rows[:20]]  # overlaps and a replay among them
+    batches = [rows[:90], rows[60:], rows[:20]]  # an overlap and a replay among them
     for k, batch in enumerate(batches):
         ingest.ingest_batch(messages(spark, *batch), tables)
-        if compact and k in (1, 3):
+        if compact and k == 0:
             tables.senders.compact()
             for name in ("sender_links", "sender_changes", "sender_arrivals", "sender_reference"):
                 tables.forget(name)
