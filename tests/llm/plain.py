@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -81,6 +82,30 @@ def contamination(docs, items, window=13):
     return out
 
 
+def cut_contamination(docs, items, window=13, span_words=13, coverage=20):
+    grams = set()
+    for _, text in items:
+        words = ALNUM.findall(lower(text))
+        n = min(window, len(words))
+        grams |= {tuple(words[i: i + n]) for i in range(len(words) - n + 1 if n else 0)}
+    out = {}
+    for i, text in docs:
+        found = list(ALNUM.finditer(lower(text)))
+        words, hit = [m[0] for m in found], [False] * len(found)
+        for n in {len(g) for g in grams}:
+            for at in range(len(words) - n + 1):
+                if tuple(words[at: at + n]) in grams:
+                    hit[at: at + n] = [True] * n
+        kept, at, removed = "", 0, 0
+        for is_hit, own in itertools.groupby(range(len(words)), hit.__getitem__):
+            own = list(own)
+            if is_hit and (len(own) >= span_words or coverage * sum(hit) >= len(words)):
+                kept += text[at: found[own[0]].start()]
+                at, removed = found[own[-1]].end(), removed + len(own)
+        out[i] = (removed, text and kept + text[at:])
+    return out
+
+
 def passages(docs, window=50):
     words = {i: SPACED.findall(t or "") for i, t in docs}
     first, out = {}, {}

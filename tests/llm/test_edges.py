@@ -145,8 +145,8 @@ def test_decontamination(spark):
                    (53, "x"), (54, " ".join(long.split()[:12])), (55, " ".join(long.split()[3:17]) + " " + words(500, 10))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = plain.contamination(docs, [(i, t) for i, t in items if i is not None])
-    for most in (1 << 20, 100):
-        hits = decontaminate.with_verdict(decontaminate.benchmark_hits(frame(spark, docs), bench, max_item_bytes=most))
+    for sizes in ({}, {"shard_words": 20}, {"shard_words": 20, "pass_words": 30}):
+        hits = decontaminate.with_verdict(decontaminate.benchmark_hits(frame(spark, docs), bench, **sizes))
         got = rows(hits.select("doc_id", "n_words", "n_hit", F.size("items").alias("k"), "contaminated"), "doc_id", "n_words", "n_hit", "k", "contaminated")
         for i, (n, hit, k, _, bad) in want.items():
             if i != 52:  # the item without an id marks words and is not listed
@@ -154,9 +154,38 @@ def test_decontamination(spark):
         assert got[52] == (2, 2, 0, True)
     empty = decontaminate.benchmark_hits(frame(spark, DOCS), bench.where("false"))
     assert all(not r["hit_spans"] for r in empty.collect())
-    text = "keep this. Short item here! and that"
-    spans = decontaminate.benchmark_hits(frame(spark, [(1, text)]), bench).first()["hit_spans"]
-    assert decontaminate.remove_spans(text, spans) == "keep this. ! and that"
+
+
+@pytest.mark.parametrize("limits", [{}, {"span_words": 1}, {"span_words": 16, "coverage": 2}])
+def test_contamination_is_cut_out(spark, limits):
+    long, other = words(40, "item"), words(300, "long item")
+    items = [(1, long), (2, long), (3, "short item here"), (4, None), (5, ""), (6, other)]
+    docs = DOCS + [(50, "Says " + long.upper().replace("É", "é") + " end"), (51, "a Short, item. HERE b " + words(200, 9)), (52, long),
+                   (53, words(400, 21) + "\n" + " ".join(long.split()[3:17]) + ". é" + words(30, 22)), (53, "é " + other + " é"),
+                   (54, words(300, 23) + " " + " ".join(other.split()[100:180]) + " " + words(9000, 24)), (None, "x " + long)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = list(enumerate(t for _, t in docs))
+    for sizes in ({}, {"shard_words": 60, "pass_words": 120}):
+        found = decontaminate.remove_contamination(clash(frame(spark, docs)), bench, keep_rows=True, **limits, **sizes)
+        got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in found.collect()}
+        assert got == plain.cut_contamination(docs, items, **limits)
+    again = [(53, long), (53, long), (None, long), (None, None)]
+    got = decontaminate.remove_contamination(clash(frame(spark, again)), bench)
+    assert sorted((r["n_removed"], r["kept_text"] or "") for r in got.collect()) == [(0, ""), (40, ""), (40, ""), (40, "")]
+    assert decontaminate.remove_contamination(clash(frame(spark, [], 1)), bench).count() == 0
+    same = decontaminate.remove_contamination(frame(spark, docs), bench.where("false"))
+    assert rows(same, "doc_id", "kept_text", "n_removed") == {i: (t, 0) for i, t in docs}
+
+
+def test_flat_automaton_is_small(spark):
+    own = np.random.default_rng(11)
+    items = [(str(k), (own.zipf(1.3, 400) % 50_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in range(100)]
+    flat = decontaminate.FlatAutomaton.build(items, 13, 4)
+    assert flat.nbytes() <= 100 * 40_000
+    index = decontaminate.ItemIndex([flat], 13, 13, 4)
+    marks, found = np.zeros(400, bool), set()
+    index.scan(items[7][1], 0, marks, found)
+    assert marks.all() and "7" in found
 
 
 @given(st.lists(st.lists(st.integers(0, 2), max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 3), max_size=30))
@@ -170,6 +199,12 @@ def test_suffix_automaton_matches(sequences, stream):
     for i, symbol in enumerate(stream, 1):
         state, matched = automaton.step(state, matched, symbol)
         assert matched == max((n for n in range(i + 1) if n == 0 or tuple(stream[i - n: i]) in known), default=0)
+    items = [(None, np.asarray(own, np.uint64) + np.uint64(7)) for own in sequences if own]
+    if items:  # the flat form of the same automaton tells the same lengths
+        flat = decontaminate.FlatAutomaton.build(items, 3, 1)
+        lengths = [n for _, n in flat.walk(flat.numbers(np.asarray(stream, np.uint64) + np.uint64(7)))]
+        assert lengths == [
+            max(n for n in range(i + 1) if n == 0 or tuple(stream[i - n: i]) in known) for i in range(1, len(stream) + 1)]
 
 
 @given(st.lists(st.integers(0, 9), max_size=80), st.integers(1, 20))
