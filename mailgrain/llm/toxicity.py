@@ -1,13 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are mapped to a small alphabet: insult, threat, target, negation, reporting verb, other.  Small transducers
-rewrite that alphabet one after the other: negation turns an insult or threat within its reach into a negated one,
-reported speech into a reported one, and the last machine gathers what a clause holds.  Their composition is one table;
-a clause is run through it and ends in a kind, such as a direct insult at a target or a negated threat.
-
-Insults and threats are learned from labelled rows as whole words and word beginnings (forms of one stem), each with
-its log-odds as weight.  A document's features are the weights of its clauses by kind; a logistic model turns them
-into a score.  Isolated words never score: what counts is the kind of the clause they stand in.
+Words are mapped to a small alphabet: insult, threat, target, negation, reporting verb, other, and the end of a clause.
+Small transducers rewrite that alphabet one after the other: negation turns an insult or threat within its reach into a
+negated one, reported speech into a reported one, and the last machine gathers what a clause holds.  Their composition is
+one table; a sentence is run through it, and each clause ends in a kind, such as a direct insult at a target or a negated
+threat.  Commas, colons, brackets and quotation marks end a clause but not reported speech, which lasts to the end of the
+sentence: what is quoted after a reporting verb is reported.
+
+Insults are learned from labelled rows as whole words and word beginnings (forms of one stem), each with its log-odds as
+weight.  Threats are a list of verbs with a weight of their own, or the learned one if that is larger.  A document's
+features are the weights of its clauses, insults and threats apart, by kind; the weight of each kind is learned by a
+logistic model, which turns them into a score.  Isolated words never score: what counts is the kind of their clause.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from mailgrain.llm import base
 
 #: labelled rows that the lexicon and the logistic model are fitted on, those of the smallest hash of doc_id
 MAX_LABELLED = 50_000
-#: entries of the learned lexicon, by weight of evidence
-MAX_LEXICON = 5_000
 THRESHOLD = 0.7
 LEAST_EVIDENCE = 15.0
 LEAST_WEIGHT = 2.0
+#: weight of a verb of the list of threats: as much as the least of the learned words
+THREAT_WEIGHT = LEAST_WEIGHT
 STEMS = (4, 5, 6, 7)  # bytes of word beginnings
 
 # Word lists of our own, in the four languages of the corpus.
@@ -36,7 +39,7 @@ NEGATIONS = "not no never none nor neither isn't don't nicht kein keine nie niem
 REPORTS = "said says say told wrote writes claimed quoted sagte sagt schrieb behauptet dit disait écrit affirme dijo dice escribió".split()
 THREATS = "kill hurt destroy beat shoot burn attack töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE_END = range(7)
 FLAGS = ("insult", "threat", "target", "negated", "reported")
 
 # ---------------------------------------------------------------- transducers
@@ -49,15 +52,15 @@ def negation(reach: int = 3):
 
     def step(state, symbol):
         cls, _, reported = symbol
-        if cls == NEGATION:
-            return reach, symbol
+        if cls in (NEGATION, CLAUSE_END):
+            return reach if cls == NEGATION else 0, symbol
         return max(state - 1, 0), (cls, state > 0 and cls in (INSULT, THREAT), reported)
 
     return 0, step
 
 
 def reported_speech():
-    """Marks what follows a reporting verb in the clause."""
+    """Marks what follows a reporting verb in the sentence."""
 
     def step(state, symbol):
         cls, negated, _ = symbol
@@ -72,6 +75,8 @@ def clause_kind():
     def step(state, symbol):
         insult, threat, target, negated, reported, direct = state
         cls, is_negated, is_reported = symbol
+        if cls == CLAUSE_END:
+            return (False,) * 6, symbol
         if cls in (INSULT, THREAT):
             insult, threat = insult or cls == INSULT, threat or cls == THREAT
             negated, reported = negated or is_negated, reported or is_reported
@@ -100,7 +105,7 @@ def compiled():
     while len(table) < len(todo):
         state = todo[len(table)]
         row = []
-        for cls in range(6):
+        for cls in range(7):
             after, _ = step(state, (cls, False, False))
             if after not in number:
                 number[after] = len(todo)
@@ -123,15 +128,19 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 _SEEDS = {cls: np.unique(_hashes(words)) for cls, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS))}
 _THREATS = np.unique(_hashes(THREATS))
-_BREAK = np.zeros(256, bool)
-_BREAK[list(b".!?;:,()\n\r\"")] = True
+_SENTENCE = np.zeros(256, bool)
+_SENTENCE[list(b".!?;\n\r")] = True
+_BREAK = _SENTENCE.copy()
+_BREAK[list(b":,()\"")] = True
 
 
-def _clauses(words: base.Words) -> np.ndarray:
-    """Number of the clause of each word; clauses end at punctuation and line breaks, and with the document."""
-    marks = np.cumsum(_BREAK[words.data]) if len(words.data) else np.zeros(0, np.int64)
-    own = marks[words.start] if len(words.start) else marks[:0]
-    return own + words.doc() * 1  # a later document only adds, so numbers differ between documents
+def _stretches(words: base.Words, breaks: np.ndarray) -> np.ndarray:
+    """First words of the stretches between ``breaks`` (and documents), and the number of words."""
+    marks = np.cumsum(breaks[words.data])[words.start]
+    doc = words.doc()
+    new = np.ones(len(marks), bool)
+    new[1:] = (marks[1:] != marks[:-1]) | (doc[1:] != doc[:-1])
+    return np.r_[np.flatnonzero(new), len(marks)]
 
 
 def entries(words: base.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,18 +173,20 @@ class Lexicon:
         return out
 
 
-#: direct, aimed at a target, negated, reported, threat: sums of clause weights; then clauses, distinct words, words
-N_FEATURES = 8
+#: sums of the weights of insults and of threats in clauses that are direct, direct at a target, negated, reported; then direct
+#: clauses, distinct words of direct clauses, all words
+N_FEATURES = 11
 
 
 def features(column: pa.Array, lexicon: Lexicon, grammar) -> np.ndarray:
     table, kinds = grammar
     words = base.Words(column, lower=True, alphabet=base.NOT_SPACE & (~_BREAK | (np.arange(256) >= 128)))
     out = np.zeros((len(words.count), N_FEATURES))
-    out[:, 7] = np.log1p(words.count)
+    out[:, 10] = np.log1p(words.count)
     weight = lexicon.weigh(words)
     threat = np.isin(words.hash, _THREATS)
-    matched = np.flatnonzero((weight > 0) | threat)
+    weight[threat] = np.maximum(weight[threat], THREAT_WEIGHT)
+    matched = np.flatnonzero(weight > 0)
     if not len(matched):
         return out
     cls = np.zeros(len(words.hash), np.int8)
@@ -183,30 +194,30 @@ def features(column: pa.Array, lexicon: Lexicon, grammar) -> np.ndarray:
         cls[np.isin(words.hash, codes)] = value
     cls[weight > 0] = INSULT
     cls[threat] = THREAT
-    clause, doc = _clauses(words), words.doc()
-    place = clause * (len(words.count) + 1) + doc
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    ends = np.r_[starts[1:], len(place)]
-    for at in np.unique(np.searchsorted(starts, matched, side="right") - 1).tolist():
-        a, b = int(starts[at]), int(ends[at])
-        state = 0
-        for symbol in cls[a:b].tolist():
-            state = table[state][symbol]
-        kind, total, row = kinds[state], float(weight[a:b].sum()), out[doc[a]]
-        if kind & 16:
-            row[3] += total
-        elif kind & 8:
-            row[2] += total
-        else:
-            row[1 if kind & 4 else 0] += total
-        row[4] += bool(kind & 2)
-        row[5] += 1
-    rows = np.flatnonzero(weight > 0)
+    doc = words.doc()
+    sentences, clauses = _stretches(words, _SENTENCE), _stretches(words, _BREAK)
+    direct = np.zeros(len(weight), bool)
+    for at in np.unique(np.searchsorted(sentences, matched, side="right") - 1).tolist():
+        first, last = np.searchsorted(clauses, sentences[at: at + 2]).tolist()
+        state, row = 0, out[doc[sentences[at]]]
+        for a, b in zip(clauses[first:last].tolist(), clauses[first + 1: last + 1].tolist()):
+            own = cls[a:b]
+            for symbol in own.tolist():
+                state = table[state][symbol]
+            kind = kinds[state]
+            if kind & 3:
+                column_of = 3 if kind & 16 else 2 if kind & 8 else 1 if kind & 4 else 0
+                row[column_of] += weight[a:b][own == INSULT].sum()
+                row[4 + column_of] += weight[a:b][own == THREAT].sum()
+                row[8] += column_of < 2
+                direct[a:b] = column_of < 2
+            state = table[state][CLAUSE_END]
+    rows = np.flatnonzero((weight > 0) & direct)
     order = rows[np.lexsort((words.hash[rows], doc[rows]))]
     once = np.ones(len(order), bool)
     once[1:] = (words.hash[order[1:]] != words.hash[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-    out[:, 6] = np.bincount(doc[order[once]], minlength=len(out))
-    out[:, :7] = np.log1p(out[:, :7])
+    out[:, 9] = np.bincount(doc[order[once]], minlength=len(out))
+    out[:, :10] = np.log1p(out[:, :10])
     return out
 
 
@@ -223,12 +234,14 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """Stored (text, toxic) of at most ``most`` training rows.  A document labelled twice counts as its larger label."""
+    """Stored (text, toxic) of at most ``most`` training rows.  A document labelled twice counts as its larger label, a doc_id
+    that repeats is learned once, with the smallest of its texts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(trained_on())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.store(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # at most ``most`` rows
+    once = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return base.store(once.select("text", "toxic"), "labelled")  # at most ``most`` rows, as those broadcast
 
 
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +261,11 @@ def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield base.batch_of(code=base.signed(codes), t=t, c=np.bincount(at, minlength=len(codes)) - t)
 
 
-def learn_lexicon(labelled: DataFrame, most: int = MAX_LEXICON) -> Lexicon:
-    """Words and beginnings that mark toxic texts, by the G statistic of their document counts."""
+def learn_lexicon(labelled: DataFrame) -> Lexicon:
+    """All words and beginnings that mark toxic texts, by the G statistic of their document counts.
+
+    Only the labelled rows bound their number: an entry needs enough of those to reach the least evidence.
+    """
     sums = labelled.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     toxic, clean = sums["t"] or 0, sums["c"] or 0
     t, c = F.col("t").cast("double"), F.col("c").cast("double")
@@ -258,7 +274,7 @@ def learn_lexicon(labelled: DataFrame, most: int = MAX_LEXICON) -> Lexicon:
     evidence = 2 * (t * F.log(t / share) + F.when(c > 0, c * F.log(c / (t + c - share))).otherwise(0.0))
     found = labelled.mapInArrow(_entry_counts, "code long, t long, c long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     best = found.where("t >= 3").select("code", weight.alias("weight"), evidence.alias("evidence")).where(
-        (F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE)).orderBy(F.desc("evidence"), "code").limit(most).toArrow()
+        (F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE)).toArrow()
     return Lexicon(np.asarray(best["code"]).astype(np.int64).view(np.uint64), np.asarray(best["weight"]).astype(float))
 
 

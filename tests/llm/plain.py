@@ -222,3 +222,32 @@ def ranking(docs, items, top=10):
                 found.append((-score, i is None, i or 0, i))
         out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(found)[:top], 1)]
     return out
+
+
+def clause_features(text, weights, threats, targets, negations, reports, threat_weight, reach=3):
+    """Sums of clause weights by kind (insults, then threats), direct clauses, distinct words of those, all words."""
+    sums, clauses, distinct, count = [0.0] * 8, 0, set(), 0
+    for sentence in re.split(r"[.!?;\n\r]", lower(text)):
+        reported_from_here = False
+        for clause in re.split(r"[:,()\"]", sentence):
+            last_negation, kinds, insult, threat, own, aimed = -99, set(), 0.0, 0.0, set(), False
+            for at, word in enumerate(SPACED.findall(clause)):
+                count += 1
+                if word in threats or word in weights:
+                    own.add(word)
+                    kinds.add("reported" if reported_from_here else "negated" if at - last_negation <= reach else "direct")
+                    weight = max(weights.get(word, 0.0), threat_weight if word in threats else 0.0)
+                    insult, threat = insult + weight * (word not in threats), threat + weight * (word in threats)
+                elif word in negations:
+                    last_negation = at
+                elif word in reports:
+                    reported_from_here = True
+                aimed = aimed or word in targets
+            if own:
+                if "direct" in kinds:
+                    place, clauses, distinct = int(aimed), clauses + 1, distinct | own
+                else:
+                    place = 3 if "reported" in kinds else 2
+                sums[place] += insult
+                sums[4 + place] += threat
+    return [*sums, clauses, len(distinct), count]
