@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailgrain.operators.lloyd import matrix_of
-from mailgrain.session import cut_lineage
+from mailgrain.session import settled
 
 LEAF, TABLES = 1024, 8
 #: edges that are left for the last task, and clusters that are chosen from in one place
@@ -59,10 +59,10 @@ def bucketed(nodes: DataFrame, leaf: int, tables: int, seed: int) -> DataFrame:
 
     rows = nodes.select("node", "vec").mapInArrow(project, "node bigint, values array<array<double>>").select(
         "node", F.posexplode("values").alias("table", "value"))
-    rows = cut_lineage(rows.withColumn("bucket", F.lit(1).cast("bigint")))
+    rows = settled(rows.withColumn("bucket", F.lit(1).cast("bigint")))
     for level in range(depth):
         halves = rows.groupBy("table", "bucket").agg(F.percentile_approx(F.col("value")[level], 0.5).alias("median"))
-        rows = cut_lineage(rows.join(halves, ["table", "bucket"]).select(
+        rows = settled(rows.join(halves, ["table", "bucket"]).select(
             "table", (F.col("bucket") * 2 + (F.col("value")[level] > F.col("median")).cast("int")).alias("bucket"), "node", "value"))
     # medians are approximate and projections may be equal: what is still too large is dealt out by hash
     pieces = rows.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("pieces"))
@@ -139,23 +139,23 @@ def _bucket_tree(rows: pa.Table) -> pa.Table:
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest of (a, b, w) by Boruvka rounds; ties go by the ends.  Nothing is collected."""
-    edges = cut_lineage(edges.distinct().select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
+    edges = settled(edges.distinct().select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
     forest = None
     while not edges.isEmpty():
         sides = edges.select(F.col("x").alias("comp"), F.col("y").alias("to"), "w", "a", "b").unionByName(
             edges.select(F.col("y").alias("comp"), F.col("x").alias("to"), "w", "a", "b"))
-        least = cut_lineage(sides.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*"))
+        least = settled(sides.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*"))
         chosen = least.select("a", "b", "w").distinct()
-        forest = cut_lineage(chosen if forest is None else forest.unionByName(chosen))
+        forest = settled(chosen if forest is None else forest.unionByName(chosen))
         # two components that choose each other: the smaller becomes the root
         back = least.select(F.col("comp").alias("to"), F.col("to").alias("comp_of_to"))
         hooks = least.select("comp", "to").join(back, "to", "left").select(
             "comp", F.when((F.col("comp_of_to") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
-        hooks = cut_lineage(hooks)
+        hooks = settled(hooks)
         while True:  # two jumps at a time along the pointers, which are short as a rule
             up = hooks.select(F.col("comp").alias("root"), F.col("root").alias("above"))
             far = up.select(F.col("root").alias("above"), F.col("above").alias("top"))
-            jumped = cut_lineage(hooks.join(up, "root", "left").join(far, "above", "left").select(
+            jumped = settled(hooks.join(up, "root", "left").join(far, "above", "left").select(
                 "comp", F.coalesce("top", "above", "root").alias("new"), "root"))
             moved = not jumped.filter(F.col("new") != F.col("root")).isEmpty()
             hooks = jumped.select("comp", F.col("new").alias("root"))
@@ -163,7 +163,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
                 break
         rx = hooks.select(F.col("comp").alias("x"), F.col("root").alias("rx"))
         ry = hooks.select(F.col("comp").alias("y"), F.col("root").alias("ry"))
-        edges = cut_lineage(edges.join(rx, "x").join(ry, "y").filter("rx <> ry").select("a", "b", "w", F.col("rx").alias("x"), F.col("ry").alias("y")))
+        edges = settled(edges.join(rx, "x").join(ry, "y").filter("rx <> ry").select("a", "b", "w", F.col("rx").alias("x"), F.col("ry").alias("y")))
     return forest
 
 
@@ -263,25 +263,25 @@ def hierarchy(nodes: DataFrame, forest: DataFrame, buckets: DataFrame, tables: l
             part = comps.select("comp", F.lit(0).cast("bigint").alias("part"))
         else:
             part = buckets.filter(F.col("table") == number).select(F.col("node").alias("comp"), F.col("bucket").alias("part")).join(comps.select("comp"), "comp")
-        part = cut_lineage(part)
+        part = settled(part)
         pa_, pb = part.select(F.col("comp").alias("a"), F.col("part").alias("pa")), part.select(F.col("comp").alias("b"), F.col("part").alias("pb"))
         placed_edges = edges.join(pa_, "a").join(pb, "b").withColumn("crosses", F.col("pa") != F.col("pb"))
         # an edge between buckets goes to both
         sides = placed_edges.select(
             "a", "b", "w", "crosses", F.explode(F.array_distinct(F.array("pa", "pb"))).alias("part"))
-        found = cut_lineage(comps.join(part, "comp").groupBy("part").cogroup(sides.groupBy("part")).applyInArrow(_follow_bucket(least, step), FOUND))
+        found = settled(comps.join(part, "comp").groupBy("part").cogroup(sides.groupBy("part")).applyInArrow(_follow_bucket(least, step), FOUND))
         more = found.filter("kind = 'split'").select("cluster", "parent", "level")
         splits = more if splits is None else splits.unionByName(more)
         into = found.filter("kind = 'into'").select("comp", "root")
         fell = found.filter("kind = 'fall'").select("comp", F.col("cluster").alias("c"), F.col("level").alias("l"))
         open_ = placed.join(into, "comp", "left").join(fell, "comp", "left")
-        placed = cut_lineage(open_.select(
+        placed = settled(open_.select(
             "node", "weight", F.when(F.col("cluster").isNull(), F.col("root")).otherwise(F.col("comp")).alias("comp"),
             F.coalesce("cluster", "c").alias("cluster"), F.coalesce("level", "l").alias("level")))
         comps = found.filter("kind = 'root'").select("comp", "size", "cluster")
         ra = into.select(F.col("comp").alias("a"), F.col("root").alias("ra"))
         rb = into.select(F.col("comp").alias("b"), F.col("root").alias("rb"))
-        edges = cut_lineage(edges.join(ra, "a").join(rb, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "w"))
+        edges = settled(edges.join(ra, "a").join(rb, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "w"))
         if edges.isEmpty():
             break
     return placed, splits
@@ -347,14 +347,14 @@ def density_clusters(
     cluster, relative to the cluster's densest point, 0 for noise.  Rows without a vector are left out.
     """
     spark = vectors.sparkSession
-    rows = cut_lineage(vectors.filter(F.col("embedding").isNotNull()).select("email_id", F.col("embedding").cast("array<double>").alias("vec")))
-    nodes = cut_lineage(rows.groupBy("vec").agg(F.min("email_id").alias("node"), F.count(F.lit(1)).alias("weight")).select("node", "vec", "weight"))
-    buckets = cut_lineage(bucketed(nodes, leaf or LEAF, tables, seed))
+    rows = settled(vectors.filter(F.col("embedding").isNotNull()).select("email_id", F.col("embedding").cast("array<double>").alias("vec")))
+    nodes = settled(rows.groupBy("vec").agg(F.min("email_id").alias("node"), F.count(F.lit(1)).alias("weight")).select("node", "vec", "weight"))
+    buckets = settled(bucketed(nodes, leaf or LEAF, tables, seed))
     numbers = sorted(r["table"] for r in buckets.select("table").distinct().collect())  # one for each table
     members = buckets.join(nodes, "node")
-    cored = cut_lineage(core_distances(nodes, neighbour_lists(members, min_samples), min_samples))
+    cored = settled(core_distances(nodes, neighbour_lists(members, min_samples), min_samples))
     trees = buckets.join(cored, "node").groupBy("table", "bucket").applyInArrow(_bucket_tree, "a bigint, b bigint, w double")
-    forest = cut_lineage(trees) if len(numbers) == 1 else spanning_forest(trees)
+    forest = settled(trees) if len(numbers) == 1 else spanning_forest(trees)
     empty = spark.createDataFrame([], "a bigint, b bigint, w double")
     placed, splits = hierarchy(nodes, empty if forest is None else forest, buckets, numbers, min_cluster_size)
     dense = 1 / F.greatest(F.col("level"), F.lit(SMALLEST))

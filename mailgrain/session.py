@@ -57,6 +57,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, for loops.
+
+    A checkpointed frame keeps what Spark knows about its columns (the constraints of its plan).  Where each round joins
+    frames of the round before, these multiply and planning takes longer than the work; a table of files has none.
+    """
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a table whose files may be single row groups, which no scan can split."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

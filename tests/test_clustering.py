@@ -1,5 +1,7 @@
 """Batched k-means against single fits."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +222,30 @@ def test_density_edges(spark):
     assert density_.density_clusters(empty).count() == 0
 
 
+def test_forest_rounds_are_planned_in_time(spark):
+    """Six rounds over a few thousand edges; planning grew fourfold with every join of a round."""
+    own = np.random.default_rng(4)
+    ends = np.concatenate([np.stack([np.arange(1, 1500), own.integers(0, np.arange(1, 1500))], axis=1), own.integers(0, 1500, (3000, 2))])
+    edges = sorted({(float(w), int(min(e)), int(max(e))) for w, e in zip(own.random(len(ends)), ends) if e[0] != e[1]})
+    parent = list(range(1500))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    want = set()
+    for w, a, b in edges:  # Kruskal
+        x, y = find(a), find(b)
+        if x != y:
+            parent[x] = y
+            want.add((a, b, w))
+    begun = time.monotonic()
+    got = density_.spanning_forest(spark.createDataFrame([(a, b, w) for w, a, b in edges], "a bigint, b bigint, w double"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert time.monotonic() - begun < 60
+
+
 def test_follow_stops_where_something_outside_may_come_first():
     comps = [(i, 1, None) for i in range(6)]
     edges = [(0, 1, 1.0, False), (1, 2, 2.0, False), (2, 9, 2.5, True), (2, 3, 3.0, False), (4, 5, 4.0, False)]
