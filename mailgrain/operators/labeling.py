@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from mailgrain.constants import DIMENSIONS
 from mailgrain.functions.normalize import squeeze, strip
 from mailgrain.schemas import CLUSTER_LABEL, MODEL_LABEL
+from mailgrain.session import bound_batches
 
 Scorer = Callable[[list[str]], list[dict | None]]
 
@@ -140,6 +141,7 @@ def score_with(prompts: DataFrame, scorer: Scorer, keep: list[str], batch: int =
     ``prompt_tokens``/``completion_tokens``.  A row it fails on is kept with a
     null response and the error text.
     """
+    bound_batches(prompts.sparkSession)
     keep_types = ", ".join(f"{c} {prompts.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

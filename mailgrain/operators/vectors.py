@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgrain.session import cut_lineage
+from mailgrain.session import bound_batches, cut_lineage
 
 Encoder = Callable[[list[str]], list[list[float] | None]]
 
@@ -24,6 +24,7 @@ def embed(prepared: DataFrame, encoder: Encoder, key: str = "email_id", batch: i
     called once per batch inside each partition, so the partitioning of
     ``prepared`` is the parallelism.
     """
+    bound_batches(prepared.sparkSession)
     key_type = prepared.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

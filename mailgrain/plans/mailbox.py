@@ -12,6 +12,7 @@ from mailgrain.operators import (
     actions, clusters, contacts, entities, features, labeling, priority, projects, rules, tables, threads,
 )
 from mailgrain.operators.vectors import Encoder, embed
+from mailgrain.session import bound_batches
 from mailgrain.sources.documents import id_collisions
 from mailgrain.streaming.ingest import embedding_inputs
 
@@ -58,6 +59,7 @@ class MailboxRun:
     def run(self, source: DataFrame, start_from: str | None = None) -> dict[str, DataFrame]:
         """Run all steps, or those from ``start_from`` on with earlier tables read from ``root``."""
         spark = source.sparkSession
+        bound_batches(spark)
         if not id_collisions(source).isEmpty():
             raise ValueError("different messages share an id; see id_collisions")
         first = STEPS.index(start_from) if start_from else 0

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Settings the operators are planned for.  None of them is required for right
 # results except the UTC time zone, which every hour/weekday feature reads.
 RECOMMENDED_CONF = {
@@ -17,6 +20,8 @@ RECOMMENDED_CONF = {
     # split a hot join key even when the aggregate above it must shuffle again
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # texts may be long: an Arrow batch is 10,000 rows otherwise, and Python holds several copies of it
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES),
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -31,6 +36,12 @@ def build_session(app_name: str = "mailgrain", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that Python gets, unless the session does so."""
+    if spark.conf.get(_BATCH_BYTES, None) in (None, str((1 << 63) - 1), f"{(1 << 63) - 1}b", "-1"):
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 

@@ -117,3 +117,35 @@ def test_merge_keeps_what_the_user_did(spark):
     row = again.first()
     assert (row["name"], row["project_type"], row["is_active"], row["user_id"]) == ("B", "key_relationship", False, "v")
     assert row["project_id"] == first.first()["project_id"] and YOU
+
+
+def test_python_gets_bounded_batches(spark):
+    """Few long texts come to Python in several batches; all of them were one batch of up to 10,000 rows."""
+    from mailgrain.functions.clean import normalize_chars
+    from mailgrain.operators.labeling import score_with
+    from mailgrain.operators.vectors import embed
+    from mailgrain.session import ARROW_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        texts = spark.range(0, 40, 1, 1).select(
+            F.col("id").alias("email_id"), F.repeat(F.lit("word "), 200_000).alias("text"), F.lit(1).alias("token_count"), F.lit("").alias("content_hash"))
+        # each call names the size of the batch that it was given
+        sizes = embed(texts, lambda batch: [[float(sum(map(len, batch)))] for _ in batch], batch=10_000)
+        got = [r["embedding"][0] for r in sizes.collect()]
+        assert len(got) == 40 and max(got) <= ARROW_BYTES + 1_000_000
+        prompts = texts.select("email_id", F.col("text").alias("prompt"))
+        scored = score_with(
+            prompts, lambda batch: [{"response": "", "prompt_tokens": sum(map(len, batch))} for _ in batch], ["email_id"], batch=10_000)
+        got = [r["prompt_tokens"] for r in scored.select("prompt_tokens").collect()]
+        assert len(got) == 40 and max(got) <= ARROW_BYTES + 1_000_000
+        spark.conf.unset(name)
+        import __spark_entry__
+        __spark_entry__._prepare(spark)  # what every registered query begins with, C6 and L6 too
+        assert int(spark.conf.get(name)) == ARROW_BYTES
+        whole = texts.select(F.length(normalize_chars(F.concat("text", F.lit("—")))).alias("n"))
+        assert {r["n"] for r in whole.collect()} == {1_000_001}
+    finally:
+        spark.conf.set(name, had) if had is not None else spark.conf.unset(name)
