@@ -759,14 +759,16 @@ def q6(spark, d):
 
 
 def _ingested(spark, source, parts):
-    """A store after micro-batches of one file each: ``parts`` of the messages, the first one twice."""
-    incoming = shared_folder(spark, "incoming")
+    """A store after ``parts`` micro-batches of the messages and the first one again.
+
+    Each part comes as the files of one parallel write, and the stream takes all of them as one micro-batch.
+    """
+    incoming, state = shared_folder(spark, "incoming"), shared_folder(spark, "ingest-state")
     mail = source.select(*[F.col(f.name) if f.name in source.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGE])
-    for part in [*range(parts), 0]:
-        mail.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(incoming)
     tables = ingest.MailTables(spark, shared_folder(spark, "tables"))
-    stream = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(incoming)
-    ingest.ingest_stream(stream, tables, shared_folder(spark, "ingest-state")).awaitTermination()
+    for part in [*range(parts), 0]:
+        mail.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).write.mode("append").parquet(incoming)
+        ingest.ingest_stream(spark.readStream.schema(MESSAGE).parquet(incoming), tables, state).awaitTermination()
     return tables
 
 

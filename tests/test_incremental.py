@@ -1,5 +1,6 @@
 """Batch tables and sender statistics that follow the ingest."""
 
+import os
 import random
 from datetime import timedelta
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mailgrain.operators.features import message_features, sender_stats
 from mailgrain.schemas import MESSAGE
+from mailgrain.session import shared_folder
 from mailgrain.streaming import ingest, senders, store
 from tests.helpers import START, YOU, message, messages
 
@@ -151,3 +153,24 @@ def test_backfill_runs_the_phases(spark, tmp_path):
     assert got == [(0, 2, 2, 2, 2, 1), (0, 3, 3, 3, 3, 1), (1, 6, 6, 6, 6, 1), (1, 7, 7, 7, 7, 1), (2, 9, 9, 9, 7, 1)]
     assert [round(r["progress"], 4) for r in out.orderBy("batch_no").collect()] == [0.2222, 0.3333, 0.6667, 0.7778, 0.99]
     assert {r["id"] for r in tables.read("messages", MESSAGE).collect()} == set(range(9))
+
+
+def test_parts_of_many_files_are_one_batch_each(spark, monkeypatch):
+    """Q6's parts were written by one task, as one file each."""
+    from contract import serving
+
+    folders = {}
+
+    def folder(session, name):
+        folders[name] = shared_folder(session, name)
+        return folders[name]
+
+    monkeypatch.setattr(serving, "shared_folder", folder)
+    rows = mailbox()
+    mail = messages(spark, *rows).repartition(4)
+    tables = serving._ingested(spark, mail, 2)
+    assert tables.committed() == 2  # two parts and the replay
+    files = [f for f in os.listdir(folders["incoming"].removeprefix("file:")) if f.endswith(".parquet")]
+    assert len(files) > 3
+    assert tables.read("messages", MESSAGE).count() == len(rows)
+    assert values(tables.senders.stats()) == values(sender_stats(messages(spark, *rows)))
