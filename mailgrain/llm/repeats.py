@@ -203,8 +203,12 @@ def shared_regions(docs: DataFrame, symbols: Callable, window: int, gram: int) -
 
 
 def with_pieces(docs: DataFrame, firsts: DataFrame, cut: Callable, window: int) -> DataFrame:
-    """Symbols of the regions in ``firsts``: (g, ctx, key, place, piece), one pass over the documents concerned."""
-    wanted = firsts.groupBy("key").agg(F.collect_list(F.struct("g", "ctx", "place")).alias("wanted"))
+    """Symbols of the regions in ``firsts``: (g, ctx, key, place, piece), one pass over the documents concerned.
+
+    A column ``hot`` of ``firsts`` stays.
+    """
+    flags = [c for c in ("hot",) if c in firsts.columns]
+    wanted = firsts.groupBy("key").agg(F.collect_list(F.struct("g", "ctx", "place", *flags)).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,15 +218,18 @@ def with_pieces(docs: DataFrame, firsts: DataFrame, cut: Callable, window: int)
                 for doc, (key, wanted) in enumerate(zip(rows.column("key").to_pylist(), rows.column("wanted").to_pylist())):
                     for want in wanted:
                         first, count = first_of(want["place"]), count_of(want["place"])
-                        out.append((want["g"], want["ctx"], key, want["place"], find(doc, first, first + count + window - 1)))
+                        out.append((want["g"], want["ctx"], key, want["place"], find(doc, first, first + count + window - 1),
+                                    *(want[c] for c in flags)))
                 if out:
                     columns = list(zip(*out))
                     yield base.batch_of(
                         g=pa.array(columns[0], pa.int64()), ctx=pa.array(columns[1], pa.int64()), key=pa.array(columns[2], pa.int64()),
-                        place=pa.array(columns[3], pa.int64()), piece=pa.array(columns[4], pa.binary()))
+                        place=pa.array(columns[3], pa.int64()), piece=pa.array(columns[4], pa.binary()),
+                        **{c: pa.array(columns[5 + i], pa.bool_()) for i, c in enumerate(flags)})
 
     # wanted grows with the corpus: joined by shuffle at every size, never broadcast
-    return docs.select("key", "text").join(wanted.hint("merge"), "key").mapInArrow(run, REGION + ", piece binary")
+    return docs.select("key", "text").join(wanted.hint("merge"), "key").mapInArrow(
+        run, REGION + ", piece binary" + "".join(f", {c} boolean" for c in flags))
 
 
 def split_by_group(firsts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:

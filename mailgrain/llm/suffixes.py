@@ -155,13 +155,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     whole = repeats.whole_region_spans(shared.where("kind <> 1"), window)
     cold, hot = repeats.split_by_group(shared.where("kind = 1").select("g", "ctx", "key", "place"), group_limit)
     lead = F.expr(f"substring(piece, cast(shiftright(place, {repeats.FIELD}) & {repeats.MOST} as int) + 1, {gram})")
-    pieces = base.store(repeats.with_pieces(docs, cold, _cut, window), "pieces")
+    # the pieces of all regions in one pass: the texts move once, however many grams are hot
+    firsts = cold if hot is None else cold.withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True)))
+    pieces = base.store(repeats.with_pieces(docs, firsts, _cut, window), "pieces")
     base.free_shuffles(docs.sparkSession)  # the texts that moved for the pieces, before they move for the spans
-    buckets = pieces.repartitionByRange(lead, "g").sortWithinPartitions(lead, "g", "key", "place")
+    buckets = (pieces if hot is None else pieces.where("not hot")).repartitionByRange(lead, "g").sortWithinPartitions(
+        lead, "g", "key", "place")
     spans = whole.unionByName(buckets.mapInArrow(_sort_bucket(window), "key long, start long, end long"))
     if hot is not None:
-        suffixes = repeats.with_pieces(docs, hot, _cut, window).mapInArrow(
-            _exploded(window), "suffix binary, key long, start long")
+        suffixes = pieces.where("hot").mapInArrow(_exploded(window), "suffix binary, key long, start long")
         late = late_across_buckets(suffixes)
         spans = spans.unionByName(late.select("key", "start", (F.col("start") + window).alias("end")))
     return spans

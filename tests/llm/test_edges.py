@@ -468,3 +468,13 @@ def test_media_column(spark):
     df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"")), (4, bytearray(b"no image")), (None, bytearray(good))], "doc_id long, media binary")
     got = {(r["key"], r["height"], r["rgb"] and len(r["rgb"])) for r in media.decode_column(df).collect()}
     assert got == {(1, 16, 768), (2, None, None), (3, None, None), (4, None, None), (None, 16, 768)}
+
+
+def test_texts_move_once_for_all_pieces(spark, monkeypatch):
+    """Grams above the limit used to fetch their pieces, and so move the texts, a second time."""
+    calls = []
+    fetch = suffixes.repeats.with_pieces
+    monkeypatch.setattr(suffixes.repeats, "with_pieces", lambda *given: calls.append(given[1].columns) or fetch(*given))
+    got = rows(suffixes.remove_repeated_bytes(frame(spark, HOT), group_limit=5), "doc_id", "n_removed")
+    assert len(calls) == 1 and "hot" in calls[0]
+    assert len(got) == len(HOT)
