@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,26 +57,29 @@ def _start(text: str, chars: int | None) -> Column:
     return F.col(text) if chars is None else F.substring(text, 1, chars)
 
 
-def _eligible(messages: DataFrame, classes: DataFrame, body_chars: int | None = BODY_CHARS) -> DataFrame:
-    wanted = classes.filter(F.col("predicted_handleability") == "needs_llm").select("email_id", "llm_priority")
+def _eligible(
+    messages: DataFrame, classes: DataFrame, body_chars: int | None = BODY_CHARS, keep: Sequence[str] = ()
+) -> DataFrame:
+    wanted = classes.filter(F.col("predicted_handleability") == "needs_llm").select("email_id", "llm_priority", *keep)
     long_enough = messages.filter(~F.col("is_sent") & (F.length("body_text") > MIN_BODY_CHARS)).select(
         F.col("id").alias("email_id"), "from_email", "subject", "date_parsed", "action", "thread_id",
-        _start("body_text", body_chars).alias("body_preview"),
+        _start("body_text", body_chars).alias("body_preview"), *keep,
     )
-    return long_enough.join(wanted, "email_id")
+    return long_enough.join(wanted, ["email_id", *keep])
 
 
 def llm_queue(
     messages: DataFrame, features: DataFrame, classes: DataFrame, contacts: DataFrame, priority: DataFrame,
-    done: DataFrame, limit: int | None = 50, body_chars: int | None = BODY_CHARS,
+    done: DataFrame, limit: int | None = 50, body_chars: int | None = BODY_CHARS, keep: Sequence[str] = (),
 ) -> DataFrame:
     """L1: messages the rules left open, with their context, by queue level then id.
 
-    ``body_chars`` bounds the body that goes into a prompt; None keeps it whole.
+    ``body_chars`` bounds the body that goes into a prompt; None keeps it whole.  ``keep`` names columns of messages,
+    features and classes that come along.
     """
-    rows = _eligible(messages, classes, body_chars).join(done.select("email_id"), "email_id", "left_anti")
+    rows = _eligible(messages, classes, body_chars, keep).join(done.select("email_id"), "email_id", "left_anti")
     rows = rows.join(
-        features.select("email_id", "relationship_strength", "user_replied_to_sender_rate", "is_service_email"), "email_id"
+        features.select("email_id", "relationship_strength", "user_replied_to_sender_rate", "is_service_email", *keep), ["email_id", *keep]
     )
     people = contacts.select(F.lower("email").alias("_who"), "is_important_sender")
     rows = rows.join(people, F.lower("from_email") == F.col("_who"), "left")
@@ -87,7 +90,7 @@ def llm_queue(
         F.col("action").alias("actual_action"), "thread_id",
         F.coalesce("is_important_sender", F.lit(False)).alias("is_important_sender"),
         F.coalesce("priority_score", F.lit(0.0)).alias("priority_score"),
-        F.coalesce("priority_rank", F.lit(NO_RANK)).alias("priority_rank"),
+        F.coalesce("priority_rank", F.lit(NO_RANK)).alias("priority_rank"), *keep,
     )
     return rows if limit is None else rows.orderBy("llm_priority", "email_id").limit(limit)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,15 @@ STORED_FLAGS = [
 ]
 
 
-def classify_messages(messages: DataFrame, features: DataFrame) -> DataFrame:
-    """H4: one class row per received message that has features."""
+def classify_messages(messages: DataFrame, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """H4: one class row per received message that has features; ``keep`` names columns of both that come along."""
     # patterns are read off the texts before the join, which then moves flags only
     rows = lowered(messages.filter(~F.col("is_sent")), body="body_text", head="subject").select(
         F.col("id").alias("email_id"), S.content_patterns("body", "head").alias("patterns"),
-        S.order_mentions("body").alias("order"),
+        S.order_mentions("body").alias("order"), *keep,
     )
     rows = rows.join(
-        features.select("email_id", "relationship_strength", "is_service_email", "service_type"), "email_id"
+        features.select("email_id", "relationship_strength", "is_service_email", "service_type", *keep), ["email_id", *keep]
     )
     rows = rows.withColumn(
         "outcome",
@@ -39,6 +41,7 @@ def classify_messages(messages: DataFrame, features: DataFrame) -> DataFrame:
         *[F.col(f"patterns.{flag}").alias(flag) for flag in STORED_FLAGS],
         (F.col("outcome.class") == "needs_llm").alias("needs_llm_classification"),
         F.col("outcome.metadata.llm_priority").alias("llm_priority"),
+        *keep,
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,17 +19,17 @@ from mailgrain.operators.rules import classify_messages
 from mailgrain.operators.tables import insert_new
 from mailgrain.operators.vectors import Encoder, embed
 from mailgrain.schemas import MESSAGE
-from mailgrain.session import cut_lineage
+from mailgrain.session import cut_lineage, settled
 from mailgrain.streaming.senders import SenderState
 from mailgrain.streaming.store import BatchTables
 
 
-def embedding_inputs(messages: DataFrame, features: DataFrame) -> DataFrame:
-    """Messages with the feature columns C10 reads; defaults where features are missing."""
-    mail = messages.filter(~F.col("is_sent")).select(F.col("id").alias("email_id"), "subject", "body_text")
-    known = features.select("email_id", "is_service_email", "service_importance", "relationship_strength")
-    return mail.join(known, "email_id", "left").select(
-        "email_id", "subject", "body_text",
+def embedding_inputs(messages: DataFrame, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Messages with the feature columns C10 reads; defaults where features are missing.  ``keep`` comes along."""
+    mail = messages.filter(~F.col("is_sent")).select(F.col("id").alias("email_id"), "subject", "body_text", *keep)
+    known = features.select("email_id", "is_service_email", "service_importance", "relationship_strength", *keep)
+    return mail.join(known, ["email_id", *keep], "left").select(
+        "email_id", *keep, "subject", "body_text",
         F.coalesce("is_service_email", F.lit(False)).alias("is_service"),
         F.coalesce("service_importance", F.lit(0.5)).alias("service_importance"),
         F.coalesce("relationship_strength", F.lit(0.5)).alias("relationship_strength"),
@@ -41,6 +45,8 @@ LABELS = (
 CONTACTS = "email string, is_important_sender boolean"
 RANKS = "email_id bigint, priority_score double, priority_rank bigint"
 COMPACT_EVERY = 100
+#: messages that a back-fill takes at a time, whatever the size of its batches
+ROUND_MESSAGES = 1_000_000
 PROGRESS = ["emails_fetched", "emails_processed", "features_computed", "embeddings_generated", "llm_classified"]
 PROGRESS_ROW = "phase_order int, batch_no bigint, " + ", ".join(f"{c} bigint" for c in PROGRESS)
 
@@ -59,9 +65,12 @@ class MailTables(BatchTables):
         return self.spark.createDataFrame([], schema)
 
 
-def new_messages(batch: DataFrame, tables: MailTables) -> DataFrame:
-    """A4 for a batch: messages whose id is not stored; only the links of the batch's own ids are read."""
-    incoming = batch.select(*MESSAGE.fieldNames())
+def new_messages(batch: DataFrame, tables: MailTables, keep: Sequence[str] = ()) -> DataFrame:
+    """A4 for a batch: messages whose id is not stored; only the links of the batch's own ids are read.
+
+    Columns in ``keep`` come along; of messages with one id that with the smallest of them counts.
+    """
+    incoming = batch.select(*keep, *MESSAGE.fieldNames())
     stored = tables.senders.stored_links(incoming.select(F.col("message_id").alias("ref"))).filter("own")
     return insert_new(stored.select(F.col("ref").alias("message_id")), incoming, "message_id")
 
@@ -105,6 +114,88 @@ def ingest_batch(
     return counts
 
 
+def ingest_batches(
+    batches: DataFrame, last: int, tables: MailTables, encoder: Encoder | None = None, scorer: labeling.Scorer | None = None,
+    label_limit: int | None = None, phase_order: int = 0,
+) -> dict[str, int]:
+    """Q6 for many batches at a time, with the rows that :func:`ingest_batch` would store for one after the other.
+
+    ``batch_no`` tells the batch of a message: numbers after the committed ones up to ``last``, under which all are
+    committed at once.  Batches are newest first, so that the newest date of the mailbox is the same in each.  Features
+    know of a sender what is stored and what came up to the message's own batch.  Messages, features, classes, vectors
+    and labels are stored with their batch.
+    """
+    by, state = ["batch_no"], tables.senders
+    before = tables.committed()
+    tables.discard()
+    mail = tables.write("messages", last, new_messages(batches, tables, by))
+    state.add(mail, last)
+    ref = state.reference(last)
+    latest = F.timestamp_micros(F.lit(ref).cast("bigint"))
+    features = tables.write("features", last, message_features(mail, state.stats_by_batch(mail, ref or 0), latest, by))
+    classes = tables.write("classes", last, classify_messages(mail, features, by))
+    counted = {"emails_fetched": batches, "emails_processed": mail, "features_computed": features}
+    if encoder is not None:
+        inputs = prepare_for_embedding(_with_key(embedding_inputs(mail, features, by)), "_key")
+        counted["embeddings_generated"] = tables.write("vectors", last, _without_key(embed(inputs, encoder, "_key")))
+    if scorer is not None and label_limit != 0:
+        counted["llm_classified"] = tables.write("labels", last, _labelled_batches(mail, features, classes, tables, scorer, label_limit))
+    rows = reduce(DataFrame.unionByName, [
+        df.select("batch_no", *[F.lit(int(c == name)).cast("bigint").alias(c) for c in PROGRESS]) for name, df in counted.items()])
+    progress = rows.groupBy("batch_no").agg(*[F.sum(c).alias(c) for c in PROGRESS]).select(
+        F.lit(phase_order).alias("phase_order"), F.col("batch_no").cast("bigint").alias("batch_no"), *PROGRESS)
+    progress = tables.write("progress", last, progress)
+    tables.commit(last)
+    if (last + 1) // COMPACT_EVERY > (before + 1) // COMPACT_EVERY:
+        state.compact()
+    return progress.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in PROGRESS]).first().asDict()
+
+
+def _with_key(rows: DataFrame) -> DataFrame:
+    """Batch and id as one column, for steps that carry a single key."""
+    return rows.withColumn("_key", F.concat(F.col("batch_no").cast("string"), F.lit(":"), F.coalesce(F.col("email_id").cast("string"), F.lit(""))))
+
+
+def _without_key(rows: DataFrame) -> DataFrame:
+    part = F.split("_key", ":")
+    return rows.select(
+        F.nullif(part[1], F.lit("")).cast("bigint").alias("email_id"), part[0].cast("bigint").alias("batch_no"),
+        *[c for c in rows.columns if c != "_key"])
+
+
+def _labelled_batches(
+    mail: DataFrame, features: DataFrame, classes: DataFrame, tables: MailTables, scorer: labeling.Scorer, limit: int | None,
+) -> DataFrame:
+    """Labels of many batches, at most ``limit`` of them in all, earlier batches first.
+
+    A batch asks for as many labels as the batches before it have left.  How many of theirs fail is known only afterwards,
+    so batches are taken together as long as the limit cannot end among them, and the one it may end in alone.
+    """
+    def queued(*wanted: Column, limit: int | None = None) -> DataFrame:
+        people, ranked = tables.plain("contacts", CONTACTS), tables.plain("priority", RANKS)
+        none = tables.spark.createDataFrame([], LABELS)
+        return labeling.llm_queue(*[reduce(DataFrame.filter, wanted, df) for df in (mail, features, classes)], people, ranked, none, limit, keep=["batch_no"])
+
+    def labelled(queue: DataFrame) -> DataFrame:
+        prompts = _with_key(labeling.build_prompts(queue))
+        return _without_key(labeling.model_labels(labeling.score_with(prompts, scorer, ["_key"]), "_key"))
+
+    if limit is None:
+        return labelled(queued())
+    done, at = labelled(queued(F.lit(False))), -1
+    sizes = settled(queued().groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")))
+    while limit > 0:
+        # every row has a message or more, so `limit` of them are enough
+        ahead = sizes.filter(F.col("batch_no") > at).orderBy("batch_no").limit(limit).collect()
+        if not ahead:
+            break
+        fits = sum(total <= limit for total in accumulate(r["n"] for r in ahead))
+        first, at = at, ahead[max(fits, 1) - 1]["batch_no"]
+        wave = settled(labelled(queued(F.col("batch_no") > first, F.col("batch_no") <= at, limit=None if fits else limit)))
+        done, limit = done.unionByName(wave), limit - wave.count()
+    return done
+
+
 def _labelled(
     mail: DataFrame, features: DataFrame, classes: DataFrame, tables: MailTables, scorer: labeling.Scorer, done: DataFrame,
     limit: int | None = None,
@@ -212,6 +303,7 @@ def backfill(
 
     Each phase has its batch size, runs vectors and labels only if it says so, and labels at most ``label_limit``
     messages in all.  ``max_messages`` bounds the messages of all phases together.  Mail of no phase is left out.
+    Batches are stored many at a time (:func:`ingest_batches`), so the number of jobs does not follow theirs.
     A back-fill that is started again finds what is stored already and goes on with the rest.
     """
     phased = phase_partition(messages, now, phases).filter(F.col("phase").isNotNull())
@@ -226,10 +318,15 @@ def backfill(
     for order, (_, _, _, batch_size, run_vectors, run_labels, label_limit) in enumerate(phases):
         first, total = starts.get(order, (0, 0))
         left = label_limit
-        for at in range(first, first + total, batch_size):
-            part = ranked.filter((F.col("_place") >= at) & (F.col("_place") < min(at + batch_size, first + total)))
-            counts = ingest_batch(
-                part.select(*MESSAGE.fieldNames()), tables, encoder if run_vectors else None, scorer if run_labels else None, left, order)
+        step = max(1, ROUND_MESSAGES // batch_size) * batch_size
+        for at in range(first, first + total, step):
+            end = min(at + step, first + total)
+            number = tables.committed() + 1
+            part = ranked.filter((F.col("_place") >= at) & (F.col("_place") < end)).withColumn(
+                "batch_no", F.floor((F.col("_place") - at) / batch_size) + number)
+            counts = ingest_batches(
+                part.select("batch_no", *MESSAGE.fieldNames()), number + (end - at - 1) // batch_size, tables,
+                encoder if run_vectors else None, scorer if run_labels else None, left, order)
             if left is not None:
                 left = max(0, left - counts["llm_classified"])
     rows = tables.read("progress", PROGRESS_ROW)

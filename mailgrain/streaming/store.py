@@ -57,6 +57,14 @@ class BatchTables:
     def commit(self, batch: int) -> None:
         self._mark(f"_commits/batch={batch}")
 
+    def discard(self) -> None:
+        """Delete what was written under numbers that are not committed."""
+        newest, files = self.committed(), self._files()
+        for name in self._names(""):
+            for n in self._numbers(name, "batch=") if not name.startswith("_") else []:
+                if n > newest:
+                    files.delete(self._path(f"{name}/batch={n}"), True)
+
     def write(self, name: str, batch: int, df: DataFrame) -> DataFrame:
         """Write the rows of a batch, over what a failed run of the batch left there, and read them back.
 

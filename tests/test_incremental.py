@@ -174,3 +174,94 @@ def test_parts_of_many_files_are_one_batch_each(spark, monkeypatch):
     assert len(files) > 3
     assert tables.read("messages", MESSAGE).count() == len(rows)
     assert values(tables.senders.stats()) == values(sender_stats(messages(spark, *rows)))
+
+
+def old_mail(count=60, seed=3):
+    """Mail of three phases whose ids, answers and senders cross the batches; some ids come twice, some with other texts."""
+    own = random.Random(seed)
+    now = START + timedelta(days=100)
+    rows = []
+    for i in range(count):
+        sent = own.random() < 0.4
+        row = message(
+            own.randrange(count // 2) if i % 7 == 0 else i, 0, is_sent=sent, date_parsed=now - timedelta(days=own.choice([-1, 2, 6, 8, 20, 29, 40, 80]), minutes=own.randrange(500)),
+            message_id=f"m{own.randrange(count)}" if i % 5 == 0 else f"m{i}", in_reply_to=own.choice([None, f"m{own.randrange(count)}", f"m{own.randrange(count)}"]),
+            from_email=own.choice([YOU, "Other@corp.example"]) if sent else own.choice(["Ann@x.example", "bob@y.example", "cy@z.example", None]),
+            to_emails=own.choice([None, ["ann@x.example"], ["Bob@y.example", "cy@z.example"]]) if sent else [YOU],
+            body_text=f"Could you please look at this long enough text {own.randrange(9)} about it ?")
+        rows.append(row)
+    return rows, now
+
+
+def some_fail(prompts):
+    return [None if "text 3" in p or "text 5" in p else {"response": '{"action_type": "task"}'} for p in prompts]
+
+
+def lengths(texts):
+    return [[float(len(t))] for t in texts]
+
+
+def one_by_one(rows, tables, spark, now, encoder, scorer, phases):
+    """The back-fill as a loop over its batches."""
+    for order, (_, low, high, size, vectors, labels, left) in enumerate(phases):
+        def fits(r):
+            age = (now - r["date_parsed"]) / timedelta(days=1)
+            return (order == 0 or age >= low) and age < high
+
+        own = sorted(filter(fits, rows), key=lambda r: (-r["date_parsed"].timestamp(), r["id"]))
+        for at in range(0, len(own), size):
+            counts = ingest.ingest_batch(messages(spark, *own[at: at + size]), tables, encoder if vectors else None, scorer if labels else None, left, order)
+            left = None if left is None else max(0, left - counts["llm_classified"])
+
+
+def test_backfill_stores_what_batch_after_batch_stores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "ROUND_MESSAGES", 12)  # the second round finds mail, answers and senders of the first
+    rows, now = old_mail(24)
+    phases = [("all", 0, 90, 6, True, True, 5)]
+    want, got = (ingest.MailTables(spark, str(tmp_path / name)) for name in ("want", "got"))
+    one_by_one(rows, want, spark, now, lengths, some_fail, phases)
+    ingest.backfill(messages(spark, *rows), got, now, lengths, some_fail, phases=phases)
+    assert got.committed() == want.committed() == 3
+    feature_schema = message_features(messages(spark, *rows)).schema
+    class_schema = "email_id bigint, predicted_handleability string, classification_metadata string, llm_priority int"
+    tables = {"messages": MESSAGE, "features": feature_schema, "classes": class_schema, "vectors": ingest.VECTORS, "labels": ingest.LABELS, "progress": ingest.PROGRESS_ROW}
+    for name, schema in tables.items():
+        left, right = (sorted(map(str, store_.read(name, schema).collect())) for store_ in (want, got))
+        assert left == right and left, name
+    assert values(got.senders.stats()) == values(want.senders.stats())
+
+
+def test_jobs_of_a_backfill_do_not_follow_its_batches(spark, tmp_path):
+    now = START + timedelta(days=100)
+    rows = [message(i, 0, date_parsed=now - timedelta(minutes=i)) for i in range(24)]
+    jobs = {}
+    for size in (12, 2):
+        group = f"backfill-{size}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = ingest.backfill(messages(spark, *rows), ingest.MailTables(spark, str(tmp_path / group)), now, phases=[("quick", 0, 7, size, False, False, None)])
+        jobs[size] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert out.count() == 24 // size
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[2] < jobs[12] * 1.5
+
+
+def test_a_round_that_failed_leaves_nothing(spark, tmp_path, monkeypatch):
+    rows, now = old_mail(30)
+    phases = [("all", 0, 90, 10, True, False, None)]
+    tables = ingest.MailTables(spark, str(tmp_path / "tables"))
+    original = tables.commit
+
+    def broken(_):
+        raise RuntimeError
+
+    tables.commit = broken
+    with pytest.raises(RuntimeError):
+        ingest.backfill(messages(spark, *rows), tables, now, lengths, phases=phases)
+    tables.commit = original
+    some = [r for r in rows if r["date_parsed"] > now - timedelta(days=25)]
+    for part in (some, rows):  # the numbers up to the failed one are passed by other rounds
+        ingest.backfill(messages(spark, *part), tables, now, phases=phases)
+    assert tables.read("vectors", ingest.VECTORS).count() == 0
+    stored = tables.read("messages", MESSAGE)
+    assert stored.count() == len({r["message_id"] for r in rows})
+    assert values(tables.senders.stats()) == values(sender_stats(stored))
