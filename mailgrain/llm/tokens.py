@@ -22,6 +22,8 @@ from mailgrain.llm import base
 CACHE_PIECES = 150_000
 SLOTS = 1 << 20
 STORED_IDS = 5_000_000
+#: pieces that reach the tokenizer as one text, and the digit between them
+JOINED, MARK = 64, "0"
 
 # The pre-token patterns written in the two tokenizer files, for printable Latin texts.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -55,6 +57,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None  # lower-cases and drops white space
         self.split = re.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
+        mark = self._encode([MARK])[0] if self.lower else b""
+        #: id of the digit that ends each piece of a call; None if it is not one id, or white space counts
+        self.mark = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
         self.pieces: dict[str, bytes] = {}
         # direct-mapped table of units: hash, first id and number of ids
         self.keys = np.zeros(SLOTS, np.uint64)
@@ -67,6 +72,27 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces, many in one call where white space is dropped.
+
+        White space and a digit, which is a piece of its own, stand after each; pieces with that digit go one by one.
+        """
+        if self.mark is None:
+            return self._encode(pieces)
+        found: dict[str, bytes] = {}
+        alone = [p for p in pieces if MARK in p]
+        plain = [p for p in pieces if MARK not in p]
+        parts = [plain[at: at + JOINED] for at in range(0, len(plain), JOINED)]
+        for part, raw in zip(parts, self._encode([f" {MARK} ".join([*part, ""]) for part in parts])):
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
+            if len(ends) != len(part):
+                alone += part
+                continue
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            found.update(zip(part, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+        found.update(zip(alone, self._encode(alone) if alone else []))
+        return [found[p] for p in pieces]
+
     def _by_pieces(self, strings: list[str]) -> list[bytes]:
         cut = list(map(self.split, strings))
         known = self.pieces
@@ -75,7 +101,7 @@ class PieceEncoder:
             self.pieces = known = {}  # start afresh; frequent pieces are soon back
             missing = list(set(chain.from_iterable(cut)))
         if missing:
-            known.update(zip(missing, self._encode(missing)))
+            known.update(zip(missing, self._encode_pieces(missing)))
         get = known.get
         return [b"".join(map(get, own)) for own in cut]
 

@@ -43,10 +43,9 @@ class WaveletMatrix:
         zeros = np.zeros(depth, np.uint32)
         now = ids.astype(np.uint16 if depth <= 16 else np.uint32)
         for level in range(depth):
-            bit = (now >> (depth - 1 - level)) & 1
-            packed = np.packbits(bit.astype(np.uint8))
+            one = (now & now.dtype.type(1 << (depth - 1 - level))) != 0
+            packed = np.packbits(one)
             planes[level, : len(packed)] = packed
-            one = bit.astype(bool)
             low = now[~one]
             zeros[level] = len(low)
             now = np.concatenate([low, now[one]])
@@ -80,7 +79,7 @@ class WaveletMatrix:
         """Every id in order: the stable splits undone from the lowest plane up."""
         now = np.zeros(self.length, np.uint16 if len(self.zeros) <= 16 else np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.length).astype(bool)
+            one = np.unpackbits(self.planes[level], count=self.length).view(bool)
             low = int(self.zeros[level])
             out = np.empty_like(now)
             out[~one] = now[:low]
